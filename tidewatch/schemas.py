@@ -78,11 +78,6 @@ EVENTS_RAW = T.StructType([
     T.StructField("event_date", T.DateType()),
 ])
 
-EVENT_KEYS = T.StructType([
-    T.StructField("event_id", T.StringType()),
-    T.StructField("event_date", T.DateType()),
-])
-
 EVENTS_QUARANTINE = T.StructType([
     T.StructField("quarantine_id", T.LongType()),
     T.StructField("ts_ingested", T.TimestampType()),
