@@ -356,7 +356,7 @@ def _with(body: str) -> str:
 _DETECTION = (
     f"SELECT metric_name, metric_date, severity, rule_version, {_r('risk_score')}, message, method, "
     + _r(*_CONTEXT, "impact", "confidence", "persistence")
-    + ', baseline_window_days, "window" FROM found WHERE method = \'{}\''
+    + ', baseline_window_days, "window" FROM {} WHERE method = \'{}\''
 )
 _NOTE_COLUMNS = "notification_id, alert_id, channel, target, status"
 _RISK = "metric_name AS \"Risk\", severity AS \"Severity\", round(risk_score, 2) AS \"Score\", message AS \"Summary\""
@@ -470,11 +470,14 @@ FROM ({_judged(feed="(SELECT * FROM feed WHERE seq < 100)")})""",
 SELECT metric_name, metric_date, n_lookback, n_baseline, n_seasonal, {_r(
     'observed', 'baseline_mean', 'baseline_std', 'previous_value', 'persistence', 'cp_recent_mean',
     'cp_previous_mean', 'seasonal_mean', 'seasonal_std', 'regime_recent_mean', 'regime_prior_mean')} FROM feats""",
-    "detect_zscore": _DETECTION.format("z_score"),
-    "detect_ewma": _DETECTION.format("ewma"),
-    "detect_change_point": _DETECTION.format("change_point"),
-    "detect_seasonal": _DETECTION.format("seasonal_decomposition"),
-    "detect_regime": _DETECTION.format("regime_shift"),
+    "detect_zscore": _DETECTION.format("found", "z_score"),
+    "detect_ewma": _DETECTION.format("found", "ewma"),
+    "detect_change_point": _DETECTION.format(
+        f"""({_scored(_suite("0.3", "3", "7", "1.5", "3", "3", "7", "14", "3", "2.0", "'v1'", "feats"))})""",
+        "change_point",
+    ),
+    "detect_seasonal": _DETECTION.format("found", "seasonal_decomposition"),
+    "detect_regime": _DETECTION.format("found", "regime_shift"),
     "detect_all": f"""
 SELECT metric_name, metric_date, method, severity, {_r('risk_score', 'impact', 'confidence', 'persistence')}
 FROM found""",

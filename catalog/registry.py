@@ -15,6 +15,7 @@ from tidewatch import schemas as S
 from tidewatch.functions.text import address_list, currency
 from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import bias, drift, kpis, notify, quality, requests, validation
+from tidewatch.operators.detectors import detect
 from tidewatch.operators.merge import merge
 from tidewatch.operators.series import series_features
 from tidewatch.plans import overview, panels, reads
@@ -305,13 +306,19 @@ def _flat(found: DataFrame) -> DataFrame:
 for _name, _method in {
     "detect_zscore": "z_score",
     "detect_ewma": "ewma",
-    "detect_change_point": "change_point",
     "detect_seasonal": "seasonal_decomposition",
     "detect_regime": "regime_shift",
 }.items():
     query(_name)(lambda spark, sf_dir, m=_method: _flat(D.detections(spark, sf_dir, m)))
 
 
+@query("detect_change_point")
+def _(spark, sf_dir):
+    """With half the default threshold: the sample has no large level shift."""
+    halved = rules.RuleConfig(change_point_z=1.5)
+    return _flat(detect(D.metrics(spark, sf_dir), halved, names=None, methods=("change_point",)))
+
+
 @query("detect_all")
 def _(spark, sf_dir):
     return D.detections(spark, sf_dir).select(
@@ -323,8 +330,6 @@ def _(spark, sf_dir):
 @query("detect_watched")
 def _(spark, sf_dir):
     """The default list of watched series."""
-    from tidewatch.operators.detectors import detect
-
     return detect(D.metrics(spark, sf_dir)).select(
         "metric_name", "metric_date", "context.method", "severity", "risk_score"
     )
@@ -338,8 +343,6 @@ def _(spark, sf_dir):
 @query("detect_stored_rules")
 def _(spark, sf_dir):
     """Detectors under the rules read from the rules table."""
-    from tidewatch.operators.detectors import detect
-
     stored = rules.load_rules(D.rules(spark, sf_dir))
     return detect(D.metrics(spark, sf_dir), stored, names=None).select(
         "metric_name", "metric_date", "context.method", "severity", "rule_version", "risk_score"

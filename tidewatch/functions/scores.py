@@ -23,11 +23,6 @@ def any_of(conditions: list[Column]) -> Column:
 
 # --- anomaly scores --------------------------------------------------------
 
-def zscore(value: Column, mean: Column, std: Column) -> Column:
-    """Standard score; 0 where the spread is (nearly) zero."""
-    return F.when(std > 1e-9, (value - mean) / std).otherwise(F.lit(0.0))
-
-
 def severity(z: Column) -> Column:
     return (
         F.when(F.abs(z) >= 4, F.lit("CRITICAL"))

@@ -1,101 +1,107 @@
-"""The five anomaly detectors as expressions over the series features.
+"""The five anomaly detectors over the series features.
 
-Each detector is a firing condition plus the struct it explains itself with;
-all of them are evaluated in one projection and the hits exploded.
+Each detector is a condition and a score with the numbers it explains itself
+by.  All of them are evaluated in one projection and the hits exploded; impact,
+confidence, severity and risk follow from the hit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import scores, text
-from tidewatch.functions.scores import all_of
-from tidewatch.operators.series import ewma_fold, ready, series_features
+from tidewatch.operators.series import ready, series_features
 from tidewatch.sources.rules import RuleConfig
 
-Finding = tuple[Column, Column, Column, dict[str, Column]]
-"""Fires, its z, the level impact is measured against, extra context fields."""
 
+@dataclass(frozen=True)
+class Detector:
+    """SQL over the features: when it fires, its z, the level impact is measured
+    against, and further context fields (``shows``, z included by name)."""
 
-def _c(name: str) -> Column:
-    return F.col(name)
+    fires: str
+    z: str
+    level: str
+    shows: dict[str, str]
 
 
-def z_score(rules: RuleConfig) -> Finding:
-    z = scores.zscore(_c("observed"), _c("baseline_mean"), _c("baseline_std"))
-    extra = {
-        "baseline_mean": _c("baseline_mean"),
-        "baseline_std": _c("baseline_std"),
+def z_score(rules: RuleConfig) -> Detector:
+    z = "if(baseline_std > 1e-9, (observed - baseline_mean) / baseline_std, 0D)"
+    shows = {
+        "baseline_mean": "baseline_mean",
+        "baseline_std": "baseline_std",
         "z_score": z,
-        "baseline_window_days": _c("n_baseline"),
+        "baseline_window_days": "n_baseline",
     }
-    return F.abs(z) >= S.Z_SCORE_LIMIT, z, _c("baseline_mean"), extra
-
-
-def ewma(rules: RuleConfig) -> Finding:
-    weight = rules.ewma_lambda
-    current = ewma_fold(_c("baseline_values"), weight, _c("observed"))
-    sigma = _c("baseline_std") * F.sqrt(F.lit(weight / (2.0 - weight)))
-    z = F.when(sigma > 0, (current - _c("baseline_mean")) / sigma)
-    fires = all_of([_c("n_baseline") >= 2, F.abs(z) >= rules.ewma_limit])
-    extra = {
-        "ewma": current,
-        "baseline_mean": _c("baseline_mean"),
-        "baseline_std": _c("baseline_std"),
+    return Detector(f"abs({z}) >= {S.Z_SCORE_LIMIT}D", z, "baseline_mean", shows)
+
+
+def ewma(rules: RuleConfig) -> Detector:
+    """Weighted mean folded over the baseline, oldest first, then today's value."""
+    weight = f"{rules.ewma_lambda!r}D"
+    before = (
+        "aggregate(slice(baseline_values, 2, size(baseline_values)), get(baseline_values, 0),"
+        f" (mean, v) -> {weight} * v + (1 - {weight}) * mean)"
+    )
+    now = f"({weight} * observed + (1 - {weight}) * {before})"
+    sigma = f"(baseline_std * sqrt({weight} / (2 - {weight})))"
+    z = f"if({sigma} > 0, ({now} - baseline_mean) / {sigma}, null)"
+    fires = f"n_baseline >= 2 AND abs({z}) >= {rules.ewma_limit!r}D"
+    shows = {
+        "ewma": now,
+        "baseline_mean": "baseline_mean",
+        "baseline_std": "baseline_std",
         "ewma_z": z,
     }
-    return fires, z, _c("baseline_mean"), extra
+    return Detector(fires, z, "baseline_mean", shows)
 
 
-def change_point(rules: RuleConfig) -> Finding:
+def change_point(rules: RuleConfig) -> Detector:
     w = rules.change_point_window
     # Equal lengths on both sides: the pooled variance is the plain mean.
-    pooled = F.sqrt((_c("cp_recent_var") + _c("cp_previous_var")) / 2.0)
-    spread = pooled * F.sqrt(F.lit(2.0 / max(w, 1)))
-    z = F.when(pooled > 0, (_c("cp_recent_mean") - _c("cp_previous_mean")) / spread)
-    fires = all_of([F.lit(w > 1), _c("n_lookback") >= 2 * w, F.abs(z) >= rules.change_point_z])
-    extra = {
-        "previous_mean": _c("cp_previous_mean"),
-        "recent_mean": _c("cp_recent_mean"),
+    spread = f"(sqrt((cp_recent_var + cp_previous_var) / 2) * sqrt(2D / {w}))"
+    z = f"if({spread} > 0, (cp_recent_mean - cp_previous_mean) / {spread}, null)"
+    fires = f"{w} > 1 AND n_lookback >= {2 * w} AND abs({z}) >= {rules.change_point_z!r}D"
+    shows = {
+        "previous_mean": "cp_previous_mean",
+        "recent_mean": "cp_recent_mean",
         "change_point_z": z,
-        "window": F.lit(w),
+        "window": str(w),
     }
-    return fires, z, _c("baseline_mean"), extra
+    return Detector(fires, z, "baseline_mean", shows)
 
 
-def seasonal_decomposition(rules: RuleConfig) -> Finding:
-    std = _c("seasonal_std")
-    z = F.when(std > 0, (_c("observed") - _c("seasonal_mean")) / std)
-    fires = all_of([_c("n_seasonal") >= rules.seasonal_min_points, F.abs(z) >= rules.seasonal_z])
-    extra = {"seasonal_mean": _c("seasonal_mean"), "seasonal_std": std, "seasonal_z": z}
-    return fires, z, _c("seasonal_mean"), extra
+def seasonal_decomposition(rules: RuleConfig) -> Detector:
+    z = "if(seasonal_std > 0, (observed - seasonal_mean) / seasonal_std, null)"
+    fires = f"n_seasonal >= {rules.seasonal_min_points} AND abs({z}) >= {rules.seasonal_z!r}D"
+    shows = {"seasonal_mean": "seasonal_mean", "seasonal_std": "seasonal_std", "seasonal_z": z}
+    return Detector(fires, z, "seasonal_mean", shows)
 
 
-def regime_shift(rules: RuleConfig) -> Finding:
+def regime_shift(rules: RuleConfig) -> Detector:
     recent, prior = rules.regime_recent_days, rules.regime_baseline_days
-    var, limit = _c("regime_prior_var"), rules.regime_var_ratio
-    shift = _c("regime_recent_mean") - _c("regime_prior_mean")
-    z = F.when(var > 0, shift / (F.sqrt(var) / F.sqrt(F.lit(float(recent))))).otherwise(0.0)
-    ratio = F.when(var > 0, _c("regime_recent_var") / var).otherwise(float("inf"))
-    calm = all_of([F.abs(z) < rules.regime_z, ratio < limit, ratio > 1.0 / limit])
-    fires = all_of([
-        F.lit(recent >= 2 and prior >= 2), _c("n_lookback") >= recent + prior, ~calm,
-    ])
-    extra = {
-        "prior_mean": _c("regime_prior_mean"),
-        "recent_mean": _c("regime_recent_mean"),
+    limit = f"{rules.regime_var_ratio!r}D"
+    shift = "(regime_recent_mean - regime_prior_mean)"
+    z = f"if(regime_prior_var > 0, {shift} / (sqrt(regime_prior_var) / sqrt({recent}D)), 0D)"
+    ratio = "if(regime_prior_var > 0, regime_recent_var / regime_prior_var, double('infinity'))"
+    calm = f"(abs({z}) < {rules.regime_z!r}D AND {ratio} < {limit} AND {ratio} > 1 / {limit})"
+    fires = f"{recent} > 1 AND {prior} > 1 AND n_lookback >= {recent + prior} AND NOT {calm}"
+    shows = {
+        "prior_mean": "regime_prior_mean",
+        "recent_mean": "regime_recent_mean",
         "mean_z": z,
-        "prior_var": var,
-        "recent_var": _c("regime_recent_var"),
+        "prior_var": "regime_prior_var",
+        "recent_var": "regime_recent_var",
         "var_ratio": ratio,
     }
-    return fires, z, _c("regime_prior_mean"), extra
+    return Detector(fires, z, "regime_prior_mean", shows)
 
 
-DETECTORS: dict[str, Callable[[RuleConfig], Finding]] = {
+DETECTORS: dict[str, Callable[[RuleConfig], Detector]] = {
     "z_score": z_score,
     "ewma": ewma,
     "change_point": change_point,
@@ -103,31 +109,18 @@ DETECTORS: dict[str, Callable[[RuleConfig], Finding]] = {
     "regime_shift": regime_shift,
 }
 
-
-def _absent() -> dict[str, Column]:
-    """A typed null for every context field."""
-    return {
-        f.name: F.expr(f"cast(null as {f.dataType.simpleString()}) as {f.name}")
-        for f in S.ALERT_CONTEXT.fields
-    }
+# Context fields known only after a hit is scored.
+_SCORED = ("method", "observed", "impact", "confidence", "persistence")
+_SHOWN = [f for f in S.ALERT_CONTEXT.fields if f.name not in _SCORED]
 
 
-def _hit(method: str, finding: Finding, absent: dict[str, Column]) -> Column:
-    """Context struct of one detector, null where it does not fire."""
-    fires, z, level, extra = finding
-    impact = scores.impact(_c("metric_name"), _c("observed"), level)
-    known = {
-        "method": F.lit(method),
-        "observed": _c("observed"),
-        "impact": impact,
-        "confidence": scores.confidence(z),
-        "persistence": _c("persistence"),
-        **extra,
-    }
-    filled = [
-        known[name].alias(name) if name in known else null for name, null in absent.items()
-    ]
-    return F.when(fires, F.struct(z.alias("z"), F.struct(*filled).alias("context")))
+def _hit(method: str, detector: Detector) -> str:
+    """SQL struct of one detector's hit, null where it does not fire."""
+    fields = {"method": f"'{method}'", "z": detector.z, "level": detector.level}
+    for f in _SHOWN:
+        fields[f.name] = f"cast({detector.shows.get(f.name, 'null')} as {f.dataType.simpleString()})"
+    struct = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    return f"if({detector.fires}, named_struct({struct}), null)"
 
 
 def detect(
@@ -141,19 +134,22 @@ def detect(
     ``names=None`` watches every series in ``metrics``.
     """
     judged = ready(series_features(metrics, rules, names))
-    absent = _absent()
-    hits = F.array_compact(F.array(*[_hit(m, DETECTORS[m](rules), absent) for m in methods]))
-    found = judged.select(
-        "metric_name", "dimensions", "metric_date", F.explode(hits).alias("hit")
-    ).select("metric_name", "dimensions", "metric_date", "hit.z", "hit.context")
-    context = F.col("context")
-    return found.select(
+    hits = ", ".join(_hit(m, DETECTORS[m](rules)) for m in methods)
+    found = judged.selectExpr(
+        "metric_name", "dimensions", "metric_date", "observed", "persistence",
+        f"inline(array_compact(array({hits})))",
+    )
+    z = F.col("z")
+    scored = found.withColumns({
+        "impact": scores.impact(F.col("metric_name"), F.col("observed"), F.col("level")),
+        "confidence": scores.confidence(z),
+    })
+    return scored.select(
         "metric_name",
         "dimensions",
         "metric_date",
-        scores.severity(F.col("z")).alias("severity"),
+        scores.severity(z).alias("severity"),
         F.lit(rules.rule_version).alias("rule_version"),
-        scores.risk(context["impact"], context["confidence"], context["persistence"]).alias("risk_score"),
-        text.alert_message().alias("message"),
-        "context",
-    )
+        scores.risk(F.col("impact"), F.col("confidence"), F.col("persistence")).alias("risk_score"),
+        F.struct(*S.ALERT_CONTEXT.names).alias("context"),
+    ).withColumn("message", text.alert_message())

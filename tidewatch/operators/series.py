@@ -6,91 +6,77 @@ calendar day, so window partitions are bounded by the calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schemas as S
-from tidewatch.functions.scores import zscore
 from tidewatch.sources.rules import RuleConfig
 
-SERIES = ("metric_name", "dimensions")
-
-
-def ewma_fold(values: Column, weight: float, observed: Column) -> Column:
-    """Exponentially weighted mean of ``values`` (oldest first), then ``observed``."""
-
-    def step(mean: Column, value: Column) -> Column:
-        return value * weight + mean * (1.0 - weight)
-
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return step(F.aggregate(rest, F.get(values, F.lit(0)), step), observed)
+# Calendar frames (baseline, yesterday, lookback, weekday) count days on the
+# day number; positional frames (change point, regime) count rows.
+_FEATURES = """
+SELECT metric_name, dimensions, metric_date, value AS observed,
+  count(value) OVER lookback AS n_lookback,
+  count(value) OVER baseline AS n_baseline,
+  avg(value) OVER baseline AS baseline_mean,
+  stddev_samp(value) OVER baseline AS baseline_std,
+  -- at most seven values, oldest first
+  transform(array_sort(collect_list(struct(day, value)) OVER baseline), p -> p.value) AS baseline_values,
+  max(value) OVER yesterday AS previous_value,
+  avg(value) OVER cp_recent AS cp_recent_mean,
+  avg(value) OVER cp_previous AS cp_previous_mean,
+  var_samp(value) OVER cp_recent AS cp_recent_var,
+  var_samp(value) OVER cp_previous AS cp_previous_var,
+  count(value) OVER weekdays AS n_seasonal,
+  avg(value) OVER weekdays AS seasonal_mean,
+  stddev_samp(value) OVER weekdays AS seasonal_std,
+  avg(value) OVER re_recent AS regime_recent_mean,
+  avg(value) OVER re_prior AS regime_prior_mean,
+  var_samp(value) OVER re_recent AS regime_recent_var,
+  var_samp(value) OVER re_prior AS regime_prior_var
+FROM (SELECT *, unix_date(metric_date) AS day, weekday(metric_date) AS weekday FROM {rows})
+WINDOW
+  lookback AS (PARTITION BY metric_name, dimensions ORDER BY day
+    RANGE BETWEEN %(lookback)d PRECEDING AND CURRENT ROW),
+  baseline AS (PARTITION BY metric_name, dimensions ORDER BY day
+    RANGE BETWEEN %(baseline)d PRECEDING AND 1 PRECEDING),
+  yesterday AS (PARTITION BY metric_name, dimensions ORDER BY day
+    RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING),
+  weekdays AS (PARTITION BY metric_name, dimensions, weekday ORDER BY day
+    RANGE BETWEEN %(lookback)d PRECEDING AND 1 PRECEDING),
+  cp_recent AS (PARTITION BY metric_name, dimensions ORDER BY day
+    ROWS BETWEEN %(w)d - 1 PRECEDING AND CURRENT ROW),
+  cp_previous AS (PARTITION BY metric_name, dimensions ORDER BY day
+    ROWS BETWEEN 2 * %(w)d - 1 PRECEDING AND %(w)d PRECEDING),
+  re_recent AS (PARTITION BY metric_name, dimensions ORDER BY day
+    ROWS BETWEEN %(recent)d - 1 PRECEDING AND CURRENT ROW),
+  re_prior AS (PARTITION BY metric_name, dimensions ORDER BY day
+    ROWS BETWEEN %(recent)d + %(prior)d - 1 PRECEDING AND %(recent)d PRECEDING)
+"""
+# Boosted when yesterday already lay more than two deviations off.
+_PERSISTENCE = """
+CASE WHEN baseline_std > 1e-9 AND abs((previous_value - baseline_mean) / baseline_std) > 2
+  THEN 1.3D ELSE 1.0D END
+"""
 
 
 def series_features(
     metrics: DataFrame, rules: RuleConfig = RuleConfig(), names: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Every row of ``metrics`` with its rolling statistics.
-
-    Calendar frames (baseline, lookback, previous day, same weekday) count
-    days; positional frames (change point, regime) count rows.
-    """
+    """Every row of ``metrics`` with its rolling statistics."""
     rows = metrics if names is None else metrics.where(F.col("metric_name").isin(*names))
-    rows = rows.select(
-        *SERIES,
-        "metric_date",
-        F.col("value").alias("observed"),
-        F.unix_date("metric_date").alias("_day"),
-        F.weekday("metric_date").alias("_weekday"),
-    )
-    series = Window.partitionBy(*SERIES).orderBy("_day")
-    lookback = series.rangeBetween(-S.LOOKBACK_DAYS, 0)
-    baseline = series.rangeBetween(-S.BASELINE_DAYS, -1)
-    yesterday = series.rangeBetween(-1, -1)
-    weekday = (
-        Window.partitionBy(*SERIES, "_weekday").orderBy("_day").rangeBetween(-S.LOOKBACK_DAYS, -1)
-    )
-    w, recent, prior = (
-        rules.change_point_window,
-        rules.regime_recent_days,
-        rules.regime_baseline_days,
-    )
-    cp_now, cp_then = series.rowsBetween(1 - w, 0), series.rowsBetween(1 - 2 * w, -w)
-    re_now = series.rowsBetween(1 - recent, 0)
-    re_then = series.rowsBetween(1 - recent - prior, -recent)
-
-    v = F.col("observed")
-    out = rows.select(
-        *SERIES,
-        "metric_date",
-        "observed",
-        F.count(v).over(lookback).alias("n_lookback"),
-        F.count(v).over(baseline).alias("n_baseline"),
-        F.avg(v).over(baseline).alias("baseline_mean"),
-        F.stddev_samp(v).over(baseline).alias("baseline_std"),
-        # At most seven values per row.
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_day", "observed")).over(baseline)),
-            lambda point: point["observed"],
-        ).alias("baseline_values"),
-        F.max(v).over(yesterday).alias("previous_value"),
-        F.avg(v).over(cp_now).alias("cp_recent_mean"),
-        F.avg(v).over(cp_then).alias("cp_previous_mean"),
-        F.var_samp(v).over(cp_now).alias("cp_recent_var"),
-        F.var_samp(v).over(cp_then).alias("cp_previous_var"),
-        F.count(v).over(weekday).alias("n_seasonal"),
-        F.avg(v).over(weekday).alias("seasonal_mean"),
-        F.stddev_samp(v).over(weekday).alias("seasonal_std"),
-        F.avg(v).over(re_now).alias("regime_recent_mean"),
-        F.avg(v).over(re_then).alias("regime_prior_mean"),
-        F.var_samp(v).over(re_now).alias("regime_recent_var"),
-        F.var_samp(v).over(re_then).alias("regime_prior_var"),
-    )
-    previous_z = zscore(F.col("previous_value"), F.col("baseline_mean"), F.col("baseline_std"))
-    boosted = (F.col("baseline_std") > 0) & (F.abs(previous_z) > 2)
-    return out.withColumn("persistence", F.when(boosted, 1.3).otherwise(1.0))
+    frames = {
+        "lookback": S.LOOKBACK_DAYS,
+        "baseline": S.BASELINE_DAYS,
+        "w": rules.change_point_window,
+        "recent": rules.regime_recent_days,
+        "prior": rules.regime_baseline_days,
+    }
+    features = metrics.sparkSession.sql(_FEATURES % frames, rows=rows)
+    return features.withColumn("persistence", F.expr(_PERSISTENCE))
 
 
 def ready(features: DataFrame) -> DataFrame:
     """Rows with enough history to be judged."""
     return features.where(
-        (F.col("n_lookback") >= S.MIN_LOOKBACK_ROWS) & (F.col("n_baseline") >= S.MIN_BASELINE_ROWS)
+        f"n_lookback >= {S.MIN_LOOKBACK_ROWS} AND n_baseline >= {S.MIN_BASELINE_ROWS}"
     )

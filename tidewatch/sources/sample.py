@@ -7,7 +7,7 @@ repeat or an invalid field; every row of the table is used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Sample event type -> event type.
 TYPE_OF = {
@@ -20,42 +20,29 @@ TYPE_OF = {
 SOURCES = ("payments", "core", "web")
 
 
-def _every(n: int) -> Column:
-    return F.col("_id") % n == 0
-
-
-def _seconds(n: Column) -> Column:
-    return F.make_dt_interval(secs=n)
-
-
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = spark.read.parquet(f"{sf_dir}/events.parquet")
     return model_columns(sample)
 
 
+_NAMED = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in TYPE_OF.items())
+_VALUE = "if(event_id % 97 <> 0, value, null)"
+
+
 def model_columns(sample: DataFrame) -> DataFrame:
     """The event model plus ``_id`` (the sample's number)."""
-    kind = F.col("event_type")
-    named = F.coalesce(*[F.when(kind == old, new) for old, new in TYPE_OF.items()])
-    source = F.element_at(
-        F.array(*[F.lit(s) for s in SOURCES]), (F.col("user_id") % 3 + 1).cast("int")
-    )
-    keyed = sample.withColumnRenamed("event_id", "_id")
-    value = F.when(~_every(97), F.col("value"))
-    digits = F.lpad(F.col("_id").cast("string"), 12, "0")
-    ts = F.col("ts").cast("timestamp")
-    return keyed.select(
-        "_id",
-        F.concat(F.lit("00000000-0000-0000-0000-"), digits).alias("event_id"),
-        ts.alias("ts_event"),
-        (ts + _seconds(F.col("_id") % 900)).alias("ts_ingested"),
-        named.alias("event_type"),
-        source.alias("source_system"),
-        F.when(~_every(50), F.col("user_id").cast("string")).alias("user_id"),
-        value.alias("value"),
-        (value * 0.01).alias("measurement_uncertainty"),
-        F.when(_every(3), F.lit('{"k":1,"currency":"EUR"}')).otherwise(F.col("props")).alias("properties"),
-        F.to_date(ts).alias("event_date"),
+    return sample.selectExpr(
+        "event_id AS _id",
+        "concat('00000000-0000-0000-0000-', lpad(cast(event_id AS string), 12, '0')) AS event_id",
+        "cast(ts AS timestamp) AS ts_event",
+        "cast(ts AS timestamp) + make_dt_interval(0, 0, 0, event_id % 900) AS ts_ingested",
+        f"CASE event_type {_NAMED} END AS event_type",
+        f"element_at(array{SOURCES}, cast(user_id % 3 + 1 AS int)) AS source_system",
+        "if(event_id % 50 <> 0, cast(user_id AS string), null) AS user_id",
+        f"{_VALUE} AS value",
+        f"{_VALUE} * 0.01D AS measurement_uncertainty",
+        """if(event_id % 3 = 0, '{"k":1,"currency":"EUR"}', props) AS properties""",
+        "to_date(ts) AS event_date",
     )
 
 
@@ -66,40 +53,31 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unchecked events as another writer may leave them: repeats and null fields."""
-    base = _base(spark, sf_dir)
-    holed = base.withColumn(
-        "source_system", F.when(~_every(71), F.col("source_system"))
-    ).withColumn("event_type", F.when(~_every(83), F.col("event_type")))
+    holed = _base(spark, sf_dir).withColumns({
+        "source_system": F.expr("if(_id % 71 <> 0, source_system, null)"),
+        "event_type": F.expr("if(_id % 83 <> 0, event_type, null)"),
+    })
     return _with_repeats(holed).drop("_id", "_copy")
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
     """A second copy of some rows, marked ``_copy`` = 1."""
-    copies = F.when(_every(101), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("_copy", F.explode(copies))
+    return rows.selectExpr("*", "explode(if(_id % 101 = 0, array(0, 1), array(0))) AS _copy")
 
 
 def feed_columns(base: DataFrame) -> DataFrame:
     """Incoming events with repeats and invalid fields, by batch and position."""
-    faulty = base.withColumn(
-        "event_type", F.when(_every(83), F.lit("unknown_event")).otherwise(F.col("event_type"))
-    ).withColumn(
-        "measurement_uncertainty",
-        F.when(_every(89), F.lit(-1.0)).otherwise(F.col("measurement_uncertainty")),
-    )
-    repeated = _with_repeats(faulty)
-    later = F.col("_copy") * 86400
-    return repeated.select(
-        F.floor(F.col("_id") / 100).alias("batch_id"),
-        (F.col("_id") % 100 + F.col("_copy") * 100).alias("seq"),
+    return _with_repeats(base).selectExpr(
+        "_id div 100 AS batch_id",
+        "_id % 100 + _copy * 100 AS seq",
         "event_id",
         "ts_event",
-        (F.col("ts_ingested") + _seconds(later)).alias("ts_ingested"),
-        "event_type",
+        "ts_ingested + make_dt_interval(_copy) AS ts_ingested",
+        "if(_id % 83 = 0, 'unknown_event', event_type) AS event_type",
         "source_system",
         "user_id",
         "value",
-        "measurement_uncertainty",
+        "if(_id % 89 = 0, -1D, measurement_uncertainty) AS measurement_uncertainty",
         "properties",
     )
 
@@ -110,10 +88,9 @@ def ingest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event."""
-    base = _base(spark, sf_dir)
-    return base.select(
-        F.lit("POST").alias("method"),
-        F.concat(F.lit("/ingest/"), F.col("event_type")).alias("path"),
-        F.when(_every(61), 500).otherwise(200).alias("status"),
-        F.coalesce(F.col("value"), F.lit(0.0)).alias("latency_ms"),
+    return _base(spark, sf_dir).selectExpr(
+        "'POST' AS method",
+        "concat('/ingest/', event_type) AS path",
+        "if(_id % 61 = 0, 500, 200) AS status",
+        "coalesce(value, 0D) AS latency_ms",
     )
