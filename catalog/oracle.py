@@ -318,7 +318,7 @@ FROM (SELECT alert_id, 'webhook' AS channel, 'https://hooks.example/a' AS target
     "reports": "SELECT * FROM cards WHERE day(report_date) % 2 = 1",
     "days": "SELECT DISTINCT event_date AS day FROM ev",
     "stability": """
-SELECT day, coalesce(greatest(0.0, 100 - least(100.0, sum(cv) * 100)), 100.0) AS stability_index
+SELECT day, CASE WHEN sum(cv) IS NULL THEN 100.0 ELSE 100 - least(100.0, sum(cv) * 100) END::DOUBLE AS stability_index
 FROM days LEFT JOIN (SELECT d.day, metric_name,
     CASE WHEN count(*) >= 2 AND avg(value) <> 0 THEN stddev_samp(value) / abs(avg(value)) END AS cv
   FROM days d JOIN metrics m ON m.metric_date BETWEEN d.day - 6 AND d.day

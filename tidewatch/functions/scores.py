@@ -114,8 +114,6 @@ def health_score(open_alerts: Column, report_passes: Column) -> Column:
 
 
 def stability(sum_of_cv: Column) -> Column:
-    """100 less the summed coefficients of variation in percent."""
-    return F.coalesce(
-        F.greatest(F.lit(0.0), 100.0 - F.least(F.lit(100.0), sum_of_cv * 100.0)),
-        F.lit(100.0),
-    )
+    """100 less the summed coefficients of variation in percent; 100 without any."""
+    loss = F.least(F.lit(100.0), sum_of_cv * 100.0)
+    return F.when(sum_of_cv.isNull(), 100.0).otherwise(100.0 - loss)

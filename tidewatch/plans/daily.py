@@ -43,18 +43,19 @@ def ingest(
         oldest = rows.agg(F.date_sub(F.to_date(F.min("ts_ingested")), history_days)).scalar()
         history = history.where(F.col("event_date") >= oldest)
     judged = stage(validation.classify(rows, history, whole_batches), "classified")
-    tables.append("events_raw", validation.accepted(judged))
 
     answered = judged
     if whole_batches:
         answered = judged.where(F.col("reason") != validation.INVALID)
-        tables.append("events_quarantine", validation.refused_bodies(bodies, judged, path))
-    tables.append("events_quarantine", validation.refused(answered))
+        tables.append_new("events_quarantine", validation.refused_bodies(bodies, judged, path))
+    tables.append_new("events_quarantine", validation.refused(answered))
 
     receipt = stage(validation.receipts(answered), "receipts")
     received = answered.groupBy("batch_id").agg(F.max("ts_ingested").alias("ts"))
     audit = validation.audit_of_ingest(receipt.join(received, "batch_id"), actor, F.col("ts"))
-    tables.append("audit_log", audit)
+    tables.append_new("audit_log", audit)
+    # Last, so that a run that failed earlier can simply be repeated.
+    tables.append("events_raw", validation.accepted(judged))
     return receipt
 
 

@@ -77,6 +77,17 @@ class Tables:
     def append(self, name: str, rows: DataFrame) -> None:
         self._write(name, rows, "append")
 
+    def append_new(self, name: str, rows: DataFrame) -> None:
+        """Append the rows whose key is not stored yet, so that a retry adds nothing."""
+        table = TABLES[name]
+        keys = list(table.keys)
+        stored = self.read(name)
+        if table.partition:
+            # Only the touched dates; the date list prunes the scan.
+            touched = rows.select(table.partition).distinct()
+            stored = stored.join(F.broadcast(touched), table.partition, "left_semi")
+        self.append(name, rows.join(stored.select(*keys), keys, "left_anti"))
+
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Insert ``rows`` or put them in place of equal keys; one row per key."""
         table = TABLES[name]
