@@ -78,10 +78,12 @@ def test_percentiles_equal_numpy_beyond_the_sketch(spark, shape, rows):
         [(date(2026, 1, 1 + i % 2), float(v)) for i, v in enumerate(values)], "d date, v double"
     ).repartition(5)
     wanted = {"p0": 0.0, "p50": 0.5, "p51": 0.51, "p95": 0.95, "p100": 1.0}
-    got = rows(daily_percentiles(df, "d", F.col("v"), wanted, accuracy=1000), "d")
-    for k, row in enumerate(got):
-        for name, p in wanted.items():
-            assert row[name] == pytest.approx(np.quantile(values[k::2], p), rel=1e-12), (name, k)
+    for slots in (1, 7):
+        got = rows(daily_percentiles(df, "d", F.col("v"), wanted, accuracy=1000, slots=slots), "d")
+        assert len(got) == 2
+        for k, row in enumerate(got):
+            for name, p in wanted.items():
+                assert row[name] == pytest.approx(np.quantile(values[k::2], p), rel=1e-12), (name, k)
 
 
 def test_percentiles_of_short_days(spark, rows):

@@ -1,9 +1,13 @@
 """Exact continuous percentiles per day without holding a day in one task.
 
-Two passes.  The first sketches each day and brackets every wanted rank
-between two values; the second counts everything outside the brackets and
-keeps distinct values only inside them, a few per ten thousand of the day.
-The rank is then read off running counts, so the answer is exact.
+1. each day is sketched, which brackets every wanted rank between two values;
+2. everything outside the brackets is only counted, distinct values inside
+   them are kept with their counts, a few per ten thousand of the day, and
+   written once, cut into ranges ("slots") of about equal size;
+3. running totals of the slots, a few numbers per slot, tell which slots hold
+   the wanted ranks; only those are read and ranked.
+
+The answer is exact; the sketch only decides how much has to be kept.
 """
 
 from __future__ import annotations
@@ -14,36 +18,24 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.scores import any_of
+from tidewatch.sources.staging import stage
 
 # Ranks are sketched to 1/ACCURACY of the day; brackets are four times as wide.
 ACCURACY = 10_000
 _BRACKET = 4.0
 
 
-def daily_percentiles(
-    rows: DataFrame,
-    day: str,
-    value: Column,
-    wanted: dict[str, float],
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """One row per day with a column per entry of ``wanted`` (name -> 0..1).
-
-    Nulls are ignored; days without a value are absent.  Interpolates linearly
-    between neighbouring ranks.
-    """
+def _kept(rows: DataFrame, day: str, value: Column, probabilities: list[float], accuracy: int) -> DataFrame:
+    """Per day: counts of the zones outside the brackets and of each value inside."""
     values = rows.select(F.col(day).alias("_day"), value.cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
     slack = _BRACKET / accuracy
-    cuts = []
-    for p in wanted.values():
-        cuts += [max(0.0, p - slack), min(1.0, p + slack)]
+    cuts = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-slack, slack)]
     brackets = values.groupBy("_day").agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", cuts, accuracy).alias("_cuts"),
     )
-
     # Short days are kept whole: fewer than ``accuracy`` values.
     v, edge, short = F.col("_v"), F.col("_cuts"), F.col("_n") < accuracy
     pairs = [
@@ -51,39 +43,71 @@ def daily_percentiles(
             F.when(short, float("-inf")).otherwise(edge[2 * i]),
             F.when(short, float("inf")).otherwise(edge[2 * i + 1]),
         )
-        for i in range(len(wanted))
+        for i in range(len(probabilities))
     ]
     inside = any_of([(v >= low) & (v <= high) for low, high in pairs])
     zone = reduce(add, [(v >= low).cast("int") + (v > high).cast("int") for low, high in pairs])
     # One row per calendar day: a few thousand rows whatever the data volume.
-    tally = (
+    return (
         values.join(F.broadcast(brackets), "_day")
         .groupBy("_day", "_n", zone.alias("_zone"), F.when(inside, v).alias("_kept"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
 
-    in_order = (
-        Window.partitionBy("_day")
+
+def daily_percentiles(
+    rows: DataFrame,
+    day: str,
+    value: Column,
+    wanted: dict[str, float],
+    accuracy: int = ACCURACY,
+    slots: int | None = None,
+) -> DataFrame:
+    """One row per day with a column per entry of ``wanted`` (name -> 0..1).
+
+    Nulls are ignored; days without a value are absent.  Interpolates linearly
+    between neighbouring ranks.
+    """
+    probabilities = list(wanted.values())
+    slots = slots or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = _kept(rows, day, value, probabilities, accuracy)
+    ranged = kept.repartitionByRange(slots, "_day", "_zone", "_kept")
+    slotted = stage(ranged.withColumn("_slot", F.spark_partition_id()), "ranked-values")
+
+    places = [(F.col("_n") - 1) * F.lit(p) for p in probabilities]
+    ranks = [rank for place in places for rank in (F.floor(place), F.ceil(place))]
+    before, upto = F.col("_before"), F.col("_upto")
+
+    def holds(rank: Column) -> Column:
+        return (before <= rank) & (rank < upto)
+
+    # At most one row per slot and day.
+    totals = slotted.groupBy("_day", "_n", "_slot").agg(F.sum("_c").alias("_c"))
+    by_slot = Window.partitionBy("_day").orderBy("_slot")
+    to_here = by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = (
+        totals.withColumn("_upto", F.sum("_c").over(to_here))
+        .withColumn("_before", F.col("_upto") - F.col("_c"))
+        .where(any_of([holds(rank) for rank in ranks]))
+        .select("_day", "_slot", F.col("_before").alias("_base"))
+    )
+    in_slot = (
+        Window.partitionBy("_day", "_slot")
         .orderBy("_zone", "_kept")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = tally.withColumn("_upto", F.sum("_c").over(in_order)).withColumn(
-        "_before", F.col("_upto") - F.col("_c")
+    ranked = (
+        slotted.join(needed, ["_day", "_slot"])
+        .withColumn("_upto", F.col("_base") + F.sum("_c").over(in_slot))
+        .withColumn("_before", F.col("_upto") - F.col("_c"))
     )
-
-    def at_rank(rank: Column) -> Column:
-        holds = (F.col("_before") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(holds, F.col("_kept")))
-
-    picks, out = [], [F.col("_day").alias(day)]
-    for i, (name, p) in enumerate(wanted.items()):
-        place = (F.col("_n") - 1) * F.lit(p)
-        picks += [
-            at_rank(F.floor(place)).alias(f"_low{i}"),
-            at_rank(F.ceil(place)).alias(f"_high{i}"),
-        ]
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+    picks = [
+        F.max(F.when(holds(rank), F.col("_kept"))).alias(f"_r{i}") for i, rank in enumerate(ranks)
+    ]
+    missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+    out = [F.col("_day").alias(day)]
+    for i, (name, place) in enumerate(zip(wanted, places)):
+        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         exact = low + (high - low) * (place - F.floor(place))
         out.append(F.when(low.isNull() | high.isNull(), missed).otherwise(exact).alias(name))
     return ranked.groupBy("_day", "_n").agg(*picks).select(*out)
