@@ -35,50 +35,48 @@ def detections(spark: SparkSession, sf_dir: str, *methods: str) -> DataFrame:
     return detectors.detect(metrics(spark, sf_dir), names=None, methods=chosen)
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alerts_of(series: DataFrame) -> DataFrame:
     """Alerts raised at one o'clock the day after, stored as the batch job does."""
-    raised_at = F.date_add("metric_date", 1).cast("timestamp") + F.make_dt_interval(hours=F.lit(1))
-    return stage(alert_ops.to_alerts(detections(spark, sf_dir), raised_at), "alerts")
+    found = detectors.detect(series, names=None)
+    raised_at = F.expr("cast(date_add(metric_date, 1) AS timestamp) + INTERVAL 1 HOUR")
+    return stage(alert_ops.to_alerts(found, raised_at), "alerts")
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts_of(metrics(spark, sf_dir))
+
+
+# kind, actor, hours after the alert, and the days of month it happens on
+_ACTIONS = (
+    ("ACK", "ops-a", 1, "day % 2 = 0"),
+    ("RESOLVED", "ops-b", 2, "day % 4 = 0"),
+    ("ACK", "ops-c", 3, "day % 8 = 0"),
+    ("RESOLVED", "ops-d", 4, "day % 6 = 3"),
+)
 
 
 def actions(alerts_: DataFrame) -> DataFrame:
-    """Operators' actions by day of month: acknowledged on even days, resolved
-    on multiples of 4, acknowledged again on multiples of 8, only resolved on
-    odd multiples of 3."""
-    day = F.dayofmonth("metric_date")
-
-    def action(when, kind: str, actor: str, hours: int):
-        moment = F.col("ts") + F.make_dt_interval(hours=F.lit(hours))
-        entry = F.struct(
-            F.lit(kind).alias("kind"),
-            F.lit(actor).alias("actor"),
-            moment.alias("action_ts"),
-            F.lit(hours).cast("bigint").alias("seq"),
-        )
-        return F.when(when, entry)
-
-    entries = F.array_compact(
-        F.array(
-            action(day % 2 == 0, "ACK", "ops-a", 1),
-            action(day % 4 == 0, "RESOLVED", "ops-b", 2),
-            action(day % 8 == 0, "ACK", "ops-c", 3),
-            action(day % 6 == 3, "RESOLVED", "ops-d", 4),
-        )
+    """Operators' actions on every alert, by its day of month."""
+    entries = ", ".join(
+        f"if({when}, named_struct('kind', '{kind}', 'actor', '{actor}',"
+        f" 'action_ts', ts + INTERVAL {hours} HOURS, 'seq', {hours}L), null)"
+        for kind, actor, hours, when in _ACTIONS
     )
-    return alerts_.select("alert_id", F.explode(entries).alias("a")).select("alert_id", "a.*")
+    dated = alerts_.selectExpr("alert_id", "ts", "dayofmonth(metric_date) AS day")
+    return dated.selectExpr("alert_id", f"inline(array_compact(array({entries})))")
 
 
 def deliveries(alerts_: DataFrame) -> DataFrame:
     """Outcomes of the first target: sent on days 0 mod 3, failed on days 1 mod 3."""
-    turn = F.dayofmonth("metric_date") % 3
-    return alerts_.where(turn < 2).select(
+    turn = alerts_.selectExpr("*", "dayofmonth(metric_date) % 3 AS turn").where("turn < 2")
+    return turn.selectExpr(
         "alert_id",
-        F.lit("webhook").alias("channel"),
-        F.lit("https://hooks.example/a").alias("target"),
-        F.when(turn == 0, "sent").otherwise("failed").alias("status"),
-        F.lit("{}").alias("payload"),
-        F.when(turn == 1, "timeout").alias("error"),
-        (F.col("ts") + F.make_dt_interval(mins=F.lit(10))).alias("at"),
+        "'webhook' AS channel",
+        "'https://hooks.example/a' AS target",
+        "if(turn = 0, 'sent', 'failed') AS status",
+        "'{}' AS payload",
+        "if(turn = 1, 'timeout', null) AS error",
+        "ts + INTERVAL 10 MINUTES AS at",
     )
 
 

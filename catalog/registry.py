@@ -84,8 +84,9 @@ def _(spark, sf_dir):
 @query("metrics_upsert_merge")
 def _(spark, sf_dir):
     """Earlier KPIs without the transaction count, merged with a recomputed window."""
-    new = D.metrics(spark, sf_dir).where(F.col("metric_date").between(*map(F.lit, D.WINDOW)))
-    old = D.metrics(spark, sf_dir).where(F.col("metric_name") != "tx_completed_count")
+    series = D.metrics(spark, sf_dir)
+    new = series.where(F.col("metric_date").between(*map(F.lit, D.WINDOW)))
+    old = series.where(F.col("metric_name") != "tx_completed_count")
     stale = old.withColumn("value", F.col("value") + 1000.0)
     return merge(stale, new, ["metric_date", "metric_name", "dimensions"])
 
@@ -362,8 +363,8 @@ def _(spark, sf_dir):
     return newest.select("alert_id", "ts", "metric_name", "metric_date", "severity", "risk_score", "status")
 
 
-def _acted(spark, sf_dir):
-    raised = D.alerts(spark, sf_dir)
+def _acted(spark, sf_dir, series=None):
+    raised = D.alerts_of(D.metrics(spark, sf_dir) if series is None else series)
     return alert_ops.apply_actions(raised, D.actions(raised))
 
 
@@ -475,8 +476,9 @@ def _(spark, sf_dir):
 
 @query("overview_daily")
 def _(spark, sf_dir):
+    series = stage(D.metrics(spark, sf_dir), "metrics")
     return overview.daily_overview(
-        D.days(spark, sf_dir), D.reports(spark, sf_dir), _acted(spark, sf_dir), D.metrics(spark, sf_dir)
+        D.days(spark, sf_dir), D.reports(spark, sf_dir), _acted(spark, sf_dir, series), series
     ).withColumn("health_score", F.col("health_score").cast("bigint"))
 
 
@@ -488,8 +490,9 @@ def _(spark, sf_dir):
 
 @query("overview_recent")
 def _(spark, sf_dir):
+    series = stage(D.metrics(spark, sf_dir), "metrics")
     shown = overview.recent_overview(
-        D.WINDOW[1], D.reports(spark, sf_dir), _acted(spark, sf_dir), D.metrics(spark, sf_dir)
+        D.WINDOW[1], D.reports(spark, sf_dir), _acted(spark, sf_dir, series), series
     )
     return shown.withColumn("health_score", F.col("health_score").cast("bigint")).withColumn(
         "exposure_text", currency(F.col("financial_exposure"))

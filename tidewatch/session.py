@@ -16,6 +16,10 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # The jobs build plans of hundreds of columns: keep their generated code
+        # and do not look up a Python call site for every column.
+        "spark.sql.codegen.cache.maxEntries": "1000",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Stream state larger than executor memory stays on local disk.
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
