@@ -5,12 +5,15 @@ every report date at once.  The work is cut so that no sample is ever held or
 sorted in one task:
 
 1. values are counted per (check, day, value) and written once, cut into
-   value ranges ("slots") of about equal numbers of rows;
-2. slot totals per day, a few numbers per slot, are spread over the report
+   value ranges ("slots") of about equal numbers of rows; each slot is cut
+   further into equal value intervals ("cells");
+2. cell totals per day, a few numbers per cell, are spread over the report
    dates they count for; their running sums give both distribution functions
-   at every slot end, hence a distance already reached and an upper limit for
-   the inside of each slot;
-3. only slots whose limit exceeds the reached distance are read value by value.
+   at every cell end, hence a distance already reached and an upper limit for
+   the inside of each cell;
+3. only cells whose limit exceeds the reached distance are read value by value.
+   Two samples of one distribution lie about 1/sqrt(n) apart, so a few
+   thousand cells leave little to read.
 
 The result is the exact distance.
 """
@@ -24,9 +27,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch import schemas as S
 from tidewatch.functions.ks import ks_p_value
 from tidewatch.operators.calendar import fan_out, within
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import stage, stage_in_slots
 
 _RUN = ["name", "report_date"]
+_CELL = ["slot", "cell"]
+# Cells of a check over all its slots, about.
+_CELLS = 16_384
 
 
 def _checks(checks: dict[str, str]) -> Column:
@@ -35,17 +41,14 @@ def _checks(checks: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(kind == of, F.lit(name)) for name, of in checks.items()])
 
 
-def _slots(events: DataFrame, checks: dict[str, str], slots: int) -> DataFrame:
+def _slots(events: DataFrame, checks: dict[str, str], slots: int | None) -> DataFrame:
     """Counts per (check, day, value) with the number of the value range they fall in."""
     counted = (
         events.where(F.col("event_type").isin(*checks.values()) & F.col("value").isNotNull())
         .groupBy(_checks(checks).alias("name"), "event_date", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # A value never straddles slots: the range key holds the value itself.
-    ranged = counted.repartitionByRange(slots, "name", "value")
-    # One folder per slot, so that a slot that is not needed is not read.
-    return stage(ranged.withColumn("slot", F.spark_partition_id()), "value-counts", "slot")
+    return stage_in_slots(counted, "value-counts", ["name", "value"], "slot", slots)
 
 
 def _both_samples(counts: DataFrame, keys: list[str], start: date | None, end: date | None) -> DataFrame:
@@ -62,13 +65,25 @@ def _both_samples(counts: DataFrame, keys: list[str], start: date | None, end: d
     )
 
 
-def _limits(slotted: DataFrame, start: date | None, end: date | None, min_sample: int) -> DataFrame:
-    """Slots of every judged report date with running sums and distance limits."""
-    # A few numbers per slot and day, whatever the data volume.
-    per_day = slotted.groupBy("name", "event_date", "slot").agg(F.sum("n").alias("n"))
-    both = _both_samples(per_day, ["slot"], start, end)
+def _with_cells(slotted: DataFrame) -> DataFrame:
+    """Adds ``cell``: the interval of its slot a value falls in."""
+    ends = slotted.groupBy("name", "slot").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    n_slots = F.count(F.lit(1)).over(Window.partitionBy("name"))
+    ends = ends.withColumn("cells", F.greatest(F.lit(4), F.floor(F.lit(_CELLS) / n_slots)))
+    place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("cells"))
+    cell = F.when(F.col("high") > F.col("low"), F.least(place, F.col("cells") - 1)).otherwise(0)
+    # One row per slot and check.
+    celled = slotted.join(F.broadcast(ends), ["name", "slot"]).withColumn("cell", cell)
+    return celled.drop("low", "high", "cells")
+
+
+def _limits(celled: DataFrame, start: date | None, end: date | None, min_sample: int) -> DataFrame:
+    """Cells of every judged report date with running sums and distance limits."""
+    # A few numbers per cell and day, whatever the data volume.
+    per_day = celled.groupBy("name", "event_date", *_CELL).agg(F.sum("n").alias("n"))
+    both = _both_samples(per_day, _CELL, start, end)
     run = Window.partitionBy(*_RUN)
-    upto = run.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = run.orderBy(*_CELL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = both.select(
         "*",
         F.sum("cur").over(run).alias("n_current"),
@@ -88,7 +103,7 @@ def _limits(slotted: DataFrame, start: date | None, end: date | None, min_sample
         share(base_to, "baseline") - share(cur_from, "current"),
     )
     bounded = sums.select(
-        *_RUN, "slot", "n_current", "n_baseline",
+        *_RUN, *_CELL, "n_current", "n_baseline",
         cur_from.alias("cur_from"), base_from.alias("base_from"),
         at_end.alias("at_end"), inside.alias("inside"),
     )
@@ -104,43 +119,42 @@ def ks_distances(
     slots: int | None = None,
 ) -> DataFrame:
     """Exact two-sample distance per check and report date with both sample sizes."""
-    spark = events.sparkSession
-    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slotted = _slots(events, checks, slots)
-    # Report dates x slots rows; written so that both uses read the same table.
-    limits = stage(_limits(slotted, start, end, min_sample), "slot-limits")
-
-    open_slots = limits.where(F.col("inside") > F.col("reached"))
-    days = open_slots.select(
-        *_RUN, "slot", "cur_from", "base_from", "n_current", "n_baseline",
+    celled = _with_cells(_slots(events, checks, slots))
+    # Report dates x cells rows; written, as it is read twice.
+    limits = stage(_limits(celled, start, end, min_sample), "cell-limits")
+    sizes = ["n_current", "n_baseline"]
+    reached = limits.groupBy(*_RUN, *sizes).agg(F.max("at_end").alias("distance"))
+    # Written, so that the join below knows how little there is.
+    open_cells = stage(limits.where(F.col("inside") > F.col("reached")), "open-cells")
+
+    days = open_cells.select(
+        *_RUN, *_CELL, "cur_from", "base_from", *sizes,
         fan_out("report_date", "event_date", -S.BASELINE_DAYS, 0),
     )
     own = F.col("event_date") == F.col("report_date")
-    carried = ["slot", "cur_from", "base_from", "n_current", "n_baseline"]
     values = (
-        slotted.join(days, ["name", "slot", "event_date"])
-        .groupBy(*_RUN, *carried, "value")
+        celled.join(days, ["name", *_CELL, "event_date"])
+        .groupBy(*_RUN, *_CELL, "cur_from", "base_from", *sizes, "value")
         .agg(
             F.sum(F.when(own, F.col("n")).otherwise(0)).alias("cur"),
             F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("base"),
         )
     )
-    # One slot of eight days: a fixed fraction of the sample.
-    in_slot = (
-        Window.partitionBy(*_RUN, "slot")
+    # At most one slot of eight days: a fixed fraction of the sample.
+    in_cell = (
+        Window.partitionBy(*_RUN, *_CELL)
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    cur_to = F.col("cur_from") + F.sum("cur").over(in_slot)
-    base_to = F.col("base_from") + F.sum("base").over(in_slot)
+    cur_to = F.col("cur_from") + F.sum("cur").over(in_cell)
+    base_to = F.col("base_from") + F.sum("base").over(in_cell)
     inner = values.select(
-        *_RUN, "n_current", "n_baseline",
+        *_RUN, *sizes,
         F.abs(cur_to / F.col("n_current") - base_to / F.col("n_baseline")).alias("distance"),
     )
-    ends = limits.select(*_RUN, "n_current", "n_baseline", F.col("at_end").alias("distance"))
     return (
-        ends.unionByName(inner)
-        .groupBy(*_RUN, "n_current", "n_baseline")
+        reached.unionByName(inner)
+        .groupBy(*_RUN, *sizes)
         .agg(F.max("distance").alias("ks_stat"))
     )
 

@@ -18,7 +18,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.scores import any_of
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import stage_in_slots
 
 # Ranks are sketched to 1/ACCURACY of the day; brackets are four times as wide.
 ACCURACY = 10_000
@@ -69,10 +69,8 @@ def daily_percentiles(
     between neighbouring ranks.
     """
     probabilities = list(wanted.values())
-    slots = slots or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = _kept(rows, day, value, probabilities, accuracy)
-    ranged = kept.repartitionByRange(slots, "_day", "_zone", "_kept")
-    slotted = stage(ranged.withColumn("_slot", F.spark_partition_id()), "ranked-values")
+    slotted = stage_in_slots(kept, "ranked-values", ["_day", "_zone", "_kept"], "_slot", slots)
 
     places = [(F.col("_n") - 1) * F.lit(p) for p in probabilities]
     ranks = [rank for place in places for rank in (F.floor(place), F.ceil(place))]

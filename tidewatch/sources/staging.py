@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +42,16 @@ def stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_in_slots(
+    df: DataFrame, label: str, order: list[str], slot: str, slots: int | None = None
+) -> DataFrame:
+    """``df`` staged in ranges of ``order``, numbered in that order in column ``slot``.
+
+    Equal keys share a slot.  Without ``slots`` adaptive execution sizes the
+    ranges by the data, up to ``spark.sql.shuffle.partitions`` of them.  Each
+    slot is a folder of its own, so that one that is not needed is not read.
+    """
+    ranged = df.repartitionByRange(slots, *order) if slots else df.repartitionByRange(*order)
+    return stage(ranged.withColumn(slot, F.spark_partition_id()), label, slot)
