@@ -36,18 +36,22 @@ def canonical_uuid(raw: Column) -> Column:
     return F.when(grouped.rlike(_UUID), grouped)
 
 
-def _kind(field: Column, *prefixes: str) -> Column:
-    kind = F.schema_of_variant(field)
-    return any_of([kind.startswith(p) for p in prefixes])
+def _text(name: str) -> Column:
+    return F.try_variant_get(f"_raw.{name}", "$", "string")
 
 
-def _event_time(field: Column) -> Column:
-    text = F.try_variant_get(field, "$", "string")
-    iso = F.when(text.rlike(_ISO_TIME), F.regexp_replace(text, ",", ".").try_cast("timestamp"))
-    number = F.try_variant_get(field, "$", "double")
+def _kind(name: str, *prefixes: str) -> Column:
+    return any_of([F.col(f"_kind.{name}").startswith(p) for p in prefixes])
+
+
+def _event_time(name: str) -> Column:
+    iso = F.when(
+        _text(name).rlike(_ISO_TIME), F.regexp_replace(_text(name), ",", ".").try_cast("timestamp")
+    )
+    number = F.try_variant_get(f"_raw.{name}", "$", "double")
     seconds = F.when(F.abs(number) > _MILLIS_FROM, number / 1000.0).otherwise(number)
     epoch = F.timestamp_micros(F.round(seconds * 1e6).cast("bigint"))
-    return F.when(_kind(field, *_NUMERIC_KINDS), epoch).otherwise(iso)
+    return F.when(_kind(name, *_NUMERIC_KINDS), epoch).when(_kind(name, "STRING"), iso)
 
 
 def explode_bodies(bodies: DataFrame) -> DataFrame:
@@ -70,25 +74,27 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
         F.posexplode_outer("_events").alias("_pos", "_event"),
     ).where(F.col("_event").isNotNull() | F.col("_broken").isNotNull())
 
-    def field(name: str) -> Column:
-        return F.try_variant_get("_event", f"$.{name}", "variant")
+    # Each field is taken out of its event once, then its JSON type named once.
+    fields = ", ".join(f"{name}: variant" for name in EVENT_FIELDS)
+    taken = opened.withColumn("_raw", F.try_variant_get("_event", "$", f"struct<{fields}>"))
+    named = taken.withColumn(
+        "_kind", F.struct(*[F.schema_of_variant(f"_raw.{name}").alias(name) for name in EVENT_FIELDS])
+    )
 
     def text(name: str) -> Column:
-        return F.when(_kind(field(name), "STRING"), F.try_variant_get("_event", f"$.{name}", "string"))
+        return F.when(_kind(name, "STRING"), _text(name))
 
     def number(name: str) -> Column:
-        usable = _kind(field(name), "STRING", *_NUMERIC_KINDS)
-        return F.when(usable, F.try_variant_get("_event", f"$.{name}", "double"))
-
-    def stated(name: str) -> Column:
-        return field(name).isNotNull() & ~F.is_variant_null(field(name))
+        usable = _kind(name, "STRING", *_NUMERIC_KINDS)
+        return F.when(usable, F.try_variant_get(f"_raw.{name}", "$", "double"))
 
-    properties = F.when(
-        _kind(field("properties"), "OBJECT"), F.to_json(field("properties"))
-    ).when(field("properties").isNull(), F.lit("{}"))
+    given = F.col("_raw.properties")
+    properties = F.when(_kind("properties", "OBJECT"), F.to_json(given)).when(
+        given.isNull(), F.lit("{}")
+    )
     typed = {
         "event_id": canonical_uuid(text("event_id")),
-        "ts_event": _event_time(field("ts_event")),
+        "ts_event": _event_time("ts_event"),
         "event_type": text("event_type"),
         "source_system": text("source_system"),
         "user_id": text("user_id"),
@@ -96,20 +102,28 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
         "measurement_uncertainty": number("measurement_uncertainty"),
         "properties": properties,
     }
-    # Stated in the event, yet unusable for the field.
+    rows = named.select(
+        "batch_id", "received_at", "_broken", "_pos", "_kind",
+        *[value.alias(name) for name, value in typed.items()],
+    )
+    # Stated in the event, yet unusable for the field; a JSON null states nothing.
     unusable = [
-        F.when(stated(name) & typed[name].isNull(), F.lit(f"{name}:malformed"))
+        F.when(
+            F.col(f"_kind.{name}").isNotNull()
+            & ((F.col(f"_kind.{name}") != "VOID") | F.lit(name == "properties"))
+            & F.col(name).isNull(),
+            F.lit(f"{name}:malformed"),
+        )
         for name in EVENT_FIELDS
     ]
-    null_properties = F.when(F.is_variant_null(field("properties")), "properties:malformed")
     whole = F.col("_broken")
-    return opened.select(
+    return rows.select(
         "batch_id",
         F.coalesce("_pos", F.lit(0)).cast("bigint").alias("seq"),
         F.col("received_at").alias("ts_ingested"),
-        *[value.alias(name) for name, value in typed.items()],
+        *EVENT_FIELDS,
         F.when(whole.isNotNull(), F.array(whole))
-        .otherwise(F.array_compact(F.array(*unusable, null_properties)))
+        .otherwise(F.array_compact(F.array(*unusable)))
         .alias("parse_errors"),
     )
 
