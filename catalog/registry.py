@@ -279,7 +279,8 @@ def _(spark, sf_dir):
 @query("ingest_bodies")
 def _(spark, sf_dir):
     """Request bodies parsed from JSON, checked and judged."""
-    judged = validation.classify(validation.explode_bodies(D.bodies(spark, sf_dir)))
+    rows = stage(validation.explode_bodies(D.bodies(spark, sf_dir)), "parsed")
+    judged = validation.classify(rows)
     return judged.select(
         F.col("batch_id").cast("bigint").alias("batch_id"), "seq", "event_id", "event_type",
         "user_id", "value", "measurement_uncertainty", F.array_join("errors", ";").alias("errors"), "reason",
