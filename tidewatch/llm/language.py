@@ -113,7 +113,7 @@ def fit_machines(x: np.ndarray, named: np.ndarray) -> Machines:
     pairs = []
     for a, b in combinations(range(len(classes)), 2):
         rows = (named == classes[a]) | (named == classes[b])
-        pairs.append((a, b, fit_linear(x[rows], named[rows] == classes[a], "hinge", l2=1e-4, steps=200)))
+        pairs.append((a, b, fit_linear(x[rows], named[rows] == classes[a], "hinge", l2=1e-4, steps=200, even=False)))
     return Machines(classes, tuple(pairs))
 
 

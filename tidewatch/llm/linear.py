@@ -9,18 +9,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_linear(x: np.ndarray, positive: np.ndarray, loss: str, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
+def fit_linear(x: np.ndarray, positive: np.ndarray, loss: str, l2: float = 1e-3, steps: int = 150, even: bool = True) -> np.ndarray:
     """Weights and, last, the intercept, by accelerated gradient descent.
 
     ``loss`` is ``logistic`` or ``hinge`` (squared: a linear support vector
-    machine).  The intercept is not held small.
+    machine).  The intercept is not held small.  With ``even``, inputs are brought
+    to equal spread first, so that rare ones count as much as common ones.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    spread = np.maximum(x.std(axis=0), 1e-3) if even else np.ones(x.shape[1])
+    x = np.hstack([x / spread, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
     y = np.where(positive, 1.0, -1.0)
     shrink = np.full(x.shape[1], l2)
     shrink[-1] = 0.0
     # The largest curvature: a bound on the largest eigenvalue of x'x / n by power iteration.
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], np.float32)
     size = 1.0
     for _ in range(20):
         v = x.T @ (x @ v) / len(x)
@@ -29,12 +31,12 @@ def fit_linear(x: np.ndarray, positive: np.ndarray, loss: str, l2: float = 1e-3,
     step = 1.0 / ((0.25 if loss == "logistic" else 2.0) * size * 1.05 + l2)
     w = ahead = np.zeros(x.shape[1])
     for k in range(steps):
-        margin = y * (x @ ahead)
+        margin = y * (x @ ahead.astype(np.float32))
         pull = sigmoid(-margin) if loss == "logistic" else 2.0 * np.maximum(1.0 - margin, 0.0)
-        after = ahead - step * (shrink * ahead - x.T @ (y * pull) / len(x))
+        after = ahead - step * (shrink * ahead - x.T @ (y * pull).astype(np.float32) / len(x))
         ahead = after + k / (k + 3) * (after - w)
         w = after
-    return w
+    return w / np.append(spread, 1.0)
 
 
 def margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType
 
-from tidewatch.llm import byte_bpe, exact_dedup, language, licenses, packing, quality, sharding, toxicity
+from tidewatch.llm import byte_bpe, exact_dedup, language, licenses, ngram_join, packing, quality, sharding, toxicity, urls
 
 SHARDS = 24
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token sequences of at most 4096."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), packing.word_tokenizer())
@@ -92,7 +97,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict on the url of every page."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
@@ -101,6 +112,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE = {

@@ -20,8 +20,8 @@ from tidewatch.llm.linear import fit_linear, margins, sigmoid
 from tidewatch.sources.staging import stage
 
 # Labelled rows the chain is fitted on, and words it looks for, at most.
-MAX_LABELLED = 10_000
-MAX_WORDS = 256
+MAX_LABELLED = 20_000
+MAX_WORDS = 384
 # Documents a word must occur in to be looked for.
 MIN_DOCUMENTS = 5
 
@@ -45,7 +45,7 @@ class Chain:
 
 def presence(data: np.ndarray, offsets: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
     """Which of the known words each text has, as 0 and 1."""
-    x = np.zeros((len(offsets) - 1, len(known)))
+    x = np.zeros((len(offsets) - 1, len(known)), np.float32)
     bounds, found = words(data, offsets, ALNUM_LOWER)
     if len(found) and known:
         codes, distinct = encode(found)
@@ -149,7 +149,7 @@ def learn_chain(
     schema = StructType([*sample.schema.fields[:2], StructField("bits", BinaryType())])
     table = sample.mapInArrow(feature_rows, schema).dropDuplicates(["_id"]).orderBy("_id").toArrow()
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    x = np.unpackbits(bits, axis=1)[:, : len(known)].astype(float)
+    x = np.unpackbits(bits, axis=1)[:, : len(known)].astype(np.float32)
     toxic = table.column("_label").to_numpy() > 0
     if not toxic.any() or toxic.all():
         return nothing
