@@ -13,9 +13,9 @@ all texts; a bit shared by two shingles only makes a search longer.
 
 A group of copies is not joined pair by pair.  Equal sets are one class.  In
 each list of classes with a common shingle, all search first against one of
-them; classes that are connected by then are not compared again.  Last, every
-pair of one list that is in two components still is searched, so no link
-between components is missed.
+them.  Last, lists that still hold several components are searched in blocks, all
+against all, so no link between components is missed; pairs exist only inside
+a search.
 """
 
 from __future__ import annotations
@@ -42,10 +42,10 @@ FREQUENT = 32
 MAX_BITS = 30
 # Text bytes whose shingles are counted in one group, and shingles a task gathers before it sends them.
 GROUP_BYTES = 64 << 20
-GATHERED = 4 << 20
+GATHERED = 2 << 20
 # Shingles of the candidates that are searched at once.
-BLOCK_SHINGLES = 1 << 20
-# Searches of every list against one of its classes before all remaining pairs.
+BLOCK_SHINGLES = 1 << 18
+# Searches of every list against one of its classes before the remaining ones are searched in blocks.
 STAR_ROUNDS = 2
 
 
@@ -99,38 +99,43 @@ def needed_overlap(a: int, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Numbers of the ``sets`` that link with ``query``; all are sorted and distinct."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    need = needed_overlap(len(query), sizes, percent)
-    possible = np.flatnonzero((need <= len(query)) & (need <= sizes) & (sizes > 0))
-    if not len(possible) or not len(query):
-        return np.zeros(0, np.int64)
-    # Inverted lists of the query's shingles over the sets, each sorted by set.
-    values = np.concatenate([sets[k] for k in possible])
-    owner = np.repeat(possible, sizes[possible])
-    at = np.searchsorted(query, values)
-    hit = at < len(query)
-    hit[hit] = query[at[hit]] == values[hit]
-    order = np.argsort(at[hit], kind="stable")
-    shingle, member = at[hit][order], owner[hit][order]
-    starts = np.flatnonzero(np.diff(shingle, prepend=-1))
-    lists = sorted(np.split(member, starts[1:]), key=len) if len(starts) else []
-    least = int(need[possible].min())
-    # The paper's choice of how many lists are long.
-    longest = max((len(x) for x in lists), default=1)
-    long = min(len(lists), least - 1, int(least / (0.01 * math.log2(longest + 1) + 1)))
-    short_lists, long_lists = lists[: len(lists) - long], lists[len(lists) - long :]
-    merged = np.fromiter(heapq.merge(*[x.tolist() for x in short_lists]), np.int64)
-    candidates, seen = np.unique_counts(merged) if len(merged) else (merged, merged)
-    good = seen >= need[candidates] - long
-    candidates, seen = candidates[good], seen[good]
-    for probed in long_lists:
-        place = np.searchsorted(probed, candidates)
-        inside = place < len(probed)
-        inside[inside] = probed[place[inside]] == candidates[inside]
-        seen = seen + inside
-    return candidates[seen >= need[candidates]]
+class Index:
+    """Inverted lists of a block of sets: per shingle the sets that have it, in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def search(self, query: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """Numbers of the sets that link with ``query`` (sorted, distinct), by DivideSkip."""
+        need = needed_overlap(len(query), self.sizes, percent)
+        possible = (need <= len(query)) & (need <= self.sizes) & (self.sizes > 0)
+        if not possible.any() or not len(query):
+            return np.zeros(0, np.int64)
+        begins = np.searchsorted(self.values, query, side="left")
+        ends = np.searchsorted(self.values, query, side="right")
+        full = np.flatnonzero(ends > begins)
+        order = full[np.argsort((ends - begins)[full], kind="stable")]
+        lists = [self.members[x:y] for x, y in zip(begins[order].tolist(), ends[order].tolist())]
+        least = int(need[possible].min())
+        if len(lists) < least:
+            return np.zeros(0, np.int64)
+        # The paper's choice of how many lists are long.
+        long = min(least - 1, int(least / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
+        cut = len(lists) - long
+        merged = np.fromiter(heapq.merge(*[x.tolist() for x in lists[:cut]]), np.int64)
+        candidates, seen = np.unique(merged, return_counts=True)
+        good = possible[candidates] & (seen >= need[candidates] - long)
+        candidates, seen = candidates[good], seen[good]
+        for probed in lists[cut:] if len(candidates) else ():
+            place = np.searchsorted(probed, candidates)
+            inside = place < len(probed)
+            inside[inside] = probed[place[inside]] == candidates[inside]
+            seen = seen + inside
+        return candidates[seen >= need[candidates]]
 
 
 def _count_shingles(docs: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -245,7 +250,7 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def _search(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _search_leads(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (lead, node) whose sets link: one DivideSkip search per lead and block of nodes."""
     sized = pairs.join(classes.select("node", "n"), "node")
     # As many blocks per lead as its candidates' shingles fill.
@@ -265,13 +270,75 @@ def _search(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         at = int(np.flatnonzero(nodes == -1)[0])
         others = np.delete(nodes, at)
         query = sets.pop(at)
-        found = others[divide_skip(query, sets, percent)]
+        found = others[Index(sets).search(query, percent)]
         lead = table.column("lead")[0].as_py()
         return pa.table({"lead": pa.array([lead] * len(found), pa.int64()), "node": pa.array(found, pa.int64())})
 
     return members.unionByName(leads).groupBy("lead", "block").applyInArrow(search, "lead long, node long")
 
 
+def _search_blocks(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (lead, node) that join all components which meet on a list of ``placed``.
+
+    ``placed`` has a row (shingle, node, n, root) per class and list.  Each class
+    belongs to a block of its longest list; blocks that meet on a list are
+    searched against each other, every class of one in the inverted lists of
+    the other.  Pairs of classes exist inside a search only, and of the links
+    found, those that connect two components so far are returned.
+    """
+    lengths = placed.groupBy("shingle").agg(F.count("*").alias("length"))
+    homes = placed.join(lengths, "shingle").groupBy("node", "n", "root").agg(
+        F.max_by("shingle", F.struct("length", "shingle")).alias("home")
+    )
+    homes = stage(homes, "search-homes")
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    blocks = homes.join(parts, "home").select(
+        "node", "root", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")
+    )
+    blocks = stage(blocks, "search-blocks")
+    met = placed.select("shingle", "node").join(blocks, "node").groupBy("shingle", "block").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
+    other = met.select("shingle", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # Two blocks that are one component need no search.
+    pairs = (
+        met.join(other, "shingle").where("block <= other").where("least(lo, lo2) < greatest(hi, hi2)")
+        .select("block", "other").distinct()
+    )
+    sets = blocks.join(classes.select("node", "shingles"), "node").select("block", "node", "root", "shingles")
+    queries = pairs.join(sets, "block").select(F.lit(0).alias("side"), "block", "other", "node", "root", "shingles")
+    indexed = pairs.where("block < other").join(sets.withColumnRenamed("block", "other"), "other").select(
+        F.lit(1).alias("side"), "block", "other", "node", "root", "shingles"
+    )
+
+    def search(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        first = np.flatnonzero(side == 0)
+        second = np.flatnonzero(side == 1) if (side == 1).any() else first
+        index = Index([sets[k] for k in second])
+        parent = {r: r for r in set(roots.tolist())}
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        lead, node = [], []
+        for k in first.tolist():
+            for m in second[index.search(sets[k], percent)].tolist():
+                a, b = top(int(roots[k])), top(int(roots[m]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    lead.append(int(nodes[k]))
+                    node.append(int(nodes[m]))
+        return pa.table({"lead": pa.array(lead, pa.int64()), "node": pa.array(node, pa.int64())})
+
+    return queries.unionByName(indexed).groupBy("block", "other").applyInArrow(search, "lead long, node long")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Smallest node of each node's component, (node, root), for all nodes that are not roots themselves.
 
@@ -322,32 +389,30 @@ def _link_classes(classes: DataFrame, percent: int) -> DataFrame | None:
         if step:
             # Lists within one component need no more searches.
             mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-            placed = placed.join(mixed.select("shingle"), "shingle", "left_semi")
+            placed = stage(placed.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed-lists")
+            if placed.isEmpty():
+                break
         if step < STAR_ROUNDS:
-            # Another class of each list in each round.
-            shuffle = F.lit(0x5DEECE66D * step)
-            lead = F.min(F.col("node").bitwiseXOR(shuffle)).bitwiseXOR(shuffle)
-            leads = _with_roots(placed.groupBy("shingle").agg(lead.alias("node")).select("shingle", "node"), roots)
-            leads = leads.select("shingle", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-            met = placed.join(leads, "shingle").where("root != lead_root").groupBy("node", "lead").agg(F.count("*").alias("met"))
-            # Each class searches against the lead it shares most lists with.
-            pairs = met.groupBy("node").agg(F.max_by("lead", F.struct("met", "lead")).alias("lead"))
+            found = _search_leads(_star_pairs(placed, roots, step), classes, percent)
         else:
-            a = placed.select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
-            close = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
-            pairs = (
-                placed.join(a, "shingle").where("lead < node").where("root != lead_root").where(close)
-                .select("lead", "node").distinct()
-            )
-        pairs = stage(pairs.select("lead", "node"), "search-pairs")
-        if pairs.isEmpty():
-            continue
-        found = stage(_search(pairs, classes, percent), "links")
+            found = _search_blocks(placed, classes, percent)
+        found = stage(found, "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     return roots
 
 
+def _star_pairs(placed: DataFrame, roots: DataFrame | None, step: int) -> DataFrame:
+    """(lead, node): every class with the lead it shares most lists with; another lead of each list in each step."""
+    shuffle = F.lit(0x5DEECE66D * step)
+    lead = F.min(F.col("node").bitwiseXOR(shuffle)).bitwiseXOR(shuffle)
+    leads = _with_roots(placed.groupBy("shingle").agg(lead.alias("node")).select("shingle", "node"), roots)
+    leads = leads.select("shingle", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    met = placed.join(leads, "shingle").where("root != lead_root").groupBy("node", "lead").agg(F.count("*").alias("met"))
+    best = met.groupBy("node").agg(F.max_by("lead", F.struct("met", "lead")).alias("lead"))
+    return stage(best.select("lead", "node"), "search-pairs")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
