@@ -16,7 +16,7 @@ def fit_linear(x: np.ndarray, positive: np.ndarray, loss: str, l2: float = 1e-3,
     machine).  The intercept is not held small.  With ``even``, inputs are brought
     to equal spread first, so that rare ones count as much as common ones.
     """
-    spread = np.maximum(x.std(axis=0), 1e-3) if even else np.ones(x.shape[1])
+    spread = np.maximum(x.std(axis=0), 1e-2) if even else np.ones(x.shape[1])
     x = np.hstack([x / spread, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
     y = np.where(positive, 1.0, -1.0)
     shrink = np.full(x.shape[1], l2)

@@ -162,7 +162,7 @@ def learn_rules(
     max_conditions: int = 3,
     max_rules: int = 12,
     min_covered: int = 5,
-    min_precision: float = 0.7,
+    min_precision: float = 0.9,
 ) -> list[Rule]:
     """Ordered rules that cover bad rows.
 

@@ -22,8 +22,11 @@ from tidewatch.sources.staging import stage
 # Labelled rows the chain is fitted on, and words it looks for, at most.
 MAX_LABELLED = 20_000
 MAX_WORDS = 384
-# Documents a word must occur in to be looked for.
+# Documents a word must occur in to be looked for, and how far its toxic share must be above that of all.
 MIN_DOCUMENTS = 5
+MIN_TELLING = 3.0
+# The verdict needs at least this probability, and no more than the other, however few rows taught it.
+THRESHOLDS = (0.2, 0.5)
 
 
 @dataclass(frozen=True)
@@ -71,14 +74,14 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = 3) -> tuple[list[np.nda
 
 
 def best_threshold(p: np.ndarray, positive: np.ndarray) -> float:
-    """The probability from which calling a row positive gives the largest F1."""
+    """The probability from which calling a row positive gives the largest F1, within ``THRESHOLDS``."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(positive[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + positive.sum())
     ends = np.append(np.diff(p[order]) != 0, True)
     at = int(np.argmax(np.where(ends, f1, -1.0)))
     low = p[order][at + 1] if at + 1 < len(p) else 0.0
-    return float((p[order][at] + low) / 2)
+    return float(np.clip((p[order][at] + low) / 2, *THRESHOLDS))
 
 
 def learn_chain(
@@ -131,7 +134,7 @@ def learn_chain(
         .agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
         .where(F.col("n") >= MIN_DOCUMENTS)
         .select("word", telling.alias("telling"))
-        .where("telling > 0")
+        .where(F.col("telling") >= MIN_TELLING)
         .orderBy(F.desc("telling"), "word")
         .limit(MAX_WORDS)
         .collect()
