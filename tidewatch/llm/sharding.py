@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidewatch.sources.staging import stage
 
 # Rows that are ranked in one window; more rows make more windows.
-WINDOW_ROWS = 20_000
+WINDOW_ROWS = 5_000
 
 
 def interleave(
