@@ -120,8 +120,8 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingest feed as request bodies of one batch each (about 100 events)."""
-    feed = sample.ingest_feed(spark, sf_dir).where(F.col("seq") < 100)
+    """The ingest feed as request bodies of one batch each (about 100 events), repeats included."""
+    feed = sample.ingest_feed(spark, sf_dir)
     event = F.struct(
         "event_id",
         F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts_event"),
@@ -132,11 +132,14 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seq", F.to_json(event).alias("json")))),
         lambda e: e["json"],
     )
+    # Every tenth batch is delivered twice.
+    times = F.explode(F.expr("if(batch_id % 10 = 0, array(1, 2), array(1))"))
     return feed.groupBy("batch_id").agg(F.min("ts_ingested").alias("received_at"), listed.alias("e")).select(
         F.col("batch_id").cast("string").alias("batch_id"),
         "received_at",
         F.concat(F.lit('{"events":['), F.array_join("e", ","), F.lit("]}")).alias("body"),
-    )
+        times.alias("_time"),
+    ).drop("_time")
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:

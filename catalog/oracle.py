@@ -464,8 +464,27 @@ SELECT 'system' AS actor, 'ingest_events' AS action, 'events_batch' AS entity_ty
   count(*) FILTER (WHERE reason = 'ok') AS accepted, count(*) FILTER (WHERE reason <> 'ok') AS rejected
 FROM judged GROUP BY batch_id""",
     "ingest_bodies": f"""
-SELECT batch_id, seq, event_id, event_type, user_id, {_r('value', 'measurement_uncertainty')}, errors, reason
-FROM ({_judged(feed="(SELECT * FROM feed WHERE seq < 100)")})""",
+SELECT batch_id, row_number() OVER (PARTITION BY batch_id, delivery ORDER BY seq) - 1 AS seq, event_id, event_type,
+  user_id, {_r('value', 'measurement_uncertainty')}, errors, reason
+FROM (SELECT *, 1 AS delivery FROM judged UNION ALL
+  SELECT * REPLACE (CASE WHEN reason = 'ok' THEN 'duplicate_event_id' ELSE reason END AS reason), 2
+  FROM judged WHERE batch_id % 10 = 0)""",
+    "ingest_refused_bodies": """
+SELECT path, errors, ingest_date, n_events FROM (
+  SELECT batch_id, '/ingest/events' AS path, min(ts_ingested)::DATE AS ingest_date, count(*) AS n_events,
+    '["' || array_to_string(list_sort(list_distinct(flatten(list(string_split(errors, ';')) FILTER (WHERE errors <> '')))), '","')
+      || '"]' AS errors
+  FROM judged GROUP BY 1 HAVING bool_or(errors <> ''))
+JOIN (VALUES (1), (2)) d(delivery) ON delivery = 1 OR batch_id % 10 = 0""",
+    "rules_seed": """
+SELECT 'rules of weekday ' || (isodow(event_date) - 1)::VARCHAR AS rule_name, count(DISTINCT event_date) AS n
+FROM ev GROUP BY 1 UNION ALL SELECT 'anomaly_rules', 1""",
+    "kpi_latency_nonfinite": """
+SELECT event_date, quantile_cont(v, 0.95)::VARCHAR = 'nan' AS p95_is_nan,
+  round(CASE WHEN quantile_cont(v, 0.95)::VARCHAR <> 'nan' THEN quantile_cont(v, 0.95) END, 6) AS p95,
+  round(quantile_cont(v, 0.5), 6) AS p50
+FROM (SELECT event_date, CASE WHEN (day(event_date) % 2 = 0 AND id_ % 7 = 0) OR id_ % 45 = 0 THEN 'nan'::DOUBLE ELSE value END AS v
+  FROM ev WHERE value IS NOT NULL) GROUP BY 1""",
     "series_features": f"""
 SELECT metric_name, metric_date, n_lookback, n_baseline, n_seasonal, {_r(
     'observed', 'baseline_mean', 'baseline_std', 'previous_value', 'persistence', 'cp_recent_mean',

@@ -17,6 +17,7 @@ from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import bias, drift, kpis, notify, quality, requests, validation
 from tidewatch.operators.detectors import detect
 from tidewatch.operators.merge import merge
+from tidewatch.operators.percentiles import daily_percentiles
 from tidewatch.operators.series import series_features
 from tidewatch.plans import overview, panels, reads
 from tidewatch.sources import rules, sample
@@ -287,6 +288,41 @@ def _(spark, sf_dir):
     )
 
 
+@query("ingest_refused_bodies")
+def _(spark, sf_dir):
+    """Whole bodies refused for an invalid event, as they are quarantined."""
+    posts = D.bodies(spark, sf_dir)
+    judged = validation.classify(stage(validation.explode_bodies(posts), "parsed"), whole_batches=True)
+    kept = validation.refused_bodies(posts, judged, "/ingest/events")
+    document = lambda at: F.get_json_object("raw_payload", at)
+    return kept.select(
+        document("$.path").alias("path"), document("$.errors").alias("errors"), "ingest_date",
+        F.json_array_length(document("$.body.events")).cast("bigint").alias("n_events"),
+    )
+
+
+@query("rules_seed")
+def _(spark, sf_dir):
+    """The default rule joins stored rules that have other names."""
+    named = F.concat(F.lit("rules of weekday "), F.weekday(F.to_date("updated_at")).cast("string"))
+    stored = D.rules(spark, sf_dir).withColumn("rule_name", named)
+    seeded = rules.seed_if_absent(stored, rules.seed_rules(spark))
+    return seeded.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kpi_latency_nonfinite")
+def _(spark, sf_dir):
+    """Percentiles of days that hold values which are no numbers."""
+    number = F.substring("event_id", -12, 12).cast("bigint")
+    odd = ((F.dayofmonth("event_date") % 2 == 0) & (number % 7 == 0)) | (number % 45 == 0)
+    v = F.when(F.col("value").isNotNull(), F.when(odd, F.lit(float("nan"))).otherwise(F.col("value")))
+    found = daily_percentiles(sample.events_raw(spark, sf_dir), "event_date", v, {"p95": 0.95, "p50": 0.5})
+    return found.select(
+        "event_date", F.isnan("p95").alias("p95_is_nan"),
+        F.round(F.when(~F.isnan("p95"), F.col("p95")), 6).alias("p95"), F.round("p50", 6).alias("p50"),
+    )
+
+
 # --- series and detectors --------------------------------------------------
 
 @query("series_features")

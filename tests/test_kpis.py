@@ -94,3 +94,21 @@ def test_percentiles_of_short_days(spark, rows):
     )
     got = {r["d"].day: r["p"] for r in rows(daily_percentiles(df, "d", F.col("v"), {"p": 0.95}))}
     assert got == {1: 4.0, 2: pytest.approx(1.95)}
+
+
+@pytest.mark.parametrize("accuracy", [10, 10_000])
+def test_percentiles_of_values_that_are_not_finite(spark, rows, accuracy):
+    """NaN ranks last, as it does in the databases that hold such values."""
+    inf, nan = float("inf"), float("nan")
+    given = {
+        1: [*range(90), *[nan] * 10], 2: [*range(99), nan], 3: [nan], 4: [inf, inf, 1.0, -inf], 5: [*range(40), *[inf] * 5, *[nan] * 5],
+    }
+    df = spark.createDataFrame([(d, float(v)) for d, values in given.items() for v in values], "day int, v double")
+    got = rows(daily_percentiles(df, "day", F.col("v"), {"p50": 0.5, "p95": 0.95}, accuracy=accuracy), "day")
+    same = lambda a, b: a == pytest.approx(b, nan_ok=True)
+    for r in got:
+        values = sorted(given[r["day"]], key=lambda v: (v != v, v))
+        for name, p in (("p50", 0.5), ("p95", 0.95)):
+            low, part = divmod(p * (len(values) - 1), 1)
+            a, b = values[int(low)], values[min(int(low) + 1, len(values) - 1)]
+            assert same(r[name], a if part == 0 or a == b else a + (b - a) * part), (r, name)

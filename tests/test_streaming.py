@@ -67,6 +67,15 @@ def test_kpi_stream_recomputes_touched_days(spark, tables, tmp_path, events, row
     assert rows(batch.select(*keep), *keep) == rows(tables.read("metrics_daily").select(*keep), *keep)
 
 
+def test_a_repeated_micro_batch_changes_nothing(spark, tables, events, rows):
+    batch = events([(f"e{n}", "2026-01-13 10:00:00", "transaction_completed", "web", f"u{n}", n) for n in range(20)])
+    for _ in range(2):
+        stream_kpis.recompute_touched_days(tables, batch, datetime(2026, 1, 14))
+    assert tables.read("events_raw").count() == 20
+    count = tables.read("metrics_daily").where("metric_name = 'tx_completed_count'")
+    assert [r["value"] for r in rows(count)] == [20.0]
+
+
 def test_late_rows_are_listed_not_lost(spark, events, rows):
     df = events([
         (f"e{i}", f"2026-01-{day:02d} 10:00:00", "user_access", "web", "u", 1) for i, day in enumerate((1, 1, 9, 10))

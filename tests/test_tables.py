@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
+from tidewatch.operators import notify
 from tidewatch.plans import daily
 from tidewatch.sources.staging import stage
 from tidewatch.sources.tables import TABLES, Tables
@@ -122,3 +123,24 @@ def test_acting_on_alerts(tables, events, rows, spark):
     assert state[first] == "RESOLVED" and set(state.values()) <= {"OPEN", "RESOLVED"}
     audit = rows(tables.read("audit_log"), "ts")
     assert [(a["action"], a["entity_id"]) for a in audit] == [("alert_ack", str(first)), ("alert_resolve", str(first))]
+
+
+def test_a_failed_upsert_keeps_the_old_rows(tables, spark, rows):
+    def outcome(status, broken=False):
+        df = spark.range(3).selectExpr(
+            "id AS alert_id", "'webhook' AS channel", "'https://h/1' AS target", f"'{status}' AS status", "'{}' AS payload",
+            "cast(if(id = 1 AND " + str(broken).lower() + ", raise_error('lost'), null) AS string) AS error",
+        )
+        return notify.outcome_rows(df, NOW)
+
+    tables.upsert("alert_notifications", outcome("failed"))
+    before = rows(tables.read("alert_notifications"), "alert_id")
+    with pytest.raises(Exception, match="lost"):
+        tables.upsert("alert_notifications", outcome("sent", broken=True))
+    with pytest.raises(Exception, match="lost"):
+        tables._write("alert_notifications", outcome("sent", broken=True), "overwrite")
+    assert rows(tables.read("alert_notifications"), "alert_id") == before
+    for _ in range(3):
+        tables.upsert("alert_notifications", outcome("sent"))
+    assert {r["status"] for r in rows(tables.read("alert_notifications"))} == {"sent"}
+    assert tables.read("alert_notifications").count() == 3

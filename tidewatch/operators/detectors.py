@@ -61,7 +61,7 @@ def ewma(rules: RuleConfig) -> Detector:
 
 
 def change_point(rules: RuleConfig) -> Detector:
-    w = rules.change_point_window
+    w = max(1, rules.change_point_window)
     # Equal lengths on both sides: the pooled variance is the plain mean.
     spread = f"(sqrt((cp_recent_var + cp_previous_var) / 2) * sqrt(2D / {w}))"
     z = f"if({spread} > 0, (cp_recent_mean - cp_previous_mean) / {spread}, null)"
@@ -83,7 +83,7 @@ def seasonal_decomposition(rules: RuleConfig) -> Detector:
 
 
 def regime_shift(rules: RuleConfig) -> Detector:
-    recent, prior = rules.regime_recent_days, rules.regime_baseline_days
+    recent, prior = max(1, rules.regime_recent_days), max(1, rules.regime_baseline_days)
     limit = f"{rules.regime_var_ratio!r}D"
     shift = "(regime_recent_mean - regime_prior_mean)"
     z = f"if(regime_prior_var > 0, {shift} / (sqrt(regime_prior_var) / sqrt({recent}D)), 0D)"

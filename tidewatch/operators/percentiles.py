@@ -32,19 +32,23 @@ def _kept(rows: DataFrame, day: str, value: Column, probabilities: list[float],
     )
     slack = _BRACKET / accuracy
     cuts = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-slack, slack)]
+    # NaN is the largest value, above infinity; the sketch knows both as infinity.
+    infinity, nan = F.lit(float("inf")), F.lit(float("nan"))
     brackets = values.groupBy("_day").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", cuts, accuracy).alias("_cuts"),
+        F.percentile_approx(F.when(F.isnan("_v"), infinity).otherwise(F.col("_v")), cuts, accuracy).alias("_cuts"),
     )
-    # Short days are kept whole: fewer than ``accuracy`` values.
+    # A wanted rank lies within two ranks of its share of the day and a sketched one
+    # within 1/accuracy, so from ``accuracy`` values on a bracket holds its ranks;
+    # below that the bracket is the whole day.
     v, edge, short = F.col("_v"), F.col("_cuts"), F.col("_n") < accuracy
-    pairs = [
-        (
-            F.when(short, float("-inf")).otherwise(edge[2 * i]),
-            F.when(short, float("inf")).otherwise(edge[2 * i + 1]),
-        )
-        for i in range(len(probabilities))
-    ]
+    pairs = []
+    for i in range(len(probabilities)):
+        low, high = edge[2 * i], edge[2 * i + 1]
+        pairs.append((
+            F.when(short, float("-inf")).otherwise(low),
+            F.when(short | (high == infinity), nan).otherwise(high),
+        ))
     inside = any_of([(v >= low) & (v <= high) for low, high in pairs])
     zone = reduce(add, [(v >= low).cast("int") + (v > high).cast("int") for low, high in pairs])
     # One row per calendar day: a few thousand rows whatever the data volume.
@@ -66,7 +70,8 @@ def daily_percentiles(
     """One row per day with a column per entry of ``wanted`` (name -> 0..1).
 
     Nulls are ignored; days without a value are absent.  Interpolates linearly
-    between neighbouring ranks.
+    between neighbouring ranks.  NaN ranks above infinity, and a percentile that
+    falls on it is NaN.
     """
     probabilities = list(wanted.values())
     kept = _kept(rows, day, value, probabilities, accuracy)
@@ -102,10 +107,10 @@ def daily_percentiles(
     picks = [
         F.max(F.when(holds(rank), F.col("_kept"))).alias(f"_r{i}") for i, rank in enumerate(ranks)
     ]
-    missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
     out = [F.col("_day").alias(day)]
     for i, (name, place) in enumerate(zip(wanted, places)):
         low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        exact = low + (high - low) * (place - F.floor(place))
-        out.append(F.when(low.isNull() | high.isNull(), missed).otherwise(exact).alias(name))
+        between = low + (high - low) * (place - F.floor(place))
+        # Equal infinities have no difference.
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
     return ranked.groupBy("_day", "_n").agg(*picks).select(*out)

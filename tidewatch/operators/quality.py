@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -47,7 +47,10 @@ def is_future(as_of: datetime) -> Column:
 
 def future_events(events: DataFrame, as_of: datetime) -> DataFrame:
     """One row: events of the whole table lying in the future of ``as_of``."""
-    return events.agg(F.count_if(is_future(as_of)).alias("future_events"))
+    # Only the days from then on are read.
+    latest = as_of + timedelta(minutes=S.FUTURE_GRACE_MINUTES)
+    ahead = events.where((F.col("event_date") >= F.lit(latest.date())) & is_future(as_of))
+    return ahead.agg(F.count(F.lit(1)).alias("future_events"))
 
 
 def future_events_by_day(events: DataFrame, as_of: datetime) -> DataFrame:

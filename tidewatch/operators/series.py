@@ -67,9 +67,10 @@ def series_features(
     frames = {
         "lookback": S.LOOKBACK_DAYS,
         "baseline": S.BASELINE_DAYS,
-        "w": rules.change_point_window,
-        "recent": rules.regime_recent_days,
-        "prior": rules.regime_baseline_days,
+        # Frames need a row at least; a detector with a window below two does not fire.
+        "w": max(1, rules.change_point_window),
+        "recent": max(1, rules.regime_recent_days),
+        "prior": max(1, rules.regime_baseline_days),
     }
     features = metrics.sparkSession.sql(_FEATURES % frames, rows=rows)
     return features.withColumn("persistence", F.expr(_PERSISTENCE))

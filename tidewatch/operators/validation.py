@@ -54,15 +54,29 @@ def _event_time(name: str) -> Column:
     return F.when(_kind(name, *_NUMERIC_KINDS), epoch).when(_kind(name, "STRING"), iso)
 
 
+def deliveries(bodies: DataFrame) -> DataFrame:
+    """Request bodies with ``delivery``, which tells equal and other bodies of one batch and moment apart.
+
+    Landing folders and queues deliver at least once: a body that arrives again
+    is a delivery of its own.
+    """
+    counted = bodies.groupBy("batch_id", "received_at", "body").agg(F.count(F.lit(1)).alias("_n"))
+    number = F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_number")
+    name = F.concat_ws("/", F.hex(F.xxhash64("body")), F.lpad(F.col("_number").cast("string"), 9, "0"))
+    return counted.select("batch_id", "received_at", "body", number).select(
+        "batch_id", "received_at", "body", name.alias("delivery")
+    )
+
+
 def explode_bodies(bodies: DataFrame) -> DataFrame:
     """One row per event of each request body ``{"events": [...]}``, in order.
 
-    Adds ``batch_id``, ``seq`` and ``parse_errors`` to the typed event columns.
-    A body that is not JSON or has no event list yields one row that carries
-    the error and ``seq`` 0.
+    Adds ``batch_id``, ``seq``, ``delivery`` and ``parse_errors`` to the typed
+    event columns.  A body that is not JSON or has no event list yields one row
+    that carries the error and ``seq`` 0; an empty event list yields none.
     """
-    parsed = bodies.select(
-        "batch_id", "received_at", F.try_parse_json("body").alias("_doc")
+    parsed = deliveries(bodies).select(
+        "batch_id", "received_at", "delivery", F.try_parse_json("body").alias("_doc")
     ).withColumn("_events", F.try_variant_get("_doc", "$.events", "array<variant>"))
     broken = F.when(F.col("_doc").isNull(), "body:unparseable").when(
         F.col("_events").isNull(), "events:missing"
@@ -70,6 +84,7 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
     opened = parsed.select(
         "batch_id",
         "received_at",
+        "delivery",
         broken.alias("_broken"),
         F.posexplode_outer("_events").alias("_pos", "_event"),
     ).where(F.col("_event").isNotNull() | F.col("_broken").isNotNull())
@@ -103,7 +118,7 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
         "properties": properties,
     }
     rows = named.select(
-        "batch_id", "received_at", "_broken", "_pos", "_kind",
+        "batch_id", "received_at", "delivery", "_broken", "_pos", "_kind",
         *[value.alias(name) for name, value in typed.items()],
     )
     # Stated in the event, yet unusable for the field; a JSON null states nothing.
@@ -120,6 +135,7 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
     return rows.select(
         "batch_id",
         F.coalesce("_pos", F.lit(0)).cast("bigint").alias("seq"),
+        "delivery",
         F.col("received_at").alias("ts_ingested"),
         *EVENT_FIELDS,
         F.when(whole.isNotNull(), F.array(whole))
@@ -174,8 +190,13 @@ def classify(
     """
     checked = check_events(rows)
     wrong = F.size("errors") > 0
+    batch = ["batch_id"]
+    if "delivery" in rows.columns:
+        # Unique also if a batch id comes again or a body is delivered twice.
+        order = (*order, "delivery")
+        batch = ["batch_id", "ts_ingested", "delivery"]
     if whole_batches:
-        keyed = checked.withColumn("_batch", F.col("batch_id").cast("string"))
+        keyed = checked.withColumn("_batch", F.concat_ws("/", *[F.col(c).cast("string") for c in batch]))
         bad = (
             keyed.groupBy("_batch")
             .agg(F.count(F.lit(1)).alias("_size"), F.max(wrong).alias("_refused"))
@@ -213,8 +234,9 @@ def accepted(classified: DataFrame) -> DataFrame:
 def refused(classified: DataFrame) -> DataFrame:
     """Refused events as quarantine rows, one each, with the event and its errors."""
     payload = F.to_json(F.struct(*EVENT_FIELDS, "errors"))
+    place = [c for c in ("batch_id", "seq", "ts_ingested", "reason", "delivery") if c in classified.columns]
     return classified.where(F.col("reason") != OK).select(
-        surrogate_id(F.col("batch_id"), F.col("seq"), F.col("ts_ingested"), F.col("reason")).alias("quarantine_id"),
+        surrogate_id(*[F.col(c) for c in place]).alias("quarantine_id"),
         "ts_ingested",
         "reason",
         payload.alias("raw_payload"),
@@ -224,19 +246,16 @@ def refused(classified: DataFrame) -> DataFrame:
 
 def refused_bodies(bodies: DataFrame, classified: DataFrame, path: str) -> DataFrame:
     """Batches with an invalid event as quarantine rows, one per request body."""
-    bad = classified.where(F.size("errors") > 0).groupBy("batch_id").agg(
+    bad = classified.where(F.size("errors") > 0).groupBy(
+        "batch_id", F.col("ts_ingested").alias("received_at"), "delivery"
+    ).agg(
         # Distinct codes: a short list however long the batch.
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("errors")))).alias("errors")
     )
-    document = F.when(F.try_parse_json("body").isNull(), F.lit('{"raw":"unparseable"}')).otherwise(
-        F.col("body")
-    )
-    payload = F.concat(
-        F.lit('{"path":"' + path + '","errors":'), F.to_json("errors"),
-        F.lit(',"body":'), document, F.lit("}"),
-    )
-    return bodies.join(bad, "batch_id").select(
-        surrogate_id(F.col("batch_id"), F.col("received_at")).alias("quarantine_id"),
+    document = F.coalesce(F.try_parse_json("body"), F.parse_json(F.lit('{"raw":"unparseable"}')))
+    payload = F.to_json(F.struct(F.lit(path).alias("path"), "errors", document.alias("body")))
+    return deliveries(bodies).join(bad, ["batch_id", "received_at", "delivery"]).select(
+        surrogate_id(F.col("batch_id"), F.col("received_at"), F.col("delivery")).alias("quarantine_id"),
         F.col("received_at").alias("ts_ingested"),
         F.lit(INVALID).alias("reason"),
         payload.alias("raw_payload"),
@@ -244,9 +263,15 @@ def refused_bodies(bodies: DataFrame, classified: DataFrame, path: str) -> DataF
     )
 
 
-def receipts(classified: DataFrame) -> DataFrame:
-    """Per batch: accepted, rejected, and the rejections by reason."""
+def receipts(classified: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """Per batch: accepted, rejected, and the rejections by reason.
+
+    ``batches`` (one row per ``batch_id``) adds those without an event: nothing
+    accepted and nothing rejected.
+    """
     by_reason = classified.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    if batches is not None:
+        by_reason = batches.select("batch_id").join(by_reason, "batch_id", "left")
     no = F.col("reason") != OK
     entries = F.collect_list(F.when(no, F.struct("reason", "n")))
     return by_reason.groupBy("batch_id").agg(

@@ -14,7 +14,7 @@ from tidewatch import schemas as S
 from tidewatch.operators import alerts as alert_ops, detectors, kpis, notify, quality, validation
 from tidewatch.operators.calendar import check_range
 from tidewatch.sources.rules import RuleConfig, load_rules, seed_if_absent, seed_rules
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import is_complete, stage
 from tidewatch.sources.tables import Tables
 
 
@@ -28,34 +28,40 @@ def ingest(
     actor: str = "system",
     whole_batches: bool = False,
     path: str = "/ingest/events",
-    history_days: int | None = None,
+    judged_at: str | None = None,
 ) -> DataFrame:
     """Validate, de-duplicate and store request bodies; returns the receipts.
 
     ``whole_batches`` refuses a batch for one invalid event and quarantines its
     body; otherwise each invalid event is quarantined on its own.  Ids are
-    checked against all stored events, or, with the weaker guarantee that
-    implies, against the event days from ``history_days`` before the batch on.
+    checked against all stored events.  With ``judged_at``, a path of this
+    delivery alone, the judgement is made once: a repeated run reads it there
+    and stores what is still missing.
     """
-    rows = stage(validation.explode_bodies(bodies), "parsed")
-    history = tables.read("events_raw")
-    if history_days is not None:
-        oldest = rows.agg(F.date_sub(F.to_date(F.min("ts_ingested")), history_days)).scalar()
-        history = history.where(F.col("event_date") >= oldest)
-    judged = stage(validation.classify(rows, history, whole_batches), "classified")
-
+    judged_before = judged_at is not None and is_complete(tables.spark, judged_at)
+    if judged_before:
+        judged = tables.spark.read.parquet(judged_at)
+    else:
+        rows = stage(validation.explode_bodies(bodies), "parsed")
+        judged = validation.classify(rows, tables.read("events_raw"), whole_batches)
+        judged = stage(judged, "classified", at=judged_at)
+
+    batches = bodies.groupBy("batch_id").agg(F.max("received_at").alias("ts"))
     answered = judged
     if whole_batches:
         answered = judged.where(F.col("reason") != validation.INVALID)
+        refused = judged.where(F.col("reason") == validation.INVALID).select("batch_id").distinct()
+        heard = answered.select("batch_id").distinct()
+        batches = batches.join(refused.join(heard, "batch_id", "left_anti"), "batch_id", "left_anti")
         tables.append_new("events_quarantine", validation.refused_bodies(bodies, judged, path))
     tables.append_new("events_quarantine", validation.refused(answered))
 
-    receipt = stage(validation.receipts(answered), "receipts")
-    received = answered.groupBy("batch_id").agg(F.max("ts_ingested").alias("ts"))
-    audit = validation.audit_of_ingest(receipt.join(received, "batch_id"), actor, F.col("ts"))
+    receipt = stage(validation.receipts(answered, batches), "receipts")
+    audit = validation.audit_of_ingest(receipt.join(batches, "batch_id"), actor, F.col("ts"))
     tables.append_new("audit_log", audit)
     # Last, so that a run that failed earlier can simply be repeated.
-    tables.append("events_raw", validation.accepted(judged))
+    store = tables.append if judged_at is None else tables.append_new
+    store("events_raw", validation.accepted(judged))
     return receipt
 
 

@@ -35,12 +35,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/staged/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and return it as a table read back from storage."""
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path as it takes it."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was finished."""
+    fs, marker = file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
+
+
+def stage(
+    df: DataFrame, label: str, partition_by: str | None = None, at: str | None = None
+) -> DataFrame:
+    """Write ``df`` once and return it as a table read back from storage.
+
+    ``at`` names the place; what an unfinished write left there is replaced.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = at or fresh_path(spark, label)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
-    writer.parquet(path)
+    writer.mode("overwrite" if at else "errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,9 @@
 Daily tables are partitioned by their date.  Raw events and quarantine can only
 be appended to.  Upserts rewrite the touched dates: the merged rows are staged
 first, then swapped in by dynamic partition overwrite, so a failed run can be
-repeated.  There is no transaction across tables.
+repeated.  Upsert tables without a date are kept in versions: a new version is
+written beside the old one and counts once it is complete, so a failed write
+changes nothing.  There is no transaction across tables.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import file_system, is_complete, stage
 
 
 @dataclass(frozen=True)
@@ -27,13 +29,17 @@ class Table:
     keep: tuple[str, ...] = ()
     sort: tuple[str, ...] = ()
 
+    @property
+    def versioned(self) -> bool:
+        return self.partition is None and not self.append_only
+
 
 TABLES = {
     "events_raw": Table(
         S.EVENTS_RAW, ("event_id",), "event_date", append_only=True, sort=("event_type", "ts_event")
     ),
     "events_quarantine": Table(
-        S.EVENTS_QUARANTINE, ("quarantine_id",), "ingest_date", append_only=True, sort=("reason",)
+        S.EVENTS_QUARANTINE, ("quarantine_id", "ts_ingested", "reason"), "ingest_date", append_only=True, sort=("reason",)
     ),
     "metrics_daily": Table(
         S.METRICS_DAILY, ("metric_date", "metric_name", "dimensions"), "metric_date"
@@ -46,7 +52,7 @@ TABLES = {
         ("alert_id", "channel", "target"),
         keep=("notification_id", "created_at"),
     ),
-    "audit_log": Table(S.AUDIT_LOG, ("audit_id",), append_only=True),
+    "audit_log": Table(S.AUDIT_LOG, ("audit_id", "ts", "action"), append_only=True),
     "anomaly_rules": Table(S.ANOMALY_RULES, ("rule_name",)),
     "request_log": Table(S.REQUEST_LOG, (), append_only=True),
 }
@@ -63,16 +69,29 @@ class Tables:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        location = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return location.getFileSystem(conf).exists(location)
+        if TABLES[name].versioned:
+            return bool(self._versions(name))
+        fs, location = file_system(self.spark, self.path(name))
+        return fs.exists(location)
+
+    def _versions(self, name: str) -> list[int]:
+        """Complete versions, oldest first."""
+        fs, location = file_system(self.spark, self.path(name))
+        if not fs.exists(location):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(location)]
+        numbers = [int(n.removeprefix("v")) for n in names if n.startswith("v") and n[1:].isdigit()]
+        return sorted(n for n in numbers if is_complete(self.spark, f"{self.path(name)}/v{n}"))
 
     def read(self, name: str) -> DataFrame:
         """The table, empty with its schema before the first write."""
         schema = TABLES[name].schema
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        path = self.path(name)
+        if TABLES[name].versioned:
+            path = f"{path}/v{self._versions(name)[-1]}"
+        return self.spark.read.schema(schema).parquet(path)
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._write(name, rows, "append")
@@ -109,6 +128,9 @@ class Tables:
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
         table = TABLES[name]
         rows = rows.select(*table.schema.names)
+        if table.versioned:
+            self._write_version(name, rows if mode == "overwrite" else self.read(name).unionByName(rows))
+            return
         if table.partition:
             # A date may hold most rows: the writer spreads it over tasks by size.
             rows = rows.hint("rebalance", F.col(table.partition))
@@ -119,3 +141,13 @@ class Tables:
         if table.partition:
             writer = writer.partitionBy(table.partition)
         writer.parquet(self.path(name))
+
+    def _write_version(self, name: str, rows: DataFrame) -> None:
+        """Write the whole table beside the version in use; older ones than that go."""
+        complete = self._versions(name)
+        number = complete[-1] + 1 if complete else 1
+        # What an unfinished write left under this number is replaced.
+        rows.write.mode("overwrite").parquet(f"{self.path(name)}/v{number}")
+        for old in complete[:-1]:
+            fs, location = file_system(self.spark, f"{self.path(name)}/v{old}")
+            fs.delete(location, True)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators import validation
 from tidewatch.plans import daily
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import file_system, stage
 from tidewatch.sources.tables import Tables
 
 
@@ -40,12 +40,19 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run the batch ingest on every micro-batch: exact against all history.
 
-    A repeated micro-batch finds its own ids in history, so events are stored
-    once; its repeats then show in quarantine.
+    The judgement of a micro-batch is kept beside the stream's checkpoint under
+    its number.  If it is repeated, that judgement is stored to the end: events,
+    quarantine and audit are the same as after one run.
     """
-
-    def work(batch: DataFrame, _: int) -> None:
-        daily.ingest(tables, stage(batch, "bodies"), whole_batches=whole_batches)
+    judged = f"{checkpoint.rstrip('/')}-judged"
+
+    def work(batch: DataFrame, number: int) -> None:
+        daily.ingest(
+            tables, stage(batch, "bodies"), whole_batches=whole_batches, judged_at=f"{judged}/{number}"
+        )
+        # The stream repeats its last micro-batch only.
+        fs, old = file_system(tables.spark, f"{judged}/{number - 2}")
+        fs.delete(old, True)
 
     return _each_batch(bodies, work, checkpoint)
 

@@ -14,9 +14,12 @@ from tidewatch.sources.tables import Tables
 
 
 def recompute_touched_days(tables: Tables, batch: DataFrame, as_of: datetime | Column) -> None:
-    """Append events and upsert the KPIs of the days they touch, late days included."""
+    """Append events and upsert the KPIs of the days they touch, late days included.
+
+    Events that are stored already are not stored again, so a batch may be repeated.
+    """
     rows = stage(batch, "events")
-    tables.append("events_raw", rows)
+    tables.append_new("events_raw", rows)
     touched = rows.select("event_date").distinct()
     # One row per calendar day; prunes the scan to those partitions.
     events = tables.read("events_raw").join(F.broadcast(touched), "event_date", "left_semi")
