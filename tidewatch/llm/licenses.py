@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tidewatch.llm.batches import ALNUM_LOWER, binary_array, encode, flat, slices, words
+from tidewatch.llm.batches import ALNUM_LOWER, encode, flat, slices, words
+from tidewatch.sources.staging import stage
 
 K = 2
 # Phrases whose every place counts, and their labels.
@@ -144,6 +145,8 @@ def find_passages(
         F.max("n_words").alias("n_words"),
         F.sum(F.when(F.col("place") < 0, 1).otherwise(0)).alias("copies"),
     )
+    # A row per text and a few per passage: read three times, so written once.
+    voted = stage(voted, "license-votes")
     return voted.where("template is null").select("id", "key", "copies", "n_words"), _verified(
         voted.where("template is not null"), list(templates.values())
     )
