@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -163,9 +164,9 @@ def learn(
     table = (
         rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select(*rows.columns)
         .mapInArrow(run, f"{fields}, x array<float>")
-        .orderBy("_lang", "_hash", "_id")
         .toArrow()
     )
+    table = table.take(pc.sort_indices(table.select(["_lang", "_hash", "_id"]), [(n, "ascending") for n in ("_lang", "_hash", "_id")]))
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, BUCKETS).astype(float)
     return fit_discriminator(x, np.array(table.column("_lang").to_pylist(), object))
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewatch.llm.batches import WHITE, binary_array, flat, owners, per_text, slices, words
 
@@ -259,7 +259,8 @@ def labelled_counts(
 def learn_from(counted: DataFrame, **settings) -> list[Rule]:
     """Rules from labelled counts (a bounded table); label 0 is bad."""
     features = [F.expr(f).cast("double").alias(n) for n, f in FEATURES.items()]
-    table = counted.select("_id", "_label", *features).orderBy("_id", *FEATURES).toArrow()
+    table = counted.select("_id", "_label", *features).toArrow()
+    table = table.sort_by([(n, "ascending") for n in ("_id", *FEATURES)])
     x = {n: table.column(n).to_numpy() for n in FEATURES}
     ids = table.column("_id").to_numpy()
     if not len(ids):

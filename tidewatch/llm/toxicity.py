@@ -150,7 +150,7 @@ def learn_chain(
 
     # At most ``most`` rows of a few bytes; repeated rows of a document count once.
     schema = StructType([*sample.schema.fields[:2], StructField("bits", BinaryType())])
-    table = sample.mapInArrow(feature_rows, schema).dropDuplicates(["_id"]).orderBy("_id").toArrow()
+    table = sample.mapInArrow(feature_rows, schema).dropDuplicates(["_id"]).toArrow().sort_by("_id")
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(table.num_rows, -1)
     x = np.unpackbits(bits, axis=1)[:, : len(known)].astype(np.float32)
     toxic = table.column("_label").to_numpy() > 0
