@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidewatch.sources.staging import stage
+
 # Verdict and beginning of a url (host, which holds for its subdomains, then path).
 RULES = (
     ("allow", "com/"),
@@ -116,9 +118,10 @@ def lexicon(pages: DataFrame, html_column: str = "html", most: int = LEXICON_WOR
     rows = (
         pages.select(word.alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD))
         .groupBy("word").count()
-        .orderBy(F.desc("count"), "word").limit(most).collect()
+        .orderBy(F.desc("count"), "word").limit(most)
     )
-    return {r["word"]: r["count"] for r in rows}
+    # Staged, or each task would send its own most frequent words to the driver.
+    return {r["word"]: r["count"] for r in stage(rows, "lexicon").collect()}
 
 
 def learn(parsed: DataFrame, segmenter: Segmenter) -> tuple[np.ndarray, float]:
