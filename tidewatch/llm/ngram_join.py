@@ -250,13 +250,12 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def _search_leads(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _search_leads(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (lead, node) whose sets link: one DivideSkip search per lead and block of nodes."""
     sized = pairs.join(classes.select("node", "n"), "node")
     # As many blocks per lead as its candidates' shingles fill.
     blocks = sized.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     dealt = sized.join(blocks, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    sets = classes.select("node", "shingles")
     members = dealt.join(sets, "node").select("lead", "block", "node", "shingles")
     leads = (
         dealt.select("lead", "block").distinct()
@@ -277,7 +276,7 @@ def _search_leads(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return members.unionByName(leads).groupBy("lead", "block").applyInArrow(search, "lead long, node long")
 
 
-def _search_blocks(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _search_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (lead, node) that join all components which meet on a list of ``placed``.
 
     ``placed`` has a row (shingle, node, n, root) per class and list.  Each class
@@ -305,9 +304,9 @@ def _search_blocks(placed: DataFrame, classes: DataFrame, percent: int) -> DataF
         met.join(other, "shingle").where("block <= other").where("least(lo, lo2) < greatest(hi, hi2)")
         .select("block", "other").distinct()
     )
-    sets = blocks.join(classes.select("node", "shingles"), "node").select("block", "node", "root", "shingles")
-    queries = pairs.join(sets, "block").select(F.lit(0).alias("side"), "block", "other", "node", "root", "shingles")
-    indexed = pairs.where("block < other").join(sets.withColumnRenamed("block", "other"), "other").select(
+    held = blocks.join(sets, "node").select("block", "node", "root", "shingles")
+    queries = pairs.join(held, "block").select(F.lit(0).alias("side"), "block", "other", "node", "root", "shingles")
+    indexed = pairs.where("block < other").join(held.withColumnRenamed("block", "other"), "other").select(
         F.lit(1).alias("side"), "block", "other", "node", "root", "shingles"
     )
 
@@ -377,8 +376,11 @@ def _with_roots(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return joined.select(*nodes.columns, F.coalesce("_root", "node").alias("root"))
 
 
-def _link_classes(classes: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of all classes whose component has another root; None if there are no links."""
+def _link_classes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of all classes whose component has another root; None if there are no links.
+
+    ``sets`` has the shingles of every ``node`` of ``classes``, and maybe of others.
+    """
     listed = classes.select(F.explode("prefix").alias("shingle"), "node", "n")
     shared = listed.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     # Only lists with two classes at least; each row is one class's place on one list.
@@ -393,9 +395,9 @@ def _link_classes(classes: DataFrame, percent: int) -> DataFrame | None:
             if placed.isEmpty():
                 break
         if step < STAR_ROUNDS:
-            found = _search_leads(_star_pairs(placed, roots, step), classes, percent)
+            found = _search_leads(_star_pairs(placed, roots, step), classes, sets, percent)
         else:
-            found = _search_blocks(placed, classes, percent)
+            found = _search_blocks(placed, sets, percent)
         found = stage(found, "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
@@ -425,14 +427,15 @@ def near_duplicates(
     Shingles are compared by 64-bit hashes, sets by 128-bit ones.
     """
     given = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    profiles = stage(_profiles(given, size, percent), "shingle-profiles")
-    classes = (
-        profiles.where("key is not null").groupBy("key")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
-        .withColumn("node", F.monotonically_increasing_id())
+    numbered = _profiles(given, size, percent).withColumn("node", F.monotonically_increasing_id())
+    profiles = stage(numbered, "shingle-profiles")
+    # A class is known by one of its rows, whose shingles are read where they were staged.
+    classes = profiles.where("key is not null").groupBy("key").agg(
+        F.min("id").alias("id"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
     classes = stage(classes, "shingle-classes")
-    roots = _link_classes(classes, percent)
+    sets = profiles.where("key is not null").select("node", "shingles")
+    roots = _link_classes(classes, sets, percent)
     rooted = _with_roots(classes.select("key", "id", "node"), roots)
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = rooted.join(smallest, "root").select("key", "component_id")
