@@ -95,9 +95,12 @@ def scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of odd days only, so that even days look back."""
-    card = scorecards(spark, sf_dir).where(F.dayofmonth("report_date") % 2 == 1)
-    return stage(quality.reports(card, AS_OF), "reports")
+    return stage(quality.reports(scorecards(spark, sf_dir), AS_OF), "reports")
+
+
+def odd_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of odd days, so that even days look back."""
+    return reports(spark, sf_dir).where(F.dayofmonth("report_date") % 2 == 1)
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:

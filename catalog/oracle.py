@@ -215,7 +215,8 @@ FROM (SELECT t.report_date, n_events, duplicate_events, duplicate_events / n_eve
     {future} AS future_events, coalesce(quarantine_total, 0) AS quarantine_total,
     coalesce(malformed_events, 0) AS malformed_events, coalesce(quarantine_total, 0) / n_events AS quarantine_rate,
     coalesce(n_keys, 0) AS n_keys, coalesce(n_checks, 0) AS n_checks, coalesce(n_drifted, 0) AS n_drifted,
-    coalesce(n_biased, 0) AS n_biased
+    coalesce(n_biased, 0) AS n_biased, coalesce(keys, '') AS keys, coalesce(key_counts, '') AS key_counts,
+    coalesce(checks, '') AS checks, coalesce(drifted, '') AS drifted, coalesce(biased, '') AS biased
   FROM (SELECT event_date AS report_date, count(*) AS n_events,
       greatest(0, count(*) - count(DISTINCT event_id)) AS duplicate_events,
       count(*) FILTER (WHERE event_type IS NULL) + count(*) FILTER (WHERE source_system IS NULL) AS missing_total,
@@ -225,11 +226,14 @@ FROM (SELECT t.report_date, n_events, duplicate_events, duplicate_events / n_eve
   LEFT JOIN (SELECT ingest_date AS report_date, count(*) AS quarantine_total,
       count(*) FILTER (WHERE reason <> 'duplicate_event_id') AS malformed_events
     FROM {quarantine} GROUP BY 1) q USING (report_date)
-  LEFT JOIN (SELECT event_date AS report_date, count(*) AS n_keys FROM ({_keys(events)}) GROUP BY 1) k
+  LEFT JOIN (SELECT event_date AS report_date, count(*) AS n_keys, string_agg(key, ',' ORDER BY rank) AS keys,
+      string_agg("count"::VARCHAR, ',' ORDER BY rank) AS key_counts FROM ({_keys(events)}) GROUP BY 1) k
     USING (report_date)
-  LEFT JOIN (SELECT report_date, count(*) AS n_checks, count(*) FILTER (WHERE drifted) AS n_drifted
+  LEFT JOIN (SELECT report_date, count(*) AS n_checks, count(*) FILTER (WHERE drifted) AS n_drifted,
+      string_agg(name, ',' ORDER BY name) AS checks, string_agg(name, ',' ORDER BY name) FILTER (WHERE drifted) AS drifted
     FROM ({_ks(events)}) GROUP BY 1) d USING (report_date)
-  LEFT JOIN (SELECT report_date, count(*) AS n_biased FROM ({_bias(events)}) GROUP BY 1) b USING (report_date))"""
+  LEFT JOIN (SELECT report_date, count(*) AS n_biased, string_agg(source_system, ',' ORDER BY source_system) AS biased
+    FROM ({_bias(events)}) GROUP BY 1) b USING (report_date))"""
 
 
 def _judged(feed: str = "feed", stored: str | None = None, batches: bool = False) -> str:
@@ -315,7 +319,8 @@ FROM (SELECT alert_id, 'webhook' AS channel, 'https://hooks.example/a' AS target
         "lake", "quarantine",
         "(SELECT count(*) FROM lake WHERE ts_event > TIMESTAMP '2024-02-01' + INTERVAL 5 MINUTE)",
     ),
-    "reports": "SELECT * FROM cards WHERE day(report_date) % 2 = 1",
+    "reports": "SELECT * FROM cards",
+    "odd_reports": "SELECT * FROM reports WHERE day(report_date) % 2 = 1",
     "days": "SELECT DISTINCT event_date AS day FROM ev",
     "stability": """
 SELECT day, CASE WHEN sum(cv) IS NULL THEN 100.0 ELSE 100 - least(100.0, sum(cv) * 100) END::DOUBLE AS stability_index
@@ -326,7 +331,7 @@ FROM days LEFT JOIN (SELECT d.day, metric_name,
 GROUP BY day""",
     "in_force": """
 SELECT day, report_date, pass AS passes, confidence
-FROM days ASOF LEFT JOIN reports ON day >= report_date""",
+FROM days ASOF LEFT JOIN odd_reports ON day >= report_date""",
     "requests": """
 SELECT 'POST' AS method, '/ingest/' || event_type AS path, CASE WHEN id_ % 61 = 0 THEN 500 ELSE 200 END AS status,
   coalesce(value, 0.0) AS latency_ms FROM ev""",
@@ -416,7 +421,9 @@ FROM lake GROUP BY 1""",
     "dq_quarantine_by_reason": "SELECT ingest_date, reason, count(*) AS n FROM quarantine GROUP BY ALL",
     "dq_quarantine_stats": """
 SELECT ingest_date, count(*) AS quarantine_total,
-  count(*) FILTER (WHERE reason <> 'duplicate_event_id') AS malformed_events, count(DISTINCT reason) AS n_reasons
+  count(*) FILTER (WHERE reason <> 'duplicate_event_id') AS malformed_events,
+  concat_ws(',', 'duplicate_event_id=' || nullif(count(*) FILTER (WHERE reason = 'duplicate_event_id'), 0),
+    'validation_error=' || nullif(count(*) FILTER (WHERE reason = 'validation_error'), 0)) AS by_reason
 FROM quarantine GROUP BY 1""",
     "dq_top_property_keys": _keys("lake"),
     "dq_source_shares": f"SELECT * REPLACE (round(share, 6) AS share) FROM ({_shares('lake')})",
@@ -434,7 +441,7 @@ SELECT * REPLACE ({_r('duplicate_rate', 'completeness_rate', 'freshness_p50_sec'
                        'quarantine_rate', 'confidence')}) FROM cards""",
     "dq_pass_fail": f"""
 SELECT report_date, future_events, {_r('confidence')}, pass FROM ({_card(
-    'ev', '(SELECT * FROM (SELECT NULL::DATE AS ingest_date, NULL::VARCHAR AS reason) WHERE false)',
+    'ev', 'quarantine',
     "(SELECT count(*) FROM ev WHERE event_date = t.report_date AND ts_event > TIMESTAMP '2024-01-30 12:05:00')")})""",
     "dq_latest": f"""
 SELECT report_date::VARCHAR AS report_date, pass, {_r('confidence')} FROM reports ORDER BY reports.report_date DESC LIMIT 1""",
@@ -445,6 +452,8 @@ SELECT line, 3::BIGINT AS n_cards, 'pass=' || verdict AS card2 FROM (
     report_date::VARCHAR || ' | pass=' || CASE WHEN pass THEN 'True' ELSE 'False' END || ' | confidence='
       || printf('%.2f', confidence) AS line
   FROM reports WHERE report_date <= DATE '2024-01-29' ORDER BY report_date DESC LIMIT 1)""",
+    "reports_store_rerun": f"""
+SELECT report_date, pass, n_events, quarantine_total, {_r('confidence')} FROM cards WHERE report_date BETWEEN {_WINDOW}""",
     "ingest_validate": "SELECT batch_id, seq, event_id, errors, properties FROM judged",
     "ingest_dedupe": "SELECT batch_id, seq, event_id, reason FROM judged",
     "ingest_dedupe_history": f"""
@@ -456,8 +465,9 @@ SELECT ts_event::DATE AS event_date, event_type, count(*) AS n, round(sum(value)
   round(sum(measurement_uncertainty), 6) AS uncertainty FROM judged WHERE reason = 'ok' GROUP BY ALL""",
     "ingest_receipt": """
 SELECT batch_id, count(*) FILTER (WHERE reason = 'ok') AS accepted, count(*) FILTER (WHERE reason <> 'ok') AS rejected,
-  count(*) FILTER (WHERE reason = 'duplicate_event_id') AS duplicates,
-  count(*) FILTER (WHERE reason = 'validation_error') AS invalid FROM judged GROUP BY 1""",
+  concat_ws(',', 'duplicate_event_id=' || nullif(count(*) FILTER (WHERE reason = 'duplicate_event_id'), 0),
+    'validation_error=' || nullif(count(*) FILTER (WHERE reason = 'validation_error'), 0)) AS reasons
+FROM judged GROUP BY 1""",
     "ingest_quarantine": "SELECT ingest_date, reason, event_id, event_type FROM quarantine",
     "ingest_audit": """
 SELECT 'system' AS actor, 'ingest_events' AS action, 'events_batch' AS entity_type,
@@ -534,7 +544,7 @@ SELECT alert_id, target, position FROM (
 WHERE position <= 5""",
     "notify_email_queue": """
 SELECT alert_id, 'risk@example.org,ops@example.org' AS target, position,
-  '[ALERT] ' || severity || ' ' || metric_name || ' ' || metric_date::VARCHAR AS subject,
+  round(risk_score, 6) AS risk_score, '[ALERT] ' || severity || ' ' || metric_name || ' ' || metric_date::VARCHAR AS subject,
   'Alert details:' || chr(10) || 'Metric: ' || metric_name || chr(10) || 'Severity: ' || severity || chr(10)
     || 'Risk score: #' || chr(10) || 'Message: ' || message || chr(10)
     || 'Timestamp: ' || ts::VARCHAR AS body
@@ -628,4 +638,7 @@ SELECT event_date, count(*) AS late_rows FROM lake
 WHERE (SELECT max(event_date) FROM lake) - event_date >= 7 GROUP BY 1""",
 }
 
+_BODIES["stream_ingest_routed"] = f"""
+SELECT event_id, reason, count(*) AS n FROM ({_BODIES['ingest_bodies']}) GROUP BY ALL"""
+
 ORACLE: dict[str, str] = {name: _with(body) for name, body in _BODIES.items()}

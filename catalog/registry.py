@@ -19,7 +19,7 @@ from tidewatch.operators.detectors import detect
 from tidewatch.operators.merge import merge
 from tidewatch.operators.percentiles import daily_percentiles
 from tidewatch.operators.series import series_features
-from tidewatch.plans import overview, panels, reads
+from tidewatch.plans import daily, overview, panels, reads
 from tidewatch.sources import rules, sample
 from tidewatch.sources.staging import fresh_path, stage
 from tidewatch.sources.tables import Tables
@@ -38,6 +38,18 @@ def _rounded(df: DataFrame) -> DataFrame:
     ])
 
 
+def _entries(name: str) -> Column:
+    """A map as text, in its own order."""
+    return F.array_join(
+        F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
+    )
+
+
+def _names(entries: str | Column, field: str) -> Column:
+    """One field of an array of structs as text."""
+    return F.array_join(F.transform(entries, lambda e: e[field].cast("string")), ",")
+
+
 def query(name: str) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +145,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     return quality.quarantine_stats(D.quarantine(spark, sf_dir)).select(
         "ingest_date", "quarantine_total", "malformed_events",
-        F.size("quarantine_by_reason").cast("bigint").alias("n_reasons"),
+        _entries("quarantine_by_reason").alias("by_reason"),
     )
 
 
@@ -174,16 +186,20 @@ def _(spark, sf_dir):
         F.size("distribution_drift").cast("bigint").alias("n_checks"),
         F.size(F.filter("distribution_drift", lambda c: c["drifted"])).cast("bigint").alias("n_drifted"),
         F.size("source_bias").cast("bigint").alias("n_biased"),
+        _names("top_property_keys", "key").alias("keys"),
+        _names("top_property_keys", "count").alias("key_counts"),
+        _names("distribution_drift", "name").alias("checks"),
+        _names(F.filter("distribution_drift", lambda c: c["drifted"]), "name").alias("drifted"),
+        _names("source_bias", "source_system").alias("biased"),
         "confidence", "pass",
     )
 
 
 @query("dq_pass_fail")
 def _(spark, sf_dir):
-    """Verdicts over clean events without quarantine, future events by day."""
-    empty = spark.createDataFrame([], S.EVENTS_QUARANTINE)
+    """Verdicts over clean events, future events by day."""
     events = sample.events_raw(spark, sf_dir)
-    card = quality.scorecard(events, empty, D.FUTURE_AS_OF, future_scope="day")
+    card = quality.scorecard(events, D.quarantine(spark, sf_dir), D.FUTURE_AS_OF, future_scope="day")
     return card.select("report_date", "future_events", "confidence", "pass")
 
 
@@ -196,7 +212,20 @@ def _(spark, sf_dir):
 
 @query("dq_asof")
 def _(spark, sf_dir):
-    return overview.report_in_force(D.reports(spark, sf_dir), D.days(spark, sf_dir))
+    return overview.report_in_force(D.odd_reports(spark, sf_dir), D.days(spark, sf_dir))
+
+
+@query("reports_store_rerun")
+def _(spark, sf_dir):
+    """Reports of the window stored twice in their table: one row per day."""
+    tables = Tables(spark, fresh_path(spark, "report-tables"))
+    tables.append("events_raw", sample.lake_events(spark, sf_dir))
+    tables.append("events_quarantine", D.quarantine(spark, sf_dir))
+    for _ in range(2):
+        daily.store_reports(tables, *D.WINDOW, D.AS_OF)
+    return tables.read("dq_reports").select(
+        "report_date", "pass", "summary.n_events", "summary.quarantine_total", "summary.confidence"
+    )
 
 
 @query("dq_summary_text")
@@ -249,11 +278,8 @@ def _(spark, sf_dir):
 
 @query("ingest_receipt")
 def _(spark, sf_dir):
-    reasons = F.col("rejected_reasons")
     return validation.receipts(_classified(spark, sf_dir)).select(
-        "batch_id", "accepted", "rejected",
-        F.coalesce(reasons["duplicate_event_id"], F.lit(0)).cast("bigint").alias("duplicates"),
-        F.coalesce(reasons["validation_error"], F.lit(0)).cast("bigint").alias("invalid"),
+        "batch_id", "accepted", "rejected", _entries("rejected_reasons").alias("reasons")
     )
 
 
@@ -449,6 +475,8 @@ def _(spark, sf_dir):
     raised = D.alerts(spark, sf_dir)
     return notify.email_queue(raised, D.notifications(raised), D.EMAILS).select(
         "alert_id", "target", "subject", F.col("position").cast("bigint").alias("position"),
+        # The number is compared as one, the rest of the mail as text.
+        F.regexp_extract("body", "(?m)^Risk score: (.*)$", 1).cast("double").alias("risk_score"),
         F.regexp_replace(
             F.substring_index("body", "\nContext", 1), "(?m)^Risk score: .*$", "Risk score: #"
         ).alias("body"),
@@ -515,7 +543,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     series = stage(D.metrics(spark, sf_dir), "metrics")
     return overview.daily_overview(
-        D.days(spark, sf_dir), D.reports(spark, sf_dir), _acted(spark, sf_dir, series), series
+        D.days(spark, sf_dir), D.odd_reports(spark, sf_dir), _acted(spark, sf_dir, series), series
     ).withColumn("health_score", F.col("health_score").cast("bigint"))
 
 
@@ -632,6 +660,21 @@ def _(spark, sf_dir):
     return kept.select("event_id", "event_type", "source_system", "user_id", "value")
 
 
+@query("stream_ingest_routed")
+def _(spark, sf_dir):
+    """Request bodies judged in two micro-batches against all stored before: stored and quarantined events by id."""
+    landed, posts = fresh_path(spark, "landed"), D.bodies(spark, sf_dir)
+    posts.repartition(4, "batch_id").write.parquet(landed)
+    feed = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    tables = Tables(spark, fresh_path(spark, "routed-tables"))
+    stream_ingest.ingest_stream(tables, feed, fresh_path(spark, "routed-checkpoint")).awaitTermination()
+    kept = tables.read("events_raw").select("event_id", F.lit("ok").alias("reason"))
+    refused = tables.read("events_quarantine").select(
+        F.get_json_object("raw_payload", "$.event_id").alias("event_id"), "reason"
+    )
+    return kept.unionByName(refused).groupBy("event_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_daily_kpis")
 def _(spark, sf_dir):
     tables = Tables(spark, fresh_path(spark, "stream-tables"))

@@ -105,6 +105,10 @@ class Tables:
             # Only the touched dates; the date list prunes the scan.
             touched = rows.select(table.partition).distinct()
             stored = stored.join(F.broadcast(touched), table.partition, "left_semi")
+        elif "ts" in keys:
+            # An equal key has an equal time: files of other times are not read.
+            first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+            stored = stored.where(F.col("ts").between(F.lit(first), F.lit(last)))
         self.append(name, rows.join(stored.select(*keys), keys, "left_anti"))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
