@@ -109,17 +109,25 @@ class Index:
         self.values = values[order]
         self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-    def search(self, query: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-        """Numbers of the sets that link with ``query`` (sorted, distinct), by DivideSkip."""
+    def search(self, query: np.ndarray, percent: int = PERCENT, among: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the sets that link with ``query`` (sorted, distinct), by DivideSkip.
+
+        ``among`` flags the sets that are asked for; without it all are.
+        """
         need = needed_overlap(len(query), self.sizes, percent)
         possible = (need <= len(query)) & (need <= self.sizes) & (self.sizes > 0)
+        if among is not None:
+            possible &= among
         if not possible.any() or not len(query):
             return np.zeros(0, np.int64)
         begins = np.searchsorted(self.values, query, side="left")
         ends = np.searchsorted(self.values, query, side="right")
         full = np.flatnonzero(ends > begins)
-        order = full[np.argsort((ends - begins)[full], kind="stable")]
-        lists = [self.members[x:y] for x, y in zip(begins[order].tolist(), ends[order].tolist())]
+        lists = [self.members[x:y] for x, y in zip(begins[full].tolist(), ends[full].tolist())]
+        if not possible.all():
+            # Sets of another size or not asked for are no longer merged.
+            lists = [x for x in (y[possible[y]] for y in lists) if len(x)]
+        lists.sort(key=len)
         least = int(need[possible].min())
         if len(lists) < least:
             return np.zeros(0, np.int64)
@@ -128,7 +136,7 @@ class Index:
         cut = len(lists) - long
         merged = np.fromiter(heapq.merge(*[x.tolist() for x in lists[:cut]]), np.int64)
         candidates, seen = np.unique(merged, return_counts=True)
-        good = possible[candidates] & (seen >= need[candidates] - long)
+        good = seen >= need[candidates] - long
         candidates, seen = candidates[good], seen[good]
         for probed in lists[cut:] if len(candidates) else ():
             place = np.searchsorted(probed, candidates)
@@ -317,20 +325,16 @@ def _search_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
         first = np.flatnonzero(side == 0)
         second = np.flatnonzero(side == 1) if (side == 1).any() else first
         index = Index([sets[k] for k in second])
-        parent = {r: r for r in set(roots.tolist())}
-
-        def top(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
+        # Component of each row so far: only sets of other components are searched for.
+        now = roots.copy()
         lead, node = [], []
         for k in first.tolist():
-            for m in second[index.search(sets[k], percent)].tolist():
-                a, b = top(int(roots[k])), top(int(roots[m]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+            others = now[second] != now[k]
+            if not others.any():
+                continue
+            for m in second[index.search(sets[k], percent, others)].tolist():
+                if now[k] != now[m]:
+                    now[now == max(now[k], now[m])] = min(now[k], now[m])
                     lead.append(int(nodes[k]))
                     node.append(int(nodes[m]))
         return pa.table({"lead": pa.array(lead, pa.int64()), "node": pa.array(node, pa.int64())})
