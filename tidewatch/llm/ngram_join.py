@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tidewatch.llm.batches import WHITE_LOWER, encode, flat, owners, slices, words
@@ -45,6 +45,8 @@ GROUP_BYTES = 64 << 20
 GATHERED = 2 << 20
 # Shingles of the candidates that are searched at once.
 BLOCK_SHINGLES = 1 << 18
+# Parts that the list of a frequent shingle is dealt to when facts of it are joined.
+LIST_PARTS = 1024
 # Searches of every list against one of its classes before the remaining ones are searched in blocks.
 STAR_ROUNDS = 2
 
@@ -206,6 +208,7 @@ _PROFILE = [
     StructField("n", LongType()),
     StructField("key", BinaryType()),
     StructField("prefix", ArrayType(LongType(), False)),
+    StructField("rare", LongType()),
     StructField("shingles", BinaryType()),
 ]
 
@@ -213,7 +216,7 @@ _PROFILE = [
 def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row: size of the set and, if a partner is possible, its key, its prefix and the set itself.
 
-    Shingles that no other text has are left out of the prefix; a text whose
+    ``rare`` of the prefix, its first shingles, are not frequent.  Shingles that no other text has are left out of the prefix; a text whose
     prefix has no others has no partner and no copy.
     """
     bits, again, often = _count_shingles(docs, size)
@@ -235,6 +238,7 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
             rank = np.arange(len(order)) - np.repeat(bounds[:-1], n)
             chosen = order[(rank < np.repeat(prefix_length(n, percent), n)) & (kind[order] > 0)]
             posted = np.bincount(text[chosen], minlength=len(n))
+            rare = np.bincount(text[chosen], weights=kind[chosen] < 2, minlength=len(n)).astype(np.int64)
             ends = np.cumsum(posted)
             prefix = values[chosen].astype(np.int64)
             keys, prefixes, sets = [], [], []
@@ -249,9 +253,9 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array(n), pa.array(keys, pa.binary()),
-                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
+                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare), pa.array(sets, pa.binary()),
                 ],
-                names=["id", "n", "key", "prefix", "shingles"],
+                names=["id", "n", "key", "prefix", "rare", "shingles"],
             )
 
     schema = StructType([docs.schema["id"], *_PROFILE])
@@ -287,14 +291,14 @@ def _search_leads(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent
 def _search_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (lead, node) that join all components which meet on a list of ``placed``.
 
-    ``placed`` has a row (shingle, node, n, root) per class and list.  Each class
+    ``placed`` has a row (shingle, part, node, n, root) per class and list.  Each class
     belongs to a block of its longest list; blocks that meet on a list are
     searched against each other, every class of one in the inverted lists of
     the other.  Pairs of classes exist inside a search only, and of the links
     found, those that connect two components so far are returned.
     """
-    lengths = placed.groupBy("shingle").agg(F.count("*").alias("length"))
-    homes = placed.join(lengths, "shingle").groupBy("node", "n", "root").agg(
+    lengths = _list_facts(placed, length=(F.count("*"), F.sum))
+    homes = placed.join(lengths, ["shingle", "part"]).groupBy("node", "n", "root").agg(
         F.max_by("shingle", F.struct("length", "shingle")).alias("home")
     )
     homes = stage(homes, "search-homes")
@@ -380,22 +384,35 @@ def _with_roots(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return joined.select(*nodes.columns, F.coalesce("_root", "node").alias("root"))
 
 
+def _list_facts(placed: DataFrame, **facts) -> DataFrame:
+    """Facts of whole lists, one row per (shingle, part), to be joined to ``placed`` part by part.
+
+    Each fact is a pair: the aggregate over a part, and how those of the parts combine.
+    """
+    by_part = placed.groupBy("shingle", "part").agg(*[of_part.alias(name) for name, (of_part, _) in facts.items()])
+    whole = Window.partitionBy("shingle")
+    return by_part.select("shingle", "part", *[merge(name).over(whole).alias(name) for name, (_, merge) in facts.items()])
+
+
 def _link_classes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of all classes whose component has another root; None if there are no links.
 
     ``sets`` has the shingles of every ``node`` of ``classes``, and maybe of others.
     """
-    listed = classes.select(F.explode("prefix").alias("shingle"), "node", "n")
-    shared = listed.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    # Only lists with two classes at least; each row is one class's place on one list.
-    listed = stage(listed.join(shared.select("shingle"), "shingle", "left_semi"), "shingle-lists")
+    # Each row is one class's place on one list.
+    listed = classes.select(F.posexplode("prefix").alias("_place", "shingle"), "node", "n", "rare")
+    part = F.when(F.col("_place") < F.col("rare"), 0).otherwise(F.pmod(F.xxhash64("node"), F.lit(LIST_PARTS)).cast("int"))
+    listed = listed.select("shingle", part.alias("part"), "node", "n")
+    # Only lists with two classes at least.
+    shared = _list_facts(listed, lo=(F.min("node"), F.min), hi=(F.max("node"), F.max)).where("lo < hi")
+    listed = stage(listed.join(shared, ["shingle", "part"], "left_semi"), "shingle-lists")
     links, roots = None, None
     for step in range(STAR_ROUNDS + 1):
         placed = _with_roots(listed, roots)
         if step:
             # Lists within one component need no more searches.
-            mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-            placed = stage(placed.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed-lists")
+            mixed = _list_facts(placed, lo=(F.min("root"), F.min), hi=(F.max("root"), F.max)).where("lo < hi")
+            placed = stage(placed.join(mixed, ["shingle", "part"], "left_semi"), "mixed-lists")
             if placed.isEmpty():
                 break
         if step < STAR_ROUNDS:
@@ -411,10 +428,10 @@ def _link_classes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def _star_pairs(placed: DataFrame, roots: DataFrame | None, step: int) -> DataFrame:
     """(lead, node): every class with the lead it shares most lists with; another lead of each list in each step."""
     shuffle = F.lit(0x5DEECE66D * step)
-    lead = F.min(F.col("node").bitwiseXOR(shuffle)).bitwiseXOR(shuffle)
-    leads = _with_roots(placed.groupBy("shingle").agg(lead.alias("node")).select("shingle", "node"), roots)
-    leads = leads.select("shingle", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    met = placed.join(leads, "shingle").where("root != lead_root").groupBy("node", "lead").agg(F.count("*").alias("met"))
+    leads = _list_facts(placed, lead=(F.min(F.col("node").bitwiseXOR(shuffle)), F.min))
+    leads = _with_roots(leads.select("shingle", "part", F.col("lead").bitwiseXOR(shuffle).alias("node")), roots)
+    leads = leads.select("shingle", "part", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    met = placed.join(leads, ["shingle", "part"]).where("root != lead_root").groupBy("node", "lead").agg(F.count("*").alias("met"))
     best = met.groupBy("node").agg(F.max_by("lead", F.struct("met", "lead")).alias("lead"))
     return stage(best.select("lead", "node"), "search-pairs")
 
@@ -435,7 +452,8 @@ def near_duplicates(
     profiles = stage(numbered, "shingle-profiles")
     # A class is known by one of its rows, whose shingles are read where they were staged.
     classes = profiles.where("key is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("id").alias("id"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.first("rare").alias("rare"),
     )
     classes = stage(classes, "shingle-classes")
     sets = profiles.where("key is not null").select("node", "shingles")
