@@ -543,10 +543,10 @@ SELECT alert_id, target, position FROM (
   WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.alert_id = a.alert_id AND n.target = t.target AND n.status = 'sent'))
 WHERE position <= 5""",
     "notify_email_queue": """
-SELECT alert_id, 'risk@example.org,ops@example.org' AS target, position,
-  round(risk_score, 6) AS risk_score, '[ALERT] ' || severity || ' ' || metric_name || ' ' || metric_date::VARCHAR AS subject,
+SELECT alert_id, 'risk@example.org,ops@example.org' AS target, position, method AS context_method,
+  '[ALERT] ' || severity || ' ' || metric_name || ' ' || metric_date::VARCHAR AS subject,
   'Alert details:' || chr(10) || 'Metric: ' || metric_name || chr(10) || 'Severity: ' || severity || chr(10)
-    || 'Risk score: #' || chr(10) || 'Message: ' || message || chr(10)
+    || 'Risk score: ' || round(risk_score, 6)::VARCHAR || chr(10) || 'Message: ' || message || chr(10)
     || 'Timestamp: ' || ts::VARCHAR AS body
 FROM (SELECT *, row_number() OVER (ORDER BY ts, alert_id) AS position FROM alerts) WHERE position <= 50""",
     "notify_webhook_payloads": f"""
@@ -631,7 +631,7 @@ SELECT event_id, event_type, source_system, user_id, {_r('value')} FROM judged W
     "stream_provisional_kpis": """
 SELECT metric_date AS event_date, (max(value) FILTER (WHERE metric_name = 'tx_completed_count'))::BIGINT
     AS tx_completed_count, round(max(value) FILTER (WHERE metric_name = 'tx_completed_value'), 6) AS tx_completed_value,
-  round(max(value) FILTER (WHERE metric_name = 'tx_fail_rate'), 6) AS tx_fail_rate
+  round(max(value) FILTER (WHERE metric_name = 'tx_fail_rate'), 6) AS tx_fail_rate, TRUE AS dau_near
 FROM metrics WHERE metric_date + 2 <= (SELECT max(ts_event) FROM ev) GROUP BY 1""",
     "stream_late_days": """
 SELECT event_date, count(*) AS late_rows FROM lake

@@ -473,13 +473,11 @@ def _(spark, sf_dir):
 @query("notify_email_queue")
 def _(spark, sf_dir):
     raised = D.alerts(spark, sf_dir)
-    return notify.email_queue(raised, D.notifications(raised), D.EMAILS).select(
+    rounded = raised.withColumn("risk_score", F.round("risk_score", 6))
+    return notify.email_queue(rounded, D.notifications(raised), D.EMAILS).select(
         "alert_id", "target", "subject", F.col("position").cast("bigint").alias("position"),
-        # The number is compared as one, the rest of the mail as text.
-        F.regexp_extract("body", "(?m)^Risk score: (.*)$", 1).cast("double").alias("risk_score"),
-        F.regexp_replace(
-            F.substring_index("body", "\nContext", 1), "(?m)^Risk score: .*$", "Risk score: #"
-        ).alias("body"),
+        F.substring_index("body", "\nContext: ", 1).alias("body"),
+        F.get_json_object(F.substring_index("body", "\nContext: ", -1), "$.method").alias("context_method"),
     )
 
 
@@ -687,7 +685,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     events = sample.model_columns(_sample_stream(spark, sf_dir))
     done = _drain(stream_kpis.provisional_kpis(events), "provisional")
-    return done.drop("dau_approx")
+    exact = kpis.active_users(sample.events_raw(spark, sf_dir)).toDF("event_date", "_dau")
+    # The sketch has a standard error of 5 %.
+    near = F.abs(F.col("dau_approx") - F.col("_dau")) <= 0.15 * F.col("_dau")
+    return done.join(exact, "event_date", "left").withColumn("dau_near", near).drop("dau_approx", "_dau")
 
 
 @query("stream_late_days")

@@ -112,7 +112,7 @@ def alert_rows(spark):
                 "severity": "WARN",
                 "rule_version": "v1",
                 "risk_score": 5.0,
-                "message": "spike",
+                "message": "off its week",
                 "status": "OPEN",
                 "acked_by": None,
                 "acked_at": None,

@@ -23,7 +23,7 @@ def nothing(spark):
 
 def test_day_overview(days, report_rows, alert_rows, series, one):
     alerts = alert_rows({"risk_score": 7.7, "context": {"impact": 6.5}})
-    metrics = series({"tx_fail_rate": {DAY: 0.25}})
+    metrics = series({"tx_fail_rate": {DAY: 0.4}})
     got = one(overview.daily_overview(days(DAY), report_rows((DAY, True, 0.8)), alerts, metrics))
     assert got == {
         "day": DAY, "health_score": 92, "stability_index": 100.0, "dq_confidence": 80.0, "financial_exposure": 6.5,
@@ -99,9 +99,9 @@ def test_metric_lookup(series, rows):
 
 
 def test_latest_report(report_rows, nothing, one):
-    got = one(reads.latest_report(report_rows((DAY, True, 0.75), (DAY - timedelta(days=1), False, 0.1))))
+    got = one(reads.latest_report(report_rows((DAY, True, 0.625), (DAY - timedelta(days=1), False, 0.1))))
     assert got["report_date"] == "2026-01-13" and got["pass"] is True
-    assert json.loads(got["summary"])["confidence"] == 0.75
+    assert json.loads(got["summary"])["confidence"] == 0.625
     assert one(reads.latest_report(nothing(S.DQ_REPORTS))) == {
         "report_date": "1970-01-01", "pass": False, "summary": '{"note":"no reports yet"}',
     }
@@ -118,8 +118,8 @@ def test_window_panel(alert_rows, series, report_rows, nothing, rows, one):
     assert panels.window_alerts(alerts, DAY, DAY).count() == 2
     metrics = series({"dau": {DAY: 1.00005, DAY - timedelta(days=1): 2}, "x": {DAY: 3, DAY + timedelta(days=1): 4}})
     assert {r["Metric"]: r["Value"] for r in rows(panels.window_metrics(metrics, DAY - timedelta(days=3), DAY))} == {"dau": 1.0001, "x": 3.0}
-    text = one(panels.report_text(report_rows((DAY, True, 0.75), (DAY + timedelta(days=2), False, 0.2)), DAY))
-    assert text == {"line": "2026-01-13 | pass=True | confidence=0.75", "cards": ["2026-01-13", "pass=True", "confidence=0.75"]}
+    text = one(panels.report_text(report_rows((DAY, True, 0.625), (DAY + timedelta(days=2), False, 0.2)), DAY))
+    assert text == {"line": "2026-01-13 | pass=True | confidence=0.625", "cards": ["2026-01-13", "pass=True", "confidence=0.625"]}
     assert one(panels.report_text(nothing(S.DQ_REPORTS)))["line"] == "No DQ reports yet."
 
 

@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
 from tidewatch.operators import notify
 from tidewatch.plans import daily
+from tidewatch.sources import staging
 from tidewatch.sources.staging import stage
 from tidewatch.sources.tables import TABLES, Tables
 
@@ -144,3 +146,57 @@ def test_a_failed_upsert_keeps_the_old_rows(tables, spark, rows):
         tables.upsert("alert_notifications", outcome("sent"))
     assert {r["status"] for r in rows(tables.read("alert_notifications"))} == {"sent"}
     assert tables.read("alert_notifications").count() == 3
+
+
+def id_rows(events, *ids):
+    return events([(i, "2026-01-13 09:00:00", "user_access", "web", "u", 1) for i in ids])
+
+
+def test_known_ids_read_the_touched_buckets_only(spark, tables, events):
+    tables.append("events_raw", id_rows(events, *[f"e{n}" for n in range(50)]))
+    known = tables.known_ids(id_rows(events, "e7", "new"))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "events_raw" not in plan
+    found = {r["event_id"] for r in known.collect()}
+    assert "e7" in found and "new" not in found and len(found) < 50
+
+
+def test_index_follows_the_events_after_a_failed_append(tables, events, monkeypatch):
+    write = Tables._write
+
+    def fail_on(broken):
+        def run(self, name, rows, mode):
+            if name == broken:
+                raise OSError("lost")
+            write(self, name, rows, mode)
+
+        return run
+
+    probe = id_rows(events, "a", "b", "c")
+    known = lambda: {r["event_id"] for r in tables.known_ids(probe).collect()}
+    tables.append("events_raw", id_rows(events, "a"))
+    for broken, added in (("events_raw", "b"), ("event_ids", "c")):
+        with monkeypatch.context() as m:
+            m.setattr(Tables, "_write", fail_on(broken))
+            with pytest.raises(OSError):
+                tables.append("events_raw", id_rows(events, added))
+        # Whatever was noted, only stored events are known.
+        assert known() == ({"a"} if broken == "events_raw" else {"a", "c"})
+    tables.append("events_raw", id_rows(events, "b"))
+    assert known() == {"a", "b", "c"} and tables.read("events_raw").count() == 3
+
+
+def test_events_stored_without_an_index_get_one(tables, events):
+    tables._write("events_raw", id_rows(events, "a", "b"), "append")
+    assert {r["event_id"] for r in tables.known_ids(id_rows(events, "a", "b")).collect()} == {"a", "b"}
+
+
+def test_staged_tables_can_be_cleared(spark, events, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: str(tmp_path))
+    other = tmp_path / "staged" / "another-application"
+    other.mkdir(parents=True)
+    stage(id_rows(events, "a"), "cleared")
+    own = tmp_path / "staged" / spark.sparkContext.applicationId
+    assert own.is_dir()
+    staging.clear_staged(spark)
+    assert not own.exists() and other.is_dir()

@@ -53,3 +53,13 @@ def test_report_line_and_cards(spark, one):
 
 def test_currency(spark, one):
     assert one(spark.sql("select 1234.5D v").select(text.currency(F.col("v")).alias("c")))["c"] == "$1,234"
+
+
+def test_number_text(spark, rows):
+    wanted = {
+        37.0: "37.0", 0.1: "0.1", 12345678.9: "12345678.9", 1e7: "10000000.0", 0.0005: "0.0005", 1.5e-5: "1.5e-05",
+        1e-5: "1e-05", 2.5e16: "2.5e+16", 1e100: "1e+100", -0.00025: "-0.00025", 0.0: "0.0",
+        float("inf"): "inf", float("-inf"): "-inf",
+    }
+    df = spark.createDataFrame([(v,) for v in wanted], "v double").select("v", text.number_text(F.col("v")).alias("t"))
+    assert {r["v"]: r["t"] for r in rows(df)} == wanted

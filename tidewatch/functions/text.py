@@ -149,6 +149,24 @@ def email_subject(prefix: str, severity: Column, metric: Column, day: Column) ->
     return F.trim(line)
 
 
+def number_text(value: Column) -> Column:
+    """A double in its fewest digits: plain from 1e-4 up to 1e16, else like ``1.5e-05``."""
+    given, size = value.cast("string"), F.abs(value)
+    digits = F.regexp_replace(given.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.concat(digits, F.when(digits.endswith("."), "0").otherwise(""))
+    mantissa = F.regexp_replace(F.substring_index(given, "E", 1), r"\.0$", "")
+    power = F.substring_index(given, "E", -1).try_cast("int")
+    sign = F.when(power < 0, "-").otherwise("+")
+    steps = F.format_string("%02d", F.abs(power))
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(~given.contains("E"), given)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(F.concat(mantissa, F.lit("e"), sign, steps))
+    )
+
+
 def email_body(alert: dict[str, Column]) -> Column:
     """Seven lines; the labels are fixed."""
     labels = (

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import schemas as S
-from tidewatch.functions.text import address_list, email_body, email_subject
+from tidewatch.functions.text import address_list, email_body, email_subject, number_text
 from tidewatch.operators.keys import surrogate_id
 from tidewatch.operators.merge import merge
 
@@ -55,7 +55,7 @@ def email_queue(
     parts = {
         "metric_name": F.col("metric_name"),
         "severity": F.col("severity"),
-        "risk_score": F.col("risk_score"),
+        "risk_score": number_text(F.col("risk_score")),
         "message": F.col("message"),
         "ts": F.col("ts"),
         "context": _context_json(),

@@ -43,7 +43,7 @@ def ingest(
         judged = tables.spark.read.parquet(judged_at)
     else:
         rows = stage(validation.explode_bodies(bodies), "parsed")
-        judged = validation.classify(rows, tables.read("events_raw"), whole_batches)
+        judged = validation.classify(rows, tables.known_ids(rows), whole_batches)
         judged = stage(judged, "classified", at=judged_at)
 
     batches = bodies.groupBy("batch_id").agg(F.max("received_at").alias("ts"))

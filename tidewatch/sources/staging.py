@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Temporary folder of each application in local mode that names no shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,15 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidewatch-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir() or folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidewatch-")
+    return _LOCAL[context.applicationId]
+
+
+def _staged(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; never reused."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/staged/{app}/{label}-{uuid.uuid4().hex}"
+    return f"{_staged(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged, once none of it is needed any more."""
+    fs, location = file_system(spark, _staged(spark))
+    fs.delete(location, True)
 
 
 def file_system(spark: SparkSession, path: str):

@@ -20,9 +20,7 @@ def recompute_touched_days(tables: Tables, batch: DataFrame, as_of: datetime | C
     """
     rows = stage(batch, "events")
     tables.append_new("events_raw", rows)
-    touched = rows.select("event_date").distinct()
-    # One row per calendar day; prunes the scan to those partitions.
-    events = tables.read("events_raw").join(F.broadcast(touched), "event_date", "left_semi")
+    events = tables.read_touched("events_raw", rows)
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
     tables.upsert(
         "metrics_daily", kpis.kpi_rows(kpis.daily_kpis(events)).withColumn("computed_at", moment)
