@@ -118,8 +118,8 @@ def test_window_panel(alert_rows, series, report_rows, nothing, rows, one):
     assert panels.window_alerts(alerts, DAY, DAY).count() == 2
     metrics = series({"dau": {DAY: 1.00005, DAY - timedelta(days=1): 2}, "x": {DAY: 3, DAY + timedelta(days=1): 4}})
     assert {r["Metric"]: r["Value"] for r in rows(panels.window_metrics(metrics, DAY - timedelta(days=3), DAY))} == {"dau": 1.0001, "x": 3.0}
-    text = one(panels.report_text(report_rows((DAY, True, 0.625), (DAY + timedelta(days=2), False, 0.2)), DAY))
-    assert text == {"line": "2026-01-13 | pass=True | confidence=0.625", "cards": ["2026-01-13", "pass=True", "confidence=0.625"]}
+    text = one(panels.report_text(report_rows((DAY, True, 0.85), (DAY + timedelta(days=2), False, 0.2)), DAY))
+    assert text == {"line": "2026-01-13 | pass=True | confidence=0.85", "cards": ["2026-01-13", "pass=True", "confidence=0.85"]}
     assert one(panels.report_text(nothing(S.DQ_REPORTS)))["line"] == "No DQ reports yet."
 
 
