@@ -335,3 +335,19 @@ def test_segmenting_finds_the_most_probable_words():
     assert split("cheappills") == ["cheap", "pills"]
     assert split("thecheapqzx") == ["the", "cheap", "qzx"]
     assert split("") == []
+
+
+def test_hosts_are_split_by_all_words_of_the_titles(spark):
+    letters = "abcdefghij"
+    often = ["q" + "".join(letters[int(d)] for d in f"{i:05}") for i in range(50_000)]
+    long = "donaudampfschifffahrtsgesellschaft"
+    title = f"<title>{' '.join(often * 2)} zzrare zzcrate {long}</title>"
+    pages = spark.createDataFrame([
+        (1, "http://zzrare.bad.org/", title), (2, f"http://{long}.bad.org/", None), (3, "http://plain.good.org/", None),
+        (4, "http://other.good.org/", None), (5, "http://zzcratezzrare.net/", None), (6, f"http://zzcrate{long}.net/", None),
+        (7, "http://zzcrate.net/", None),
+    ], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages, rules=(("block", "bad.org/"), ("allow", "good.org/"))).collect()}
+    assert (got[5].verdict, got[6].verdict, got[7].verdict) == ("block", "block", "allow")
+    assert got[5].score == got[6].score > got[7].score
+    assert urls.Segmenter({"shop": 1000}, 10**6).words("x" * 30 + "shop") == ["x" * 30, "shop"]

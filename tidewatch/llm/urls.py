@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidewatch.sources.staging import stage
 
@@ -27,13 +26,10 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-# Words hosts are split into, at most: the most frequent of the page titles.
-LEXICON_WORDS = 50_000
-LONGEST_WORD = 24
 # Tokens are counted in as many buckets.
 BUCKETS = 1 << 16
-# Hosts whose words a worker remembers.
-KEPT_HOSTS = 50_000
+# Rows of tokens sent on at once.
+TOKEN_ROWS = 200_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,27 +59,37 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 class Segmenter:
-    """Splits names into the words that are most probable together."""
+    """Splits names into the words that are most probable together.
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(sum(counts.values()), 1)
-        self.logs = {word: math.log(n / total) for word, n in counts.items()}
-        self.total = total
+    ``counts`` needs the words that are in the names only, if ``total`` is the
+    sum of the counts of all words.
+    """
 
-    def unknown(self, length: int) -> float:
-        """A word that is not known is the less probable the longer it is."""
-        return math.log(1.0 / self.total) - 2.3 * length
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(sum(counts.values()) if total is None else total, 1)
+        self.logs = {word: math.log(n / self.total) for word, n in counts.items()}
+        self.lengths = sorted({len(word) for word in counts}, reverse=True)
 
     def words(self, name: str) -> list[str]:
         """Viterbi over the ends of words; a stretch without known words stays one word."""
+        if not self.logs:
+            return [name] if name else []
+        # A word that is not known is the less probable the longer it is.
+        first, each = math.log(1.0 / self.total), 2.3
         best = [0.0] + [-math.inf] * len(name)
         back = [0] * (len(name) + 1)
+        # Where an unknown word begins best: that does not depend on where it ends.
+        start = 0
         for end in range(1, len(name) + 1):
-            for begin in range(max(0, end - LONGEST_WORD), end):
-                word = name[begin:end]
-                score = best[begin] + (self.logs[word] if word in self.logs else self.unknown(end - begin))
-                if score > best[end]:
-                    best[end], back[end] = score, begin
+            if best[end - 1] + each * (end - 1) > best[start] + each * start:
+                start = end - 1
+            for length in self.lengths:
+                word = name[end - length : end] if length <= end else None
+                if word in self.logs and best[end - length] + self.logs[word] > best[end]:
+                    best[end], back[end] = best[end - length] + self.logs[word], end - length
+            unknown = best[start] + (first - each * (end - start))
+            if unknown > best[end]:
+                best[end], back[end] = unknown, start
         found, end = [], len(name)
         while end:
             found.append(name[back[end] : end])
@@ -94,72 +100,107 @@ class Segmenter:
 _RUNS = re.compile(r"[^\W\d_]+|\d+")
 
 
-def tokens_of(host: str, path: str, segmenter: Segmenter, kept: dict[str, list[str]]) -> list[str]:
-    """Words of the host and of the path, told apart; numbers count as one token."""
-    words = kept.get(host)
-    if words is None:
-        words = []
-        for run in _RUNS.findall(host):
-            words += ["h:#"] if run[0].isdigit() else ["h:" + w for w in segmenter.words(run)]
-        if len(kept) >= KEPT_HOSTS:
-            kept.clear()
-        kept[host] = words
-    return words + ["p:#" if run[0].isdigit() else "p:" + run for run in _RUNS.findall(path.lower())]
+def host_tokens(host: str, segmenter: Segmenter) -> list[str]:
+    """Words of the host; numbers count as one token."""
+    tokens = []
+    for run in _RUNS.findall(host):
+        tokens += ["h:#"] if run[0].isdigit() else ["h:" + w for w in segmenter.words(run)]
+    return tokens
+
+
+def path_tokens(path: str) -> list[str]:
+    """Words of the path, told apart from those of hosts; numbers count as one token."""
+    return ["p:#" if run[0].isdigit() else "p:" + run for run in _RUNS.findall(path.lower())]
+
+
+def substrings(host: str, lengths: list[int]) -> set[str]:
+    """What of these lengths is in the runs of letters of a host."""
+    runs = [run for run in _RUNS.findall(host) if not run[0].isdigit()]
+    return {run[at : at + n] for run in runs for n in lengths for at in range(len(run) - n + 1)}
 
 
 def bucket_of(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) % BUCKETS
 
 
-def lexicon(pages: DataFrame, html_column: str = "html", most: int = LEXICON_WORDS) -> dict[str, int]:
-    """Counts of the ``most`` most frequent words of the titles of all pages."""
+def exploded(rows: DataFrame, found_in: Callable[[object], Iterable], field: StructField) -> DataFrame:
+    """Each row once per value found in its last column, which the value replaces as ``field``."""
+    schema = StructType([*rows.schema.fields[:-1], field])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(batch, at, values):
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(values)], names=schema.names)
+
+        for batch in batches:
+            at, values = [], []
+            for i, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for found in found_in(value):
+                    at.append(i)
+                    values.append(found)
+                    if len(at) >= TOKEN_ROWS:
+                        yield batch_of(batch, at, values)
+                        at, values = [], []
+            if at:
+                yield batch_of(batch, at, values)
+
+    return rows.mapInArrow(run, schema)
+
+
+def lexicon(pages: DataFrame, html_column: str = "html") -> DataFrame:
+    """Rows (word, n): how often each word is in the titles of all pages."""
     title = F.regexp_extract(F.lower(F.coalesce(F.col(f"`{html_column}`"), F.lit(""))), r"(?s)<title[^>]*>(.*?)</title>", 1)
     word = F.explode(F.split(title, r"[^\p{L}]+"))
-    rows = (
-        pages.select(word.alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD))
-        .groupBy("word").count()
-        .orderBy(F.desc("count"), "word").limit(most)
-    )
-    # Staged, or each task would send its own most frequent words to the driver.
-    return {r["word"]: r["count"] for r in stage(rows, "lexicon").collect()}
+    return pages.select(word.alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def learn(parsed: DataFrame, segmenter: Segmenter) -> tuple[np.ndarray, float]:
-    """Log odds (block to allow) of each bucket, and of a page, from all pages that a rule judges.
+def tokens_of_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (host, allow, block, token) of ``hosts`` (number, host, allow, block), split by the lexicon ``words``.
 
-    Counted by buckets in every task, so that a host which is most of the table
-    is a few numbers per task.
+    The substrings of each host meet the words in a join, so a host is split by
+    the counts of those that are in it, and no task holds the lexicon.
     """
-    judged = parsed.where("rule is not null").select("host", "path", (F.col("ruled") == "block").alias("block"))
+    known = words.agg(F.sum("n"), F.collect_set(F.length("word"))).first()
+    total, lengths = known[0] or 0, sorted(known[1])
+    pieces = exploded(hosts.select("number", "host"), lambda host: substrings(host, lengths), StructField("word", StringType()))
+    found = pieces.join(words, "word").groupBy("number").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    named = hosts.join(found, "number", "left").select("host", "allow", "block", F.struct("host", "words").alias("name"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, buckets = {}, {}
-        counts = np.zeros((2, BUCKETS + 1), np.int64)
-        for batch in batches:
-            for host, path, block in zip(*(c.to_pylist() for c in batch.columns)):
-                counts[int(block), BUCKETS] += 1
-                for token in tokens_of(host, path, segmenter, kept):
-                    if token not in buckets:
-                        if len(buckets) >= KEPT_HOSTS:
-                            buckets.clear()
-                        buckets[token] = bucket_of(token)
-                    counts[int(block), buckets[token]] += 1
-        used = np.flatnonzero(counts.sum(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])], names=["bucket", "allow", "block"]
-        )
-
-    rows = (
-        judged.mapInArrow(run, "bucket long, allow long, block long")
-        .groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    def tokens(name: dict) -> list[int]:
+        counts = {w["word"]: w["n"] for w in name["words"] or ()}
+        return [bucket_of(t) for t in host_tokens(name["host"], Segmenter(counts, total))]
+
+    return exploded(named, tokens, TOKEN)
+
+
+TOKEN = StructField("token", LongType())
+
+
+def learn(hosts: DataFrame, by_host: DataFrame, parsed: DataFrame) -> tuple[DataFrame, float, float]:
+    """Rows (token, odds), log odds (block to allow) of a token that is not there, and of a page.
+
+    From all pages that a rule judges.  Hosts carry how many of their pages are
+    allowed and blocked, so a host which is most of the table is counted once.
+    """
+    block = (F.col("ruled") == "block").cast("long")
+    judged = parsed.where("rule is not null").select((1 - block).alias("allow"), block.alias("block"), "path")
+    by_path = exploded(judged, lambda path: [bucket_of(t) for t in path_tokens(path)], TOKEN)
+    sums = [F.sum("allow").alias("allow"), F.sum("block").alias("block")]
+    counts = stage(
+        by_host.select("allow", "block", "token").where("allow + block > 0").unionByName(by_path).groupBy("token").agg(*sums),
+        "token-counts",
     )
-    counts = np.zeros((2, BUCKETS + 1))
-    for r in rows:
-        counts[:, r["bucket"]] = r["allow"], r["block"]
-    tokens = counts[:, :BUCKETS] + 1.0
-    odds = np.log(tokens / tokens.sum(axis=1, keepdims=True))
-    pages = counts[:, BUCKETS] + 1.0
-    return odds[1] - odds[0], float(np.log(pages[1] / pages[0]))
+    tokens, pages = counts.agg(*sums).first(), hosts.agg(*sums).first()
+    allow, block = (math.log((n or 0) + BUCKETS) for n in tokens)
+    odds = F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0) - (block - allow)
+    return counts.select("token", odds.alias("odds")), allow - block, math.log(((pages[1] or 0) + 1.0) / ((pages[0] or 0) + 1.0))
+
+
+def summed(tokens: DataFrame, odds: DataFrame, unseen: float, key: str) -> DataFrame:
+    """Rows (key, sum of the odds of its tokens), the smallest first, so that the sum does not depend on their order."""
+    each = tokens.select(key, "token").join(odds, "token", "left").select(key, F.coalesce("odds", F.lit(unseen)).alias("odds"))
+    total = F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda a, b: a + b)
+    return each.groupBy(key).agg(total.alias(f"{key}_odds"))
 
 
 def judge(
@@ -176,23 +217,20 @@ def judge(
     parsed = pages.select(F.col(f"`{id_column}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "ruled": ruled})
-    segmenter = Segmenter(lexicon(pages, html_column))
-    odds, prior = learn(parsed, segmenter)
-    names = ["id", "host", "path", "rule", "ruled"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[str]] = {}
-        for batch in batches:
-            z = np.array([
-                prior + sum(float(odds[bucket_of(t)]) for t in tokens_of(host, path, segmenter, kept))
-                for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            ], float)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))))], names=[*names, "score"]
-            )
-
-    schema = StructType([*parsed.schema.fields, StructField("score", DoubleType())])
-    scored = parsed.select(*names).mapInArrow(run, schema)
+    # Rows with equal ids are told apart by a number, which must not be given anew: the table is written once.
+    parsed = stage(parsed.withColumn("row", F.monotonically_increasing_id()), "urls")
+    judged = [F.count(F.when(F.col("ruled") == says, 1)).alias(says) for says in ("allow", "block")]
+    hosts = parsed.groupBy("host").agg(*judged).withColumn("number", F.monotonically_increasing_id())
+    hosts = stage(hosts.select("number", "host", "allow", "block"), "hosts")
+    by_host = stage(tokens_of_hosts(hosts, stage(lexicon(pages, html_column), "lexicon")), "host-tokens")
+    odds, unseen, prior = learn(hosts, by_host, parsed)
+    by_row = exploded(parsed.select("row", "path"), lambda path: [bucket_of(t) for t in path_tokens(path)], TOKEN)
+    z = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("row_odds", F.lit(0.0))
+    scored = (
+        parsed.join(summed(by_row, odds, unseen, "row"), "row", "left")
+        .join(summed(by_host, odds, unseen, "host"), "host", "left")
+        .withColumn("score", 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0)))))
+    )
     by_model = F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(
         F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score"
