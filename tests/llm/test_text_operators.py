@@ -285,6 +285,22 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(empty_of(odd)).count() == 0
 
 
+def test_licenses_that_differ_by_a_word(spark):
+    notice = "under the terms of the GNU {}General Public License{} as published by the Free Software Foundation, either"
+    gpl, lgpl, agpl = (notice.format(w, "") for w in ("", "Lesser ", "Affero "))
+    shuffled = "software foundation by the free as published by the public license as gnu lesser general public free software"
+    texts = [
+        gpl, lgpl, agpl, f"{gpl} x y z {lgpl}", f"{agpl}. {lgpl}", notice.format("Affero ", " version 3"),
+        notice.format("", " version 2"), lgpl.replace("published", "printed"), f"{lgpl} and the general public license", shuffled,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [
+        "gpl", "lgpl", "agpl", "gpl,lgpl", "agpl,lgpl", "agpl", "gpl", "lgpl", "gpl,lgpl", "",
+    ]
+    assert [got[i].base_labels for i in range(len(texts))] == ["gpl"] * 9 + [""]
+
+
 def test_language(spark, sf_dir, odd):
     got = queries.op9_language(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
