@@ -367,3 +367,15 @@ def test_hosts_are_split_by_all_words_of_the_titles(spark):
     assert (got[5].verdict, got[6].verdict, got[7].verdict) == ("block", "block", "allow")
     assert got[5].score == got[6].score > got[7].score
     assert urls.Segmenter({"shop": 1000}, 10**6).words("x" * 30 + "shop") == ["x" * 30, "shop"]
+
+
+def test_tokens_of_urls_are_counted_by_themselves(spark):
+    # As many tokens of blocked pages as would fill 65,536 buckets several times; none is in the pages without a rule.
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:06}") for i in range(300_000)]
+    seen = [f"http://bad.org/{'/'.join(words[i:i + 3000])}" for i in range(0, len(words), 3000)]
+    urls_of = seen + ["http://good.org/fine"] * len(seen) + ["http://x.net/zz%s" % w for w in words[:200]] + ["http://x.net/fine"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls_of)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages, rules=(("block", "bad.org/"), ("allow", "good.org/"))).collect()}
+    unseen = {got[i].score for i in range(2 * len(seen), len(urls_of) - 1)}
+    assert unseen == {0.5}
+    assert got[len(urls_of) - 1].score < 0.1

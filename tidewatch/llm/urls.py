@@ -12,9 +12,8 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewatch.sources.staging import stage
 
@@ -26,8 +25,6 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-# Tokens are counted in as many buckets.
-BUCKETS = 1 << 16
 # Rows of tokens sent on at once.
 TOKEN_ROWS = 200_000
 
@@ -119,10 +116,6 @@ def substrings(host: str, lengths: list[int]) -> set[str]:
     return {run[at : at + n] for run in runs for n in lengths for at in range(len(run) - n + 1)}
 
 
-def bucket_of(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token) % BUCKETS
-
-
 def exploded(rows: DataFrame, found_in: Callable[[object], Iterable], field: StructField) -> DataFrame:
     """Each row once per value found in its last column, which the value replaces as ``field``."""
     schema = StructType([*rows.schema.fields[:-1], field])
@@ -166,39 +159,38 @@ def tokens_of_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
     found = pieces.join(words, "word").groupBy("number").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     named = hosts.join(found, "number", "left").select("host", "allow", "block", F.struct("host", "words").alias("name"))
 
-    def tokens(name: dict) -> list[int]:
-        counts = {w["word"]: w["n"] for w in name["words"] or ()}
-        return [bucket_of(t) for t in host_tokens(name["host"], Segmenter(counts, total))]
+    def tokens(name: dict) -> list[str]:
+        return host_tokens(name["host"], Segmenter({w["word"]: w["n"] for w in name["words"] or ()}, total))
 
     return exploded(named, tokens, TOKEN)
 
 
-TOKEN = StructField("token", LongType())
+TOKEN = StructField("token", StringType())
 
 
-def learn(hosts: DataFrame, by_host: DataFrame, parsed: DataFrame) -> tuple[DataFrame, float, float]:
-    """Rows (token, odds), log odds (block to allow) of a token that is not there, and of a page.
+def learn(hosts: DataFrame, by_host: DataFrame, parsed: DataFrame) -> tuple[DataFrame, float]:
+    """Rows (token, odds), log odds (block to allow) of each token, and the odds of a page.
 
-    From all pages that a rule judges.  Hosts carry how many of their pages are
+    From all pages that a rule judges; a token of none of them is not there and says nothing.  Hosts carry how many of their pages are
     allowed and blocked, so a host which is most of the table is counted once.
     """
     block = (F.col("ruled") == "block").cast("long")
     judged = parsed.where("rule is not null").select((1 - block).alias("allow"), block.alias("block"), "path")
-    by_path = exploded(judged, lambda path: [bucket_of(t) for t in path_tokens(path)], TOKEN)
+    by_path = exploded(judged, path_tokens, TOKEN)
     sums = [F.sum("allow").alias("allow"), F.sum("block").alias("block")]
     counts = stage(
         by_host.select("allow", "block", "token").where("allow + block > 0").unionByName(by_path).groupBy("token").agg(*sums),
         "token-counts",
     )
-    tokens, pages = counts.agg(*sums).first(), hosts.agg(*sums).first()
-    allow, block = (math.log((n or 0) + BUCKETS) for n in tokens)
+    tokens, pages = counts.agg(*sums, F.count("*").alias("distinct")).first(), hosts.agg(*sums).first()
+    allow, block = (math.log((tokens[c] or 0) + max(tokens["distinct"], 1)) for c in ("allow", "block"))
     odds = F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0) - (block - allow)
-    return counts.select("token", odds.alias("odds")), allow - block, math.log(((pages[1] or 0) + 1.0) / ((pages[0] or 0) + 1.0))
+    return counts.select("token", odds.alias("odds")), math.log(((pages[1] or 0) + 1.0) / ((pages[0] or 0) + 1.0))
 
 
-def summed(tokens: DataFrame, odds: DataFrame, unseen: float, key: str) -> DataFrame:
+def summed(tokens: DataFrame, odds: DataFrame, key: str) -> DataFrame:
     """Rows (key, sum of the odds of its tokens), the smallest first, so that the sum does not depend on their order."""
-    each = tokens.select(key, "token").join(odds, "token", "left").select(key, F.coalesce("odds", F.lit(unseen)).alias("odds"))
+    each = tokens.select(key, "token").join(odds, "token").select(key, "odds")
     total = F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda a, b: a + b)
     return each.groupBy(key).agg(total.alias(f"{key}_odds"))
 
@@ -223,12 +215,12 @@ def judge(
     hosts = parsed.groupBy("host").agg(*judged).withColumn("number", F.monotonically_increasing_id())
     hosts = stage(hosts.select("number", "host", "allow", "block"), "hosts")
     by_host = stage(tokens_of_hosts(hosts, stage(lexicon(pages, html_column), "lexicon")), "host-tokens")
-    odds, unseen, prior = learn(hosts, by_host, parsed)
-    by_row = exploded(parsed.select("row", "path"), lambda path: [bucket_of(t) for t in path_tokens(path)], TOKEN)
+    odds, prior = learn(hosts, by_host, parsed)
+    by_row = exploded(parsed.select("row", "path"), path_tokens, TOKEN)
     z = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("row_odds", F.lit(0.0))
     scored = (
-        parsed.join(summed(by_row, odds, unseen, "row"), "row", "left")
-        .join(summed(by_host, odds, unseen, "host"), "host", "left")
+        parsed.join(summed(by_row, odds, "row"), "row", "left")
+        .join(summed(by_host, odds, "host"), "host", "left")
         .withColumn("score", 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0)))))
     )
     by_model = F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
