@@ -243,6 +243,27 @@ def test_packing(spark, odd):
     assert packing.pack_documents(empty_of(odd), packing.word_tokenizer()).count() == 0
 
 
+def test_packing_counts_tokens_that_bear_loss(spark):
+    rng = random.Random(5)
+    rows = [(i, "cat dog " * rng.randrange(1, 400), rng.choice([None, -1, 0, 10, 150, 10**6])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt long").coalesce(1)
+    limits = packing.Limits(tokens=512, segments=6, loss=200, block=64, min_cut=16)
+    got = packing.pack_documents(docs, packing.word_tokenizer(), limits=limits, prompt_column="prompt").collect()
+    prompts = {i: max(p or 0, 0) for i, _, p in rows}
+    held, tokens = {}, Counter()
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == tokens[r.doc_id]
+        tokens[r.doc_id] += r.length
+        sequence = held.setdefault(r.sequence_id, [0, 0, 0])
+        sequence[0] += r.length
+        sequence[1] += 1
+        sequence[2] += sum(at >= prompts[r.doc_id] for at in range(r.start + 1, r.start + r.length))
+    assert all(tokens[r.doc_id] == r.doc_tokens for r in got) and len(tokens) == len(rows)
+    assert all(t <= 512 and s <= 6 and x <= 200 for t, s, x in held.values())
+    # The limit binds, and prompts go beyond it.
+    assert any(x == 200 for _, _, x in held.values()) and any(t > 400 for t, _, _ in held.values())
+
+
 def test_packing_leaves_little_room(spark, sf_dir):
     got = queries.op2_packing(spark, "/root/testdata/sf0.01").collect()
     held = Counter()

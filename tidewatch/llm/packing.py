@@ -25,8 +25,8 @@ from tidewatch.llm.byte_bpe import CutEncoder
 class Limits:
     """What one sequence may hold.
 
-    Every token but the first of a piece bears loss, as nothing precedes that
-    one.  Pieces are packed ``block`` at a time; a gap of at least ``min_cut``
+    Every token but the first of a piece and those of the prompt, with which a
+    document may begin, bears loss: nothing precedes that one.  Pieces are packed ``block`` at a time; a gap of at least ``min_cut``
     tokens is filled with the beginning of a piece that does not fit.
     """
 
@@ -73,14 +73,20 @@ class Piece:
     start: int
     ids: np.ndarray
     doc_tokens: int
+    # Tokens at the beginning of the document that bear no loss.
+    prompt: int = 0
+
+    def prompt_left(self) -> int:
+        """Where the prompt ends, counted from the piece's beginning."""
+        return max(self.prompt - self.start, 0)
 
     def demand(self) -> tuple[int, int, int]:
-        return len(self.ids), 1, max(len(self.ids) - 1, 0)
+        return len(self.ids), 1, max(len(self.ids) - max(self.prompt_left(), 1), 0)
 
     def cut(self, at: int) -> tuple[Piece, Piece]:
         return (
-            Piece(self.doc, self.start, self.ids[:at], self.doc_tokens),
-            Piece(self.doc, self.start + at, self.ids[at:], self.doc_tokens),
+            Piece(self.doc, self.start, self.ids[:at], self.doc_tokens, self.prompt),
+            Piece(self.doc, self.start + at, self.ids[at:], self.doc_tokens, self.prompt),
         )
 
 
@@ -94,6 +100,7 @@ def pack_block(pieces: list[Piece], limits: Limits) -> list[list[Piece]]:
     capacity = np.array([limits.tokens, limits.segments, limits.loss], float)
     waiting = list(pieces)
     demand = np.array([p.demand() for p in waiting], float).reshape(-1, 3)
+    prompts = np.array([p.prompt_left() for p in waiting], float)
     open_ = np.ones(len(waiting), bool)
     left = len(waiting)
     sequences = []
@@ -104,15 +111,19 @@ def pack_block(pieces: list[Piece], limits: Limits) -> list[list[Piece]]:
         score = demand * (weight / capacity**2)
         while left:
             fits = open_ & (demand <= room).all(axis=1)
+            # How much of each piece's beginning there is room for.
+            begins = np.minimum(room[0], room[2] + prompts)
+            cuttable = open_ & (begins >= limits.min_cut)
             if fits.any():
                 at = int(np.argmax(np.where(fits, score @ room, -1.0)))
                 piece = waiting[at]
-            elif room[0] >= limits.min_cut and room[1] >= 1 and room[2] >= limits.min_cut:
+            elif room[1] >= 1 and cuttable.any():
                 # Nothing fits: the longest piece gives its beginning and stays with the rest.
-                at = int(np.argmax(np.where(open_, demand[:, 0], -1.0)))
-                piece, rest = waiting[at].cut(int(min(room[0], room[2])))
+                at = int(np.argmax(np.where(cuttable, demand[:, 0], -1.0)))
+                piece, rest = waiting[at].cut(int(begins[at]))
                 waiting[at] = rest
                 demand[at] = rest.demand()
+                prompts[at] = rest.prompt_left()
                 score[at] = demand[at] * (weight / capacity**2)
                 chosen.append(piece)
                 room = room - piece.demand()
@@ -153,11 +164,10 @@ class Packer:
         self.next_id = task << 33
         self.waiting: list[Piece] = []
 
-    def add(self, doc: object, ids: np.ndarray) -> Iterator[list[Piece]]:
+    def add(self, doc: object, ids: np.ndarray, prompt: int = 0) -> Iterator[list[Piece]]:
         """A document's ids; yields sequences that are complete."""
-        size = min(self.limits.tokens, self.limits.loss + 1)
-        piece = Piece(doc, 0, ids, len(ids))
-        while len(piece.ids) >= size:
+        piece = Piece(doc, 0, ids, len(ids), prompt)
+        while len(piece.ids) >= (size := min(self.limits.tokens, self.limits.loss + max(piece.prompt_left(), 1))):
             full, piece = piece.cut(size)
             yield [full]
         if len(piece.ids):
@@ -188,6 +198,7 @@ def pack_documents(
     limits: Limits = Limits(),
     id_column: str = "doc_id",
     text_column: str = "text",
+    prompt_column: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document in a sequence.
 
@@ -198,10 +209,17 @@ def pack_documents(
     repeated rows are packed each; a null id stays null; other columns are
     ignored; an empty table has no sequences.
 
+    ``prompt_column`` says how many tokens at the beginning of the row's text
+    bear no loss: null or less than 1 is none, more than the row has is all (a
+    turn of a user, for instance).  Without it every text bears loss.
+
     Every task packs the rows of its input partition.  ``sequence_id`` holds
     the partition's number, so a task that runs again gives the same rows.
     """
-    rows = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string").alias("_text"))
+    prompt = F.lit(0) if prompt_column is None else F.greatest(F.col(f"`{prompt_column}`"), F.lit(0))
+    rows = docs.select(
+        F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string").alias("_text"), prompt.cast("long").alias("_prompt")
+    )
     names = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def rows_of(packer: Packer, sequences: list[list[Piece]], kind: pa.DataType) -> pa.RecordBatch:
@@ -237,9 +255,9 @@ def pack_documents(
             kind = part.column(0).type
             ids, at = encoder.encode(*flat(part.column(1)))
             done = []
-            for n, doc in enumerate(part.column(0).to_pylist()):
+            for n, (doc, prompt) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
                 whole = np.append(ids[at[n] : at[n + 1]], np.uint32(end_id)).astype(np.uint32)
-                for sequence in packer.add(doc, whole):
+                for sequence in packer.add(doc, whole, prompt):
                     done.append(sequence)
                     if len(done) >= 512:
                         yield rows_of(packer, done, kind)
