@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType
 
-from tidewatch.llm import byte_bpe, exact_dedup, language, licenses, ngram_join, packing, quality, sharding, toxicity, urls
+from tidewatch.llm import (
+    byte_bpe, exact_dedup, infilling, language, licenses, linedrop, ngram_join, packing, quality, sharding, toxicity,
+    turns, urls,
+)
+from tidewatch.llm.sql import OP4_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 SHARDS = 24
 
@@ -45,19 +49,6 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(_table(spark, sf_dir, "documents"))
 
 
-OP4_SQL = """
-WITH rows AS (
-    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents
-)
-SELECT doc_id,
-       min(doc_id) OVER same AS keep_id,
-       count(*) OVER same AS group_size,
-       row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept,
-       sha256(norm) AS text_sha256
-FROM rows WINDOW same AS (PARTITION BY norm)
-"""
-
-
 def quality_rules(spark: SparkSession, sf_dir: str) -> list[quality.Rule]:
     counted = quality.labelled_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality.learn_from(counted)
@@ -102,6 +93,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rearranged for fill-in-the-middle and restored, as digests."""
+    return infilling.digests(infilling.pieces(_table(spark, sf_dir, "documents")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more documents have."""
+    dropped = linedrop.drop_lines(_table(spark, sf_dir, "documents"))
+    return dropped.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every beginning of the conversations, after those of a block share their first turns."""
+    lists = turns.turn_lists(_table(spark, sf_dir, "conversations"))
+    return turns.prefix_trie(turns.with_shared_heads(lists))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
@@ -113,8 +121,14 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_infilling": op11_infilling,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
     "op4_exact_dedup": OP4_SQL,
+    "op11_infilling": OP11_SQL,
+    "op12_line_dedup": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
