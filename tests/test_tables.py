@@ -1,4 +1,4 @@
-import os
+import hashlib
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -8,7 +8,7 @@ from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
 from tidewatch.operators import notify
 from tidewatch.plans import daily
-from tidewatch.sources import staging
+from tidewatch.sources import ids, staging
 from tidewatch.sources.staging import stage
 from tidewatch.sources.tables import TABLES, Tables
 
@@ -152,38 +152,85 @@ def id_rows(events, *ids):
     return events([(i, "2026-01-13 09:00:00", "user_access", "web", "u", 1) for i in ids])
 
 
-def test_known_ids_read_the_touched_buckets_only(spark, tables, events):
-    tables.append("events_raw", id_rows(events, *[f"e{n}" for n in range(50)]))
-    known = tables.known_ids(id_rows(events, "e7", "new"))
-    plan = known._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "events_raw" not in plan
-    found = {r["event_id"] for r in known.collect()}
-    assert "e7" in found and "new" not in found and len(found) < 50
+def known(tables, events, *ids):
+    return {r["event_id"] for r in tables.known_ids(id_rows(events, *ids)).collect()}
 
 
-def test_index_follows_the_events_after_a_failed_append(tables, events, monkeypatch):
-    write = Tables._write
+def bytes_read(spark, work):
+    """What ``work`` reads from files, by the file system's own count."""
+    def total():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = total()
+    work()
+    return total() - before
 
-    def fail_on(broken):
-        def run(self, name, rows, mode):
-            if name == broken:
-                raise OSError("lost")
-            write(self, name, rows, mode)
 
-        return run
+def test_known_ids_come_from_the_index_alone(spark, tables, events):
+    tables.append("events_raw", id_rows(events, *[f"e{n}" for n in range(50)]))
+    found = tables.known_ids(id_rows(events, "e7", "new"))
+    assert "events_raw" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["event_id"] for r in found.collect()} == {"e7"}
+
+
+@pytest.mark.parametrize("literals", [400, 0])
+def test_reads_of_a_delivery_stay_flat_as_history_grows(spark, tmp_path, events, monkeypatch, literals):
+    monkeypatch.setattr(ids, "LITERALS", literals)
+    tables = Tables(spark, str(tmp_path / "grown"), bucket_ids=500)
+    template = id_rows(events, "x")
+
+    def store(first, last):
+        made = spark.range(first, last).selectExpr("md5(cast(id AS string)) AS event_id")
+        tables.append("events_raw", template.drop("event_id").crossJoin(made).select(*template.columns))
+
+    def look_up():
+        probe = spark.sql("SELECT explode(array(md5('5'), md5('77'), 'none', 'other')) AS event_id")
+        return {r["event_id"] for r in tables.known_ids(probe).collect()}
+
+    store(0, 10_000)
+    few = bytes_read(spark, look_up)
+    store(10_000, 100_000)
+    many = bytes_read(spark, look_up)
+    assert sorted(run.bits for run in tables.ids.runs()) == [5, 8]
+    assert many < 3 * few
+    found = look_up()
+    want = {hashlib.md5(n).hexdigest() for n in (b"5", b"77")}
+    assert found == want if literals else found > want
+
+
+def test_runs_are_merged_and_buckets_split(spark, tmp_path, events):
+    tables = Tables(spark, str(tmp_path / "merged"), bucket_ids=10)
+    every = [f"e{n}" for n in range(40)]
+    for begin in range(0, 40, 2):
+        tables.append("events_raw", id_rows(events, *every[begin:begin + 2]))
+    runs = tables.ids.runs()
+    assert len(runs) < 8 and sum(run.ids for run in runs) == 40 and max(run.bits for run in runs) > 0
+    assert known(tables, events, *every, "new", "other") == set(every)
+
+
+def test_index_follows_the_events_after_a_failed_append(tables, events, monkeypatch):
+    def lost(*_):
+        raise OSError("lost")
 
-    probe = id_rows(events, "a", "b", "c")
-    known = lambda: {r["event_id"] for r in tables.known_ids(probe).collect()}
     tables.append("events_raw", id_rows(events, "a"))
-    for broken, added in (("events_raw", "b"), ("event_ids", "c")):
+    for broken, method, added in ((Tables, "_write", "b"), (ids.IdIndex, "confirm", "c")):
         with monkeypatch.context() as m:
-            m.setattr(Tables, "_write", fail_on(broken))
+            m.setattr(broken, method, lost)
             with pytest.raises(OSError):
                 tables.append("events_raw", id_rows(events, added))
         # Whatever was noted, only stored events are known.
-        assert known() == ({"a"} if broken == "events_raw" else {"a", "c"})
+        assert known(tables, events, "a", "b", "c") == ({"a"} if added == "b" else {"a", "c"})
     tables.append("events_raw", id_rows(events, "b"))
-    assert known() == {"a", "b", "c"} and tables.read("events_raw").count() == 3
+    assert known(tables, events, "a", "b", "c") == {"a", "b", "c"} and tables.read("events_raw").count() == 3
+
+
+def test_an_append_of_new_events_reads_no_events(spark, tables, events, tmp_path):
+    tables.append("events_raw", id_rows(events, "a", "b"))
+    for part in (tmp_path / "tables" / "events_raw").rglob("*.parquet"):
+        part.write_bytes(b"unreadable")
+    tables.append_new("events_raw", id_rows(events, "b", "c"))
+    assert known(tables, events, "a", "b", "c") == {"a", "b", "c"}
+    assert sum(run.ids for run in tables.ids.runs()) == 3
 
 
 def test_events_stored_without_an_index_get_one(tables, events):

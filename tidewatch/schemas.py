@@ -78,11 +78,6 @@ EVENTS_RAW = T.StructType([
     T.StructField("event_date", T.DateType()),
 ])
 
-# Ids of stored events, dealt to buckets by hash.
-EVENT_IDS = T.StructType([
-    T.StructField("event_id", T.StringType()),
-    T.StructField("bucket", T.IntegerType()),
-])
 EVENTS_QUARANTINE = T.StructType([
     T.StructField("quarantine_id", T.LongType()),
     T.StructField("ts_ingested", T.TimestampType()),

@@ -7,22 +7,22 @@ repeated.  Upsert tables without a date are kept in versions: a new version is
 written beside the old one and counts once it is complete, so a failed write
 changes nothing.  There is no transaction across tables.
 
-``event_ids`` is an index on raw events: their ids in hash buckets.  An append
-of events notes its ids first, writes the events and indexes the noted ids last;
-what a failed append left noted is settled by the next one against the events of
-the noted dates.
+``event_ids`` is an index on raw events (``sources/ids.py``).  An append of
+events notes its ids first, writes the events and confirms the note last; what a
+failed append left noted is settled by the next one against the events of the
+noted dates.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
+from tidewatch.sources.ids import BUCKET_IDS, IdIndex
 from tidewatch.sources.staging import file_system, is_complete, stage
 
 
@@ -40,14 +40,10 @@ class Table:
         return self.partition is None and not self.append_only
 
 
-# Partitions of the id index; a delivery of fewer events reads that many at most.
-ID_BUCKETS = 256
-
 TABLES = {
     "events_raw": Table(
         S.EVENTS_RAW, ("event_id",), "event_date", append_only=True, sort=("event_type", "ts_event")
     ),
-    "event_ids": Table(S.EVENT_IDS, ("event_id",), "bucket", append_only=True, sort=("event_id",)),
     "events_quarantine": Table(
         S.EVENTS_QUARANTINE, ("quarantine_id", "ts_ingested", "reason"), "ingest_date", append_only=True, sort=("reason",)
     ),
@@ -68,16 +64,13 @@ TABLES = {
 }
 
 
-def id_bucket(event_id: str) -> Column:
-    return F.pmod(F.xxhash64(event_id), F.lit(ID_BUCKETS)).cast("int")
-
-
 class Tables:
     """Read, append and upsert below one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, bucket_ids: int = BUCKET_IDS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.ids = IdIndex(spark, self.path("event_ids"), bucket_ids)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -108,16 +101,16 @@ class Tables:
         return self.spark.read.schema(schema).parquet(path)
 
     def read_touched(self, name: str, rows: DataFrame) -> DataFrame:
-        """The stored rows of those partitions (calendar days, id buckets) that ``rows`` touch."""
+        """The stored rows of those partitions (calendar days) that ``rows`` touch."""
         partition = TABLES[name].partition
         # Few values whatever the data; as literals they prune the scan.
         touched = [row[0] for row in rows.select(partition).distinct().collect()]
         return self.read(name).where(F.col(partition).isin(touched))
 
     def known_ids(self, incoming: DataFrame) -> DataFrame:
-        """Ids of stored events, read in the buckets of the ``incoming`` ids."""
+        """Ids of ``incoming`` events that are stored; the events are not read."""
         self._settle_ids()
-        return self.read_touched("event_ids", incoming.select(id_bucket("event_id").alias("bucket"))).select("event_id")
+        return self.ids.known(incoming)
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Append ``rows``; for raw events, which are read twice, index their ids too."""
@@ -125,40 +118,26 @@ class Tables:
             self._write(name, rows, "append")
             return
         self._settle_ids()
-        noted = f"{self._noted()}/{uuid.uuid4().hex}"
-        rows.select("event_id", id_bucket("event_id").alias("bucket"), "event_date").write.parquet(noted)
+        noted = self.ids.note(rows)
         self._write(name, rows, "append")
-        self._index(noted)
-
-    def _noted(self) -> str:
-        return f"{self.path('event_ids')}_noted"
-
-    def _index(self, noted: str, check: bool = False) -> None:
-        """Index the ids of a note and delete it; with ``check`` those whose event is stored."""
-        ids = self.spark.read.parquet(noted)
-        if check:
-            stored = self.read_touched("events_raw", ids).select("event_id")
-            ids = ids.join(stored, "event_id", "left_semi")
-        self._write("event_ids", ids, "append")
-        fs, location = file_system(self.spark, noted)
-        fs.delete(location, True)
+        self.ids.confirm(noted)
+        self.ids.compact()
 
     def _settle_ids(self) -> None:
         """Bring the index up to date after a failed append, or make it for events stored without one."""
-        if self.exists("events_raw") and not self.exists("event_ids"):
-            every = self.read("events_raw").select("event_id", id_bucket("event_id").alias("bucket"))
-            self._write("event_ids", every, "append")
-        fs, location = file_system(self.spark, self._noted())
-        for status in fs.listStatus(location) if fs.exists(location) else ():
-            noted = status.getPath().toString()
-            if is_complete(self.spark, noted):
-                self._index(noted, check=True)
-            else:
-                # Its events were not begun.
-                fs.delete(status.getPath(), True)
+        for noted in self.ids.unconfirmed():
+            self.ids.settle(noted, self.read_touched("events_raw", self.ids.noted(noted)))
+        if not self.ids.runs() and self.exists("events_raw"):
+            every = self.read("events_raw")
+            if stored := every.count():
+                self.ids.add(every, stored)
 
     def append_new(self, name: str, rows: DataFrame) -> None:
         """Append the rows whose key is not stored yet, so that a retry adds nothing."""
+        if name == "events_raw":
+            known = self.known_ids(rows).distinct()
+            self.append(name, rows.join(known, "event_id", "left_anti"))
+            return
         table = TABLES[name]
         keys = list(table.keys)
         stored = self.read_touched(name, rows) if table.partition else self.read(name)
