@@ -332,6 +332,21 @@ GROUP BY day""",
     "in_force": """
 SELECT day, report_date, pass AS passes, confidence
 FROM days ASOF LEFT JOIN odd_reports ON day >= report_date""",
+    "arrived": """
+SELECT *, (event_date - DATE '2024-01-01' + CASE WHEN id_ % 13 = 0 THEN 9 ELSE 0 END + copy) // 10 AS slot
+FROM (SELECT id_, copy, id_ // 100 AS batch_id, id_ % 100 + copy * 100 AS seq, event_id,
+  ts_ingested + to_seconds(copy * 86400) AS ts_ingested, event_date, source_system, user_id, value,
+  CASE WHEN id_ % 83 = 0 THEN 'unknown_event' ELSE event_type END AS event_type,
+  id_ % 83 = 0 OR id_ % 89 = 0 AS wrong
+  FROM ev, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR id_ % 101 = 0)""",
+    "newest": """
+SELECT s.slot, max(a.event_date) FILTER (NOT a.wrong) AS day
+FROM (SELECT DISTINCT slot FROM arrived) s JOIN arrived a ON a.slot < s.slot GROUP BY 1""",
+    "routed": """
+SELECT *, CASE WHEN wrong THEN 'validation_error' WHEN late THEN 'late'
+  WHEN row_number() OVER (PARTITION BY event_id, wrong, late ORDER BY slot, ts_ingested, batch_id, seq) > 1
+  THEN 'duplicate_event_id' ELSE 'ok' END AS outcome
+FROM (SELECT a.*, coalesce(event_date <= n.day - 7, FALSE) AND NOT wrong AS late FROM arrived a LEFT JOIN newest n USING (slot))""",
     "requests": """
 SELECT 'POST' AS method, '/ingest/' || event_type AS path, CASE WHEN id_ % 61 = 0 THEN 500 ELSE 200 END AS status,
   coalesce(value, 0.0) AS latency_ms FROM ev""",
@@ -626,7 +641,10 @@ SELECT metric, value FROM (SELECT count(*)::DOUBLE AS total_requests,
   round(sum(latency_ms) / count(*), 2) AS avg_latency_ms FROM requests)
 UNPIVOT (value FOR metric IN (total_requests, total_errors, avg_latency_ms))""",
     "stream_ingest_dedupe": f"""
-SELECT event_id, event_type, source_system, user_id, {_r('value')} FROM judged WHERE reason = 'ok'""",
+SELECT event_id, event_type, source_system, user_id, {_r('value')}, outcome FROM routed""",
+    "stream_backfill_kpis": f"""
+SELECT metric_date, metric_name, {_r('value')}, 0::BIGINT AS days_left
+FROM ({_CTES['metrics'].replace('FROM ev GROUP BY 1', "FROM (SELECT * FROM ev WHERE event_id IN (SELECT event_id FROM judged WHERE reason = 'ok')) GROUP BY 1")})""",
     "stream_daily_kpis": f"SELECT metric_date, metric_name, {_r('value')}, '{{}}' AS dimensions FROM metrics",
     "stream_provisional_kpis": """
 SELECT metric_date AS event_date, (max(value) FILTER (WHERE metric_name = 'tx_completed_count'))::BIGINT
@@ -634,8 +652,7 @@ SELECT metric_date AS event_date, (max(value) FILTER (WHERE metric_name = 'tx_co
   round(max(value) FILTER (WHERE metric_name = 'tx_fail_rate'), 6) AS tx_fail_rate, TRUE AS dau_near
 FROM metrics WHERE metric_date + 2 <= (SELECT max(ts_event) FROM ev) GROUP BY 1""",
     "stream_late_days": """
-SELECT event_date, count(*) AS late_rows FROM lake
-WHERE (SELECT max(event_date) FROM lake) - event_date >= 7 GROUP BY 1""",
+SELECT event_date, count(*) AS late_rows FROM routed WHERE outcome = 'late' GROUP BY 1""",
 }
 
 _BODIES["stream_ingest_routed"] = f"""

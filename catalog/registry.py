@@ -25,6 +25,7 @@ from tidewatch.sources.staging import fresh_path, stage
 from tidewatch.sources.tables import Tables
 from tidewatch.streaming import ingest as stream_ingest
 from tidewatch.streaming import kpis as stream_kpis
+from tidewatch.streaming import routing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,11 +655,28 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _routed(spark: SparkSession, sf_dir: str, tables: Tables | None = None) -> routing.RoutedStream:
+    """The feed as it arrives, ten days a file, of which some rows come nine days late."""
+    landed, arriving = fresh_path(spark, "arrivals"), sample.arrivals(spark, sf_dir)
+    schema = arriving.drop("slot").schema
+    routed = routing.RoutedStream(spark, fresh_path(spark, "routed"), 7)
+    checkpoint = fresh_path(spark, "routed-checkpoint")
+    for slot in range(arriving.agg(F.max("slot")).first()[0] + 1):
+        arriving.where(F.col("slot") == slot).drop("slot").write.mode("append").parquet(landed)
+        feed = spark.readStream.schema(schema).parquet(landed)
+        if tables is None:
+            query = routing.route_stream(routed, feed, checkpoint)
+        else:
+            query = routing.ingest_routed(tables, routed, feed, checkpoint)
+        query.awaitTermination()
+    return routed
+
+
 @query("stream_ingest_dedupe")
 def _(spark, sf_dir):
-    feed = sample.feed_columns(sample.model_columns(_sample_stream(spark, sf_dir)))
-    kept = _drain(stream_ingest.first_valid_events(feed, "40 days"), "stream-events")
-    return kept.select("event_id", "event_type", "source_system", "user_id", "value")
+    """Every row of the stream with its outcome."""
+    rows = _routed(spark, sf_dir).rows()
+    return rows.select("event_id", "event_type", "source_system", "user_id", "value", F.col("reason").alias("outcome"))
 
 
 @query("stream_ingest_routed")
@@ -696,8 +714,17 @@ def _(spark, sf_dir):
 
 @query("stream_late_days")
 def _(spark, sf_dir):
-    """Stored events stand at the newest day; what lies a week behind is late."""
-    events = sample.lake_events(spark, sf_dir)
-    newest = stage(events.agg(F.max("event_date").alias("newest")), "newest")
-    _, late = stream_ingest.split_late(events, newest, 7)
-    return stream_ingest.backfill_days(late)
+    """The backfill list of the stream: days with late rows, and how many."""
+    return _routed(spark, sf_dir).backfill_days()
+
+
+@query("stream_backfill_kpis")
+def _(spark, sf_dir):
+    """KPIs after the stream and the backfill of its late rows, which leaves none waiting."""
+    tables = Tables(spark, fresh_path(spark, "backfill-tables"))
+    routed = _routed(spark, sf_dir, tables)
+    routing.backfill(tables, routed, D.AS_OF)
+    left = routed.backfill_days().count()
+    return tables.read("metrics_daily").select(
+        "metric_date", "metric_name", "value", F.lit(left).cast("bigint").alias("days_left")
+    )

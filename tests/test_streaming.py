@@ -8,7 +8,7 @@ from tidewatch import schemas as S
 from tidewatch.operators import kpis
 from tidewatch.sources.bodies import bodies_from_kafka, read_bodies, stream_bodies
 from tidewatch.sources.tables import Tables
-from tidewatch.streaming import ingest, kpis as stream_kpis
+from tidewatch.streaming import ingest, kpis as stream_kpis, routing
 
 UUID = "3f2504e0-4f89-11d3-9a0c-{:012x}"
 
@@ -76,16 +76,109 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tables, events, rows):
     assert [r["value"] for r in rows(count)] == [20.0]
 
 
-def test_late_rows_are_listed_not_lost(spark, events, rows):
-    df = events([
-        (f"e{i}", f"2026-01-{day:02d} 10:00:00", "user_access", "web", "u", 1) for i, day in enumerate((1, 1, 9, 10))
-    ])
-    newest = spark.createDataFrame([(date(2026, 1, 10),)], "newest date")
-    timely, late = ingest.split_late(df, newest, 7)
-    assert timely.count() == 2
-    assert rows(ingest.backfill_days(late)) == [{"event_date": date(2026, 1, 1), "late_rows": 2}]
-    timely, late = ingest.split_late(df, newest.select(F.lit(None).cast("date").alias("newest")), 7)
-    assert timely.count() == 4 and late.count() == 0
+@pytest.fixture
+def arriving(spark):
+    """Rows ``(number, day of January 2026, id)`` as a micro-batch; a null id is invalid, day 99 lies in the future."""
+
+    def build(*given):
+        rows = []
+        for seq, (day, name) in enumerate(given):
+            moment = datetime(2026, 1, 13, 12) if day == 99 else datetime(2026, 1, day, 10)
+            happened = datetime(2027, 1, 1) if day == 99 else moment
+            rows.append((
+                str(given), seq, name and UUID.format(name), happened, moment, "transaction_completed", "web", "u", float(seq),
+                None, "{}",
+            ))
+        return spark.createDataFrame(
+            rows, "batch_id string, seq long, event_id string, ts_event timestamp, ts_ingested timestamp, "
+            "event_type string, source_system string, user_id string, value double, measurement_uncertainty double, "
+            "properties string",
+        )
+
+    return build
+
+
+BATCHES = [
+    [(1, 1), (1, 1), (2, 2), (99, 3), (3, None)],
+    [(1, 1), (12, 4), (5, 5)],
+    # The 12th is the newest day now: the 5th and before are closed.
+    [(5, 6), (1, 2), (6, 7), (12, 4), (13, 4), (5, None)],
+    [(6, 7), (6, 8), (4, 9), (14, 10)],
+]
+OUTCOMES = {
+    0: ["duplicate_event_id", "ok", "ok", "ok", "validation_error"], 1: ["duplicate_event_id", "ok", "ok"],
+    2: ["duplicate_event_id", "duplicate_event_id", "late", "late", "ok", "validation_error"],
+    3: ["late", "late", "late", "ok"],
+}
+
+
+def outcomes(routed):
+    found = {}
+    for r in routed.rows().collect():
+        found.setdefault(r.batch, []).append(r.reason)
+    return {n: sorted(reasons) for n, reasons in found.items()}
+
+
+@pytest.mark.parametrize("snapshot", [32, 2])
+def test_every_row_of_a_stream_has_one_outcome(spark, tmp_path, arriving, rows, monkeypatch, snapshot):
+    monkeypatch.setattr(routing, "SNAPSHOT", snapshot)
+    routed = routing.RoutedStream(spark, str(tmp_path / "routed"), 7)
+    with pytest.raises(ValueError):
+        routed.rows()
+    assert routed.claim() is None and routed.backfill_days().count() == 0
+    for number, given in enumerate(BATCHES):
+        # A repeated micro-batch changes nothing.
+        for _ in range(2):
+            routed.route(arriving(*given), number)
+    assert outcomes(routed) == OUTCOMES
+    assert routed.newest_before(1) == date(2026, 1, 3 - 1) and routed.newest_before(9) == date(2026, 1, 14)
+    assert rows(routed.backfill_days(), "event_date") == [
+        {"event_date": date(2026, 1, d), "late_rows": n} for d, n in ((1, 1), (4, 1), (5, 1), (6, 2))
+    ]
+
+
+@pytest.mark.parametrize("broken", ["_mark", "_open_ids"])
+def test_a_micro_batch_that_failed_is_routed_the_same(spark, tmp_path, arriving, monkeypatch, broken):
+    routed = routing.RoutedStream(spark, str(tmp_path / "routed"), 7)
+    for number, given in enumerate(BATCHES):
+        def lost(*_):
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(routing.RoutedStream, broken, lost)
+            with pytest.raises(OSError):
+                routed.route(arriving(*given), number)
+        routed.route(arriving(*given), number)
+    assert outcomes(routed) == OUTCOMES
+
+
+def test_late_rows_are_claimed_worked_off_and_ticked_off(spark, tables, tmp_path, arriving, rows, monkeypatch):
+    routed = routing.RoutedStream(spark, str(tmp_path / "routed"), 7)
+    for number, given in enumerate(BATCHES):
+        routing._store(tables, routed.route(arriving(*given), number), F.lit(datetime(2026, 1, 20)))
+    stored = lambda: sorted(int(r["event_id"][-12:], 16) for r in rows(tables.read("events_raw")))
+    assert stored() == [1, 2, 3, 4, 5, 7, 10]
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(routing, "refresh_days", lost)
+        with pytest.raises(OSError):
+            routing.backfill(tables, routed, datetime(2026, 1, 21))
+    # The same claim is worked off again, with what has arrived since left for the next.
+    routed.route(arriving((6, 11), (6, 8)), 4)
+    assert routing.backfill(tables, routed, datetime(2026, 1, 21)) == routing.Claim(0, 3)
+    assert stored() == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert rows(routed.backfill_days()) == [{"event_date": date(2026, 1, 6), "late_rows": 2}]
+    assert routing.backfill(tables, routed, datetime(2026, 1, 22)) == routing.Claim(4, 4)
+    assert stored() == [*range(1, 12)] and routing.backfill(tables, routed, datetime(2026, 1, 23)) is None
+    keep = ["metric_date", "metric_name", "value"]
+    batch = kpis.kpi_rows(kpis.daily_kpis(tables.read("events_raw")))
+    assert rows(batch.select(*keep), *keep) == rows(tables.read("metrics_daily").select(*keep), *keep)
+    # Two of the first batch and one each of the others, then the late repeats of 2, 7 and 8.
+    refused = rows(tables.read("events_quarantine"))
+    assert sorted(r["reason"] for r in refused) == ["duplicate_event_id"] * 7 + ["validation_error"] * 2
 
 
 def test_provisional_day_closes_with_the_watermark(spark, tmp_path, events, rows):

@@ -67,7 +67,13 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 def feed_columns(base: DataFrame) -> DataFrame:
     """Incoming events with repeats and invalid fields, by batch and position."""
-    return _with_repeats(base).selectExpr(
+    return feed_columns_of(_with_repeats(base)).drop("_id", "_copy")
+
+
+def feed_columns_of(rows: DataFrame) -> DataFrame:
+    """As ``feed_columns`` for rows with ``_id`` and ``_copy``, which stay."""
+    return rows.selectExpr(
+        "_id", "_copy",
         "_id div 100 AS batch_id",
         "_id % 100 + _copy * 100 AS seq",
         "event_id",
@@ -86,6 +92,16 @@ def ingest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_columns(_base(spark, sf_dir))
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest feed with ``slot``, the ten days it arrives in: some rows arrive nine days after their event."""
+    return _with_repeats(_base(spark, sf_dir)).transform(
+        lambda rows: feed_columns_of(rows).withColumn(
+            "slot",
+            F.expr("(date_diff(to_date(ts_event), DATE '2024-01-01') + if(_id % 13 = 0, 9, 0) + _copy) div 10").cast("int"),
+        ).drop("_id", "_copy")
+    )
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event."""
     return _base(spark, sf_dir).selectExpr(

@@ -4,30 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.operators import validation
 from tidewatch.plans import daily
 from tidewatch.sources.staging import file_system, stage
 from tidewatch.sources.tables import Tables
 
 
-def first_valid_events(rows: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Valid events of a stream, repeats within ``delay`` of event time dropped.
-
-    State is bounded by the watermark, so the guarantee is too: a repeat that
-    arrives later passes.  ``ingest_stream`` checks against all history.
-    """
-    checked = validation.check_events(rows)
-    return (
-        checked.where(F.size("errors") == 0)
-        .drop("errors")
-        .withWatermark("ts_event", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
-
-
 def _each_batch(
     stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
@@ -55,18 +39,3 @@ def ingest_stream(
         fs.delete(old, True)
 
     return _each_batch(bodies, work, checkpoint)
-
-
-def split_late(rows: DataFrame, newest_seen: DataFrame, delay_days: int) -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and the late ones: ``delay_days`` or more behind the newest day.
-
-    ``newest_seen`` is a one-row table with column ``newest`` (a date, null at first).
-    """
-    newest = newest_seen.select("newest").scalar()
-    late = F.coalesce(F.date_diff(newest, F.col("event_date")) >= delay_days, F.lit(False))
-    return rows.where(~late), rows.where(late)
-
-
-def backfill_days(late: DataFrame) -> DataFrame:
-    """Days to recompute, with the number of late rows that touch each."""
-    return late.groupBy("event_date").agg(F.count(F.lit(1)).alias("late_rows"))

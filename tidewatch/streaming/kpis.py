@@ -20,8 +20,12 @@ def recompute_touched_days(tables: Tables, batch: DataFrame, as_of: datetime | C
     """
     rows = stage(batch, "events")
     tables.append_new("events_raw", rows)
+    refresh_days(tables, rows, as_of if isinstance(as_of, Column) else F.lit(as_of))
+
+
+def refresh_days(tables: Tables, rows: DataFrame, moment: Column) -> None:
+    """Recompute the KPIs of the days that stored ``rows`` touch."""
     events = tables.read_touched("events_raw", rows)
-    moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
     tables.upsert(
         "metrics_daily", kpis.kpi_rows(kpis.daily_kpis(events)).withColumn("computed_at", moment)
     )
