@@ -390,6 +390,12 @@ _ANOMALY_TABLE = (
 _NEWEST = "ORDER BY ts DESC, alert_id"
 _BOUNDS = "0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0"
 
+# Alerts of a run that knows the KPIs of the window alone.
+_RUN = f"""(SELECT *, {_id("metric_name", "'{}'", "metric_date", "method", "rule_version")} AS alert_id
+  FROM ({_scored(_suite("0.3", "3", "7", "3", "3", "3", "7", "14", "3", "2.0", "'v1'", "(" + _features(
+      source=f"(SELECT * FROM metrics WHERE metric_date BETWEEN {_WINDOW})") + ")"))})
+  WHERE metric_name IN ('tx_fail_rate', 'latency_p95_ms', 'tx_completed', 'dau'))"""
+
 _BODIES: dict[str, str] = {
     "kpi_daily_long": f"SELECT metric_date, metric_name, {_r('value')}, '{{}}' AS dimensions FROM metrics",
     "kpi_dau": "SELECT event_date, count(DISTINCT user_id)::DOUBLE AS dau FROM ev GROUP BY 1",
@@ -460,6 +466,9 @@ SELECT report_date, future_events, {_r('confidence')}, pass FROM ({_card(
     "(SELECT count(*) FROM ev WHERE event_date = t.report_date AND ts_event > TIMESTAMP '2024-01-30 12:05:00')")})""",
     "dq_latest": f"""
 SELECT report_date::VARCHAR AS report_date, pass, {_r('confidence')} FROM reports ORDER BY reports.report_date DESC LIMIT 1""",
+    "dq_latest_empty": """
+SELECT '1970-01-01' AS report_date, FALSE AS pass, '{"note":"no reports yet"}' AS summary
+WHERE NOT EXISTS (SELECT 1 FROM reports WHERE report_date > DATE '2024-02-01')""",
     "dq_asof": f"SELECT day, report_date, passes, {_r('confidence')} FROM in_force",
     "dq_summary_text": """
 SELECT line, 3::BIGINT AS n_cards, 'pass=' || verdict AS card2 FROM (
@@ -538,6 +547,25 @@ SELECT metric_name, metric_date, method, severity, rule_version, {_r('risk_score
     "0.25", "n", "w", "3", "3", "3", "7", "14", "3", "v", "rule_version",
     "(" + _features(w="w", lam="0.25",
                     source="(SELECT m.*, r.*, r.v % 5 + 5 AS w FROM metrics m, rule r)") + ")"))})""",
+    "detect_rules_in_force": f"""
+SELECT metric_name, metric_date, method, severity, rule_version, {_r('risk_score')} FROM ({_scored(_suite(
+    "0.25", "n", "w", "3", "3", "3", "7", "14", "3", "v", "rule_version",
+    "(" + _features(w="w", lam="0.25",
+                    source="(SELECT m.*, r.*, r.v % 5 + 5 AS w FROM metrics m JOIN rules r ON r.event_date = m.metric_date)")
+    + ")"))})""",
+    "detect_odd_rules": f"""
+SELECT metric_name, metric_date, method, severity, rule_version, {_r('risk_score')} FROM ({_scored(_suite(
+    "0.3", "2.5", "7", "3", "3", "1.5", "7", "14", "3", "2.0", "rule_version",
+    "(SELECT f.*, r.rule_version FROM feats f, rule r)"))}) WHERE method NOT IN ('change_point', 'regime_shift')""",
+    "alerts_rejudged": f"""
+SELECT alert_id, metric_name, metric_date, method, severity, {_r('risk_score')} FROM alerts""",
+    "run_days_outcome": f"""
+SELECT 'dq_reports' AS what, event_date AS day, 1::BIGINT AS n FROM (SELECT DISTINCT event_date FROM ev) WHERE event_date BETWEEN {_WINDOW}
+UNION ALL SELECT 'metrics_daily', metric_date, count(*) FROM metrics WHERE metric_date BETWEEN {_WINDOW} GROUP BY 2
+UNION ALL SELECT 'alerts', metric_date, count(*) FROM {_RUN} GROUP BY 2
+UNION ALL SELECT 'due', metric_date, count(*) FROM (SELECT *, row_number() OVER (ORDER BY ts, alert_id) AS position
+  FROM (SELECT a.*, TIMESTAMP '2024-02-01' AS ts FROM {_RUN} a)), (VALUES (1), (2)) t(target)
+  WHERE position <= 50 GROUP BY 2""",
     "alert_messages": "SELECT alert_id, message FROM alerts",
     "alerts_recent": f"""
 SELECT alert_id, ts::VARCHAR AS ts, metric_name, metric_date::VARCHAR AS metric_date, severity, {_r('risk_score')}, status

@@ -7,6 +7,7 @@ results compare with SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,7 +16,7 @@ from tidewatch import schemas as S
 from tidewatch.functions.text import address_list, currency
 from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import bias, drift, kpis, notify, quality, requests, validation
-from tidewatch.operators.detectors import detect
+from tidewatch.operators.detectors import detect, detect_in_force
 from tidewatch.operators.merge import merge
 from tidewatch.operators.percentiles import daily_percentiles
 from tidewatch.operators.series import series_features
@@ -211,6 +212,13 @@ def _(spark, sf_dir):
     return latest.select("report_date", "pass", confidence.alias("confidence"))
 
 
+@query("dq_latest_empty")
+def _(spark, sf_dir):
+    """The stand-in for the newest report where none lies in the future of the run."""
+    later = D.reports(spark, sf_dir).where(F.col("report_date") > F.lit(D.AS_OF.date()))
+    return reads.latest_report(later)
+
+
 @query("dq_asof")
 def _(spark, sf_dir):
     return overview.report_in_force(D.odd_reports(spark, sf_dir), D.days(spark, sf_dir))
@@ -417,6 +425,28 @@ def _(spark, sf_dir):
     )
 
 
+@query("detect_rules_in_force")
+def _(spark, sf_dir):
+    """Each day under the rule row that held on it: window lengths and limits differ from day to day."""
+    return detect_in_force(D.metrics(spark, sf_dir), D.rules(spark, sf_dir), names=None).select(
+        "metric_name", "metric_date", "context.method", "severity", "rule_version", "risk_score"
+    )
+
+
+@query("detect_odd_rules")
+def _(spark, sf_dir):
+    """Settings that are huge, no number, zero or text: each takes its default or silences its detector alone."""
+    odd = (
+        '{"change_point_window":1e12,"seasonal_min_points":"NaN","regime_recent_days":0,"regime_baseline_days":3000000000,'
+        '"ewma_lambda":"high","ewma_limit":2.5,"seasonal_z":"1.5","regime_var_ratio":0}'
+    )
+    stored = D.rules(spark, sf_dir).withColumn("config", F.lit(odd))
+    loaded = rules.load_rules(stored)
+    return detect(D.metrics(spark, sf_dir), loaded, names=None).select(
+        "metric_name", "metric_date", "context.method", "severity", "rule_version", "risk_score"
+    )
+
+
 # --- alerts and notifications ----------------------------------------------
 
 @query("alert_messages")
@@ -451,6 +481,42 @@ def _(spark, sf_dir):
     return alert_ops.unseen(raised, stored).select("alert_id", "metric_name", "metric_date")
 
 
+@query("alerts_rejudged")
+def _(spark, sf_dir):
+    """Alerts raised on wrong values of the window, after the right values came in: those that are not retracted."""
+    tables, right = Tables(spark, fresh_path(spark, "rejudged-tables")), D.metrics(spark, sf_dir)
+    right = stage(right.withColumn("computed_at", F.lit(D.AS_OF)).select(*S.METRICS_DAILY.names), "right-metrics")
+    in_window = F.col("metric_date").between(*map(F.lit, D.WINDOW))
+    wrong = F.when(in_window, F.col("value") * (1 + F.dayofmonth("metric_date") % 3)).otherwise(F.col("value"))
+    tables.append("metrics_daily", right.withColumn("value", wrong))
+    raised = D.alerts_of(tables.read("metrics_daily"))
+    tables.append("alerts", raised)
+    before = stage(tables.read("metrics_daily"), "wrong-metrics")
+    tables.upsert("metrics_daily", right.where(in_window))
+    changed = stage(daily.changed_metrics(before, tables.read("metrics_daily")), "changed")
+    daily.rejudge(tables, changed, D.AS_OF, names=None)
+    standing = daily.current_alerts(tables).where(~F.col("resolved_by").eqNullSafe(F.lit(daily.RETRACTION)))
+    return standing.select("alert_id", "metric_name", "metric_date", "context.method", "severity", "risk_score")
+
+
+@query("run_days_outcome")
+def _(spark, sf_dir):
+    """The whole daily run over the window: what each stored table holds afterwards."""
+    tables = Tables(spark, fresh_path(spark, "run-tables"))
+    tables.append("events_raw", sample.events_raw(spark, sf_dir))
+    due = daily.run_days(tables, D.AS_OF, *D.WINDOW, webhooks=D.WEBHOOKS)
+    counts = [
+        (name, tables.read(name).groupBy(F.col(day).alias("day")))
+        for name, day in (("dq_reports", "report_date"), ("metrics_daily", "metric_date"), ("alerts", "metric_date"))
+    ]
+    found = [by_day.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "day", "n") for name, by_day in counts]
+    alert_days = tables.read("alerts").select("alert_id", F.col("metric_date").alias("day"))
+    found.append(due.join(alert_days, "alert_id").groupBy("day").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("due").alias("what"), "day", "n"
+    ))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("alerts_audit")
 def _(spark, sf_dir):
     raised = D.alerts(spark, sf_dir)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import schemas as S
+from tidewatch.operators.calendar import fan_out
 from tidewatch.operators.keys import surrogate_id
 
 
@@ -37,8 +41,39 @@ def to_alerts(detections: DataFrame, ts: Column) -> DataFrame:
 
 
 def unseen(alerts: DataFrame, existing: DataFrame) -> DataFrame:
-    """Alerts whose id is not stored yet, so that a rerun adds nothing."""
-    return alerts.join(existing.select("alert_id"), "alert_id", "left_anti").select(alerts.columns)
+    """Alerts that are not stored yet, so that a rerun adds nothing.
+
+    Id, metric, day, method and rule version must all agree.
+    """
+    natural = {c: F.col(c) for c in ("alert_id", "metric_name", "metric_date", "rule_version")}
+    natural["method"] = F.col("context")["method"]
+    keyed = alerts.withColumns({f"_{name}": value for name, value in natural.items()})
+    stored = existing.select(*[value.alias(f"_stored_{name}") for name, value in natural.items()])
+    same = [F.col(f"_{name}").eqNullSafe(F.col(f"_stored_{name}")) for name in natural]
+    return keyed.join(stored, reduce(and_, same), "left_anti").select(alerts.columns)
+
+
+def reached_days(changed: DataFrame) -> DataFrame:
+    """The series and days whose frames contain a changed one: the day itself and the lookback after it.
+
+    Positional frames decide nothing beyond the lookback, so it bounds them all.
+    """
+    return changed.select(
+        "metric_name", "dimensions", fan_out("metric_date", "metric_date", 0, S.LOOKBACK_DAYS)
+    ).distinct()
+
+
+def corrections(judged: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a second judgement changes: alerts that are new or say something else, and those that fire no more.
+
+    Both are alerts of the same series and days.
+    """
+    told = ["severity", "risk_score", "message"]
+    before = stored.select("alert_id", F.struct(*told).alias("_told"))
+    fresh = judged.join(before, "alert_id", "left").where(
+        F.col("_told").isNull() | ~F.struct(*told).eqNullSafe(F.col("_told"))
+    )
+    return fresh.select(judged.columns), stored.join(judged.select("alert_id"), "alert_id", "left_anti")
 
 
 def fold_actions(actions: DataFrame) -> DataFrame:

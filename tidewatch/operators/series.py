@@ -6,6 +6,8 @@ calendar day, so window partitions are bounded by the calendar.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schemas as S
@@ -21,6 +23,8 @@ SELECT metric_name, dimensions, metric_date, value AS observed,
   stddev_samp(value) OVER baseline AS baseline_std,
   -- at most seven values, oldest first
   transform(array_sort(collect_list(struct(day, value)) OVER baseline), p -> p.value) AS baseline_values,
+  -- at most thirty-one values, oldest first
+  transform(array_sort(collect_list(struct(day, value)) OVER lookback), p -> p.value) AS lookback_values,
   max(value) OVER yesterday AS previous_value,
   avg(value) OVER cp_recent AS cp_recent_mean,
   avg(value) OVER cp_previous AS cp_previous_mean,
@@ -64,18 +68,58 @@ def series_features(
 ) -> DataFrame:
     """Every row of ``metrics`` with its rolling statistics."""
     rows = metrics if names is None else metrics.where(F.col("metric_name").isin(*names))
+    # Frames need a row at least, and one longer than the lookback decides nothing; a
+    # detector with a window below two or beyond the lookback does not fire.
+    def rows_of(window: int) -> int:
+        return max(1, min(S.LOOKBACK_DAYS + 2, window))
+
     frames = {
         "lookback": S.LOOKBACK_DAYS,
         "baseline": S.BASELINE_DAYS,
-        # Frames need a row at least; a detector with a window below two does not fire.
-        "w": max(1, rules.change_point_window),
-        "recent": max(1, rules.regime_recent_days),
-        "prior": max(1, rules.regime_baseline_days),
+        "w": rows_of(rules.change_point_window),
+        "recent": rows_of(rules.regime_recent_days),
+        "prior": rows_of(rules.regime_baseline_days),
     }
     features = metrics.sparkSession.sql(_FEATURES % frames, rows=rows)
     return features.withColumn("persistence", F.expr(_PERSISTENCE))
 
 
+def _last(skip: str, n: str) -> str:
+    """SQL: the ``n`` values of the lookback before the last ``skip``; null if there are not so many."""
+    return (
+        f"if(size(lookback_values) >= {skip} + {n},"
+        f" slice(lookback_values, size(lookback_values) - ({skip}) - {n} + 1, {n}), null)"
+    )
+
+
+def _mean(values: str) -> str:
+    return f"(aggregate({values}, 0D, (a, v) -> a + v) / size({values}))"
+
+
+def _variance(values: str) -> str:
+    mean = _mean(values)
+    return f"(aggregate({values}, 0D, (a, v) -> a + (v - {mean}) * (v - {mean})) / nullif(size({values}) - 1, 0))"
+
+
+def with_rule_frames(features: DataFrame, rules: Mapping[str, str]) -> DataFrame:
+    """Features whose positional frames have the lengths of their own row's rule.
+
+    ``rules`` is SQL for each setting.  Frames that reach beyond the lookback are null.
+    """
+    w, recent, prior = (
+        f"greatest(1, {rules[name]})" for name in ("change_point_window", "regime_recent_days", "regime_baseline_days")
+    )
+    frames = {
+        "cp_recent": _last("0", w), "cp_previous": _last(w, w),
+        "regime_recent": _last("0", recent), "regime_prior": _last(recent, prior),
+    }
+    framed = features.withColumns({f"_{name}": F.expr(values) for name, values in frames.items()})
+    found = framed.withColumns({
+        f"{name}_{what}": F.expr(of(f"_{name}")) for name in frames for what, of in (("mean", _mean), ("var", _variance))
+    })
+    return found.drop(*[f"_{name}" for name in frames])
+
+
 def ready(features: DataFrame) -> DataFrame:
     """Rows with enough history to be judged."""
     return features.where(

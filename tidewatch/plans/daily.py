@@ -18,6 +18,10 @@ from tidewatch.sources.staging import is_complete, stage
 from tidewatch.sources.tables import Tables
 
 
+# Who resolves an alert that fires no more.
+RETRACTION = "system:rejudge"
+
+
 def yesterday(as_of: datetime) -> date:
     return as_of.date() - timedelta(days=1)
 
@@ -103,6 +107,57 @@ def store_alerts(
     tables.append("alerts", stage(raised, "alerts"))
 
 
+def changed_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Series and days whose value differs between two states of the KPIs, or that only one has."""
+    keys = ["metric_name", "dimensions", "metric_date"]
+    both = old.select(*keys, F.col("value").alias("_old")).join(new.select(*keys, F.col("value").alias("_new")), keys, "full")
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(*keys)
+
+
+def rejudge(tables: Tables, changed: DataFrame, as_of: datetime, names: tuple[str, ...] | None = S.WATCHED_METRICS) -> None:
+    """Judge again the days that changed series values reach, and only those.
+
+    ``changed`` has ``metric_name``, ``dimensions`` and ``metric_date``.  New and
+    altered alerts are stored; one that fires no more is resolved by an action of
+    ``RETRACTION``.
+    """
+    reached = stage(alert_ops.reached_days(changed), "reached")
+    span = reached.agg(F.min("metric_date"), F.max("metric_date")).first()
+    if span[0] is None:
+        return
+    day = F.col("metric_date")
+    history = tables.read("metrics_daily").where(
+        day.between(F.lit(span[0] - timedelta(days=S.LOOKBACK_DAYS)), F.lit(span[1]))
+    )
+    series = history.join(reached.select("metric_name", "dimensions").distinct(), ["metric_name", "dimensions"], "left_semi")
+    found = detectors.detect(series, rules_of(tables), names)
+    found = found.join(reached, ["metric_name", "dimensions", "metric_date"], "left_semi")
+    moment = F.lit(as_of).cast("timestamp")
+    judged = stage(alert_ops.to_alerts(found, moment), "judged-alerts")
+    stored = current_alerts(tables).where(day.between(F.lit(span[0]), F.lit(span[1])))
+    # An alert's id names its series: the ids its reached days can have are told by metric and day.
+    stored = stored.join(reached.select("metric_name", "metric_date").distinct(), ["metric_name", "metric_date"], "left_semi")
+    stored = stage(stored.select(*S.ALERTS.names), "stored-alerts")
+    fresh, gone = alert_ops.corrections(judged, stored)
+    fresh, gone = stage(fresh, "fresh-alerts"), stage(gone.where("status <> 'RESOLVED'"), "gone-alerts")
+    if not fresh.isEmpty():
+        tables.upsert("alerts", fresh)
+    if not gone.isEmpty():
+        tables.append("alert_actions", gone.select(
+            "alert_id", F.lit("RESOLVED").alias("kind"), F.lit(RETRACTION).alias("actor"), moment.alias("action_ts"),
+            F.lit(0).cast(S.ALERT_ACTIONS["seq"].dataType).alias("seq"),
+        ))
+
+
+def correct_kpis(tables: Tables, start: date, end: date, as_of: datetime) -> None:
+    """Recompute the KPIs of a closed range, and judge again what the changes reach."""
+    day = F.col("metric_date")
+    before = stage(tables.read("metrics_daily").where(day.between(F.lit(start), F.lit(end))), "metrics-before")
+    store_kpis(tables, start, end, as_of)
+    after = tables.read("metrics_daily").where(day.between(F.lit(start), F.lit(end)))
+    rejudge(tables, stage(changed_metrics(before, after), "changed-metrics"), as_of)
+
+
 def current_alerts(tables: Tables) -> DataFrame:
     """Stored alerts as the action log leaves them."""
     return alert_ops.apply_actions(tables.read("alerts"), tables.read("alert_actions"))

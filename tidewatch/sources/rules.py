@@ -1,10 +1,14 @@
-"""Rule settings of the anomaly suite: latest stored row over the defaults."""
+"""Rule settings of the anomaly suite: stored rows over the defaults.
+
+``load_rules`` gives the latest row, ``rules_in_force`` the row that held on each
+day.  Detectors take the settings as SQL, literals or columns.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import schemas as S
 
@@ -29,6 +33,26 @@ class RuleConfig:
 
 
 _NUMBERS = [f for f in fields(RuleConfig) if f.name != "rule_version"]
+# A frame longer than the lookback never fires, so whole numbers are taken as this at most.
+_LONGEST = S.LOOKBACK_DAYS + 2
+
+
+def _whole(f) -> bool:
+    return isinstance(getattr(RuleConfig(), f.name), int)
+
+
+def as_literals(rules: RuleConfig) -> dict[str, str]:
+    """Each setting as SQL text."""
+    found = {"rule_version": "'" + rules.rule_version.replace("\\", "\\\\").replace("'", "\\'") + "'"}
+    for f in _NUMBERS:
+        value = getattr(rules, f.name)
+        found[f.name] = f"{max(-1, min(_LONGEST, value))}" if _whole(f) else f"double('{value!r}')"
+    return found
+
+
+def as_columns(struct: str) -> dict[str, str]:
+    """Each setting as a field of the column ``struct``."""
+    return {f.name: f"{struct}.{f.name}" for f in fields(RuleConfig)}
 
 
 def seed_rules(spark: SparkSession) -> DataFrame:
@@ -48,22 +72,45 @@ def seed_if_absent(rules: DataFrame, seed: DataFrame) -> DataFrame:
     return rules.unionByName(seed.join(rules, "rule_name", "left_anti"))
 
 
+def _settings(version: Column, config: Column) -> list[Column]:
+    """All settings of a stored row; what is absent or cannot be converted takes its default.
+
+    Whole numbers beyond any frame are cut to one that cannot fire.
+    """
+    defaults = RuleConfig()
+    columns = [F.coalesce(version, F.lit(defaults.rule_version)).alias("rule_version")]
+    for f in _NUMBERS:
+        stored = F.get_json_object(config, f"$.{f.name}").try_cast("double")
+        if _whole(f):
+            finite = F.abs(stored) < float("inf")
+            stored = F.when(finite, F.greatest(F.lit(-1.0), F.least(F.lit(float(_LONGEST)), stored)))
+        default = F.lit(float(getattr(defaults, f.name)))
+        columns.append(F.coalesce(stored, default).cast("int" if _whole(f) else "double").alias(f.name))
+    return columns
+
+
 def effective_rules(rules: DataFrame) -> DataFrame:
     """One row: the latest settings, defaults filled in; all defaults without a row."""
-    defaults = RuleConfig()
     latest = rules.where(F.col("rule_name") == RULE_NAME).agg(
         F.max_by(F.struct("rule_version", "config"), "updated_at").alias("row")
     )
-    config = F.col("row")["config"]
-    columns = [
-        F.coalesce(F.col("row")["rule_version"], F.lit(defaults.rule_version)).alias("rule_version")
-    ]
-    for f in _NUMBERS:
-        stored = F.get_json_object(config, f"$.{f.name}").try_cast("double")
-        default = F.lit(float(getattr(defaults, f.name)))
-        kind = "int" if isinstance(getattr(defaults, f.name), int) else "double"
-        columns.append(F.coalesce(stored, default).cast(kind).alias(f.name))
-    return latest.select(*columns)
+    return latest.select(*_settings(F.col("row")["rule_version"], F.col("row")["config"]))
+
+
+def rules_in_force(rules: DataFrame, days: DataFrame) -> DataFrame:
+    """For each of ``days`` (column ``day``) the settings of the last row updated up to its end, as ``rule``.
+
+    Days before the first row have the defaults.  Runs over one row per
+    calendar day, hence the single ordered window.
+    """
+    by_day = rules.where(F.col("rule_name") == RULE_NAME).groupBy(F.to_date("updated_at").alias("day")).agg(
+        F.max_by(F.struct("rule_version", "config"), "updated_at").alias("_row")
+    )
+    so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    timeline = days.select("day").distinct().withColumn("_asked", F.lit(True)).join(by_day, "day", "full")
+    row = F.last("_row", ignorenulls=True).over(so_far)
+    asked = timeline.withColumn("_row", row).where("_asked")
+    return asked.select("day", F.struct(*_settings(F.col("_row")["rule_version"], F.col("_row")["config"])).alias("rule"))
 
 
 def load_rules(rules: DataFrame) -> RuleConfig:
