@@ -495,7 +495,7 @@ def _(spark, sf_dir):
     tables.upsert("metrics_daily", right.where(in_window))
     changed = stage(daily.changed_metrics(before, tables.read("metrics_daily")), "changed")
     daily.rejudge(tables, changed, D.AS_OF, names=None)
-    standing = daily.current_alerts(tables).where(~F.col("resolved_by").eqNullSafe(F.lit(daily.RETRACTION)))
+    standing = daily.current_alerts(tables).where(F.col("status") != alert_ops.RETRACTED)
     return standing.select("alert_id", "metric_name", "metric_date", "context.method", "severity", "risk_score")
 
 

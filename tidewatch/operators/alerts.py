@@ -12,6 +12,10 @@ from tidewatch.operators.calendar import fan_out
 from tidewatch.operators.keys import surrogate_id
 
 
+# Status of an alert that a later judgement took back.
+RETRACTED = "RETRACTED"
+
+
 def to_alerts(detections: DataFrame, ts: Column) -> DataFrame:
     """Open alerts raised at ``ts``; the id repeats when a day is judged again."""
     key = surrogate_id(
@@ -64,16 +68,21 @@ def reached_days(changed: DataFrame) -> DataFrame:
 
 
 def corrections(judged: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a second judgement changes: alerts that are new or say something else, and those that fire no more.
+    """What a second judgement changes: alerts that are new or say something else, and the actions it takes.
 
-    Both are alerts of the same series and days.
+    Alerts that fire no more are retracted, retracted ones that fire again
+    reinstated.  Both arguments are alerts of the same series and days.
     """
     told = ["severity", "risk_score", "message"]
     before = stored.select("alert_id", F.struct(*told).alias("_told"))
     fresh = judged.join(before, "alert_id", "left").where(
         F.col("_told").isNull() | ~F.struct(*told).eqNullSafe(F.col("_told"))
     )
-    return fresh.select(judged.columns), stored.join(judged.select("alert_id"), "alert_id", "left_anti")
+    fires = judged.select("alert_id", F.lit(True).alias("_fires"))
+    standing = F.col("status") != RETRACTED
+    kind = F.when(standing & F.col("_fires").isNull(), "RETRACT").when(~standing & F.col("_fires"), "REINSTATE")
+    taken = stored.join(fires, "alert_id", "left").select("alert_id", kind.alias("kind")).where("kind is not null")
+    return fresh.select(judged.columns), taken
 
 
 def fold_actions(actions: DataFrame) -> DataFrame:
@@ -113,6 +122,19 @@ def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     ])
 
 
+def apply_retractions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Alerts with status ``RETRACTED`` where the last judgement took them back.
+
+    ``RETRACT`` and ``REINSTATE`` are actions of a job, apart from what operators did.
+    """
+    judged = actions.where(F.col("kind").isin("RETRACT", "REINSTATE")).groupBy("alert_id").agg(
+        F.max_by("kind", F.struct("action_ts", "seq")).alias("_judged")
+    )
+    joined = alerts.join(judged.where("_judged = 'RETRACT'"), "alert_id", "left")
+    status = F.when(F.col("_judged").isNotNull(), RETRACTED).otherwise(F.col("status"))
+    return joined.withColumn("status", status).select(alerts.columns)
+
+
 def unknown_actions(actions: DataFrame, alerts: DataFrame) -> DataFrame:
     """Actions on alerts that do not exist."""
     return actions.join(alerts.select("alert_id"), "alert_id", "left_anti").select(actions.columns)

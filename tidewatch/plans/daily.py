@@ -18,8 +18,8 @@ from tidewatch.sources.staging import is_complete, stage
 from tidewatch.sources.tables import Tables
 
 
-# Who resolves an alert that fires no more.
-RETRACTION = "system:rejudge"
+# Who retracts an alert that fires no more.
+JUDGE = "system:rejudge"
 
 
 def yesterday(as_of: datetime) -> date:
@@ -118,8 +118,8 @@ def rejudge(tables: Tables, changed: DataFrame, as_of: datetime, names: tuple[st
     """Judge again the days that changed series values reach, and only those.
 
     ``changed`` has ``metric_name``, ``dimensions`` and ``metric_date``.  New and
-    altered alerts are stored; one that fires no more is resolved by an action of
-    ``RETRACTION``.
+    altered alerts are stored; one that fires no more is retracted, and reinstated
+    if it fires again, by actions of ``JUDGE``.
     """
     reached = stage(alert_ops.reached_days(changed), "reached")
     span = reached.agg(F.min("metric_date"), F.max("metric_date")).first()
@@ -138,13 +138,13 @@ def rejudge(tables: Tables, changed: DataFrame, as_of: datetime, names: tuple[st
     # An alert's id names its series: the ids its reached days can have are told by metric and day.
     stored = stored.join(reached.select("metric_name", "metric_date").distinct(), ["metric_name", "metric_date"], "left_semi")
     stored = stage(stored.select(*S.ALERTS.names), "stored-alerts")
-    fresh, gone = alert_ops.corrections(judged, stored)
-    fresh, gone = stage(fresh, "fresh-alerts"), stage(gone.where("status <> 'RESOLVED'"), "gone-alerts")
+    fresh, taken = alert_ops.corrections(judged, stored)
+    fresh, taken = stage(fresh, "fresh-alerts"), stage(taken, "retractions")
     if not fresh.isEmpty():
         tables.upsert("alerts", fresh)
-    if not gone.isEmpty():
-        tables.append("alert_actions", gone.select(
-            "alert_id", F.lit("RESOLVED").alias("kind"), F.lit(RETRACTION).alias("actor"), moment.alias("action_ts"),
+    if not taken.isEmpty():
+        tables.append("alert_actions", taken.select(
+            "alert_id", "kind", F.lit(JUDGE).alias("actor"), moment.alias("action_ts"),
             F.lit(0).cast(S.ALERT_ACTIONS["seq"].dataType).alias("seq"),
         ))
 
@@ -160,7 +160,8 @@ def correct_kpis(tables: Tables, start: date, end: date, as_of: datetime) -> Non
 
 def current_alerts(tables: Tables) -> DataFrame:
     """Stored alerts as the action log leaves them."""
-    return alert_ops.apply_actions(tables.read("alerts"), tables.read("alert_actions"))
+    actions = tables.read("alert_actions")
+    return alert_ops.apply_retractions(alert_ops.apply_actions(tables.read("alerts"), actions), actions)
 
 
 def act(tables: Tables, actions: DataFrame) -> DataFrame:
