@@ -107,3 +107,22 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = ngram_join.components(spark.createDataFrame(edges, "lead long, node long")).collect()
     assert {(r.node, r.root) for r in got} == {(k, 0) for k in range(1, 31)} | {(100 + k, 100) for k in range(1, 40)}
+
+
+def test_unlike_texts_under_one_id_all_stay(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(words[:60]), " ".join(words[60:120]), " ".join(words[120:180])
+    rows = [
+        (1, a, "x"), (1, b, "x"), (2, f"{a} more", "x"), (3, f"{b} more", "x"), (None, c, "x"), (None, f"{c} more", "x"),
+        (1, None, "x"), (1, "", "x"), (1, "", "x"), (7, f"{c} other", "y"), (8, "alone here", "x"), (8, "alone here", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    # The named row of the third text goes before the nameless ones.
+    want = [(1, a), (1, b), (7, f"{c} other"), (1, None), (1, ""), (1, ""), (8, "alone here")]
+    if got.count((8, "alone here")) == 2:
+        want.append((8, "alone here"))
+    assert got == sorted(want, key=str)
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0

@@ -48,3 +48,25 @@ def test_stages_take_effect(spark, sf_dir):
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert got and all(r.length > 0 and r.doc_tokens >= r.start + r.length for r in got)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null and empty texts, null and repeated ids, repeated rows, clashing columns: no stage loses an unlike clean text."""
+    clean = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    keep = corpus_pipeline.quality_stage(spark, clean, sf_dir)
+    one, two = [r.text for r in corpus_pipeline.near_stage(spark, corpus_pipeline.exact_stage(spark, keep, sf_dir), sf_dir).limit(2).collect()]
+    rows = [(5, one), (5, two), (5, one), (None, two + " and one more"), (None, None), (6, None), (7, ""), (7, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k", True) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _key string, kept boolean")
+    passed = corpus_pipeline.quality_stage(spark, docs, sf_dir)
+    assert {r.text for r in passed.collect()} >= {one, two}
+    civil = corpus_pipeline.toxicity_stage(spark, passed, sf_dir)
+    first = corpus_pipeline.exact_stage(spark, civil, sf_dir)
+    kept = corpus_pipeline.near_stage(spark, first, sf_dir)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect())
+    assert got == sorted([(5, one), (5, two)])
+    for stage_ in (s for _, s in corpus_pipeline.STAGES):
+        assert stage_(spark, docs.limit(0), sf_dir).count() == 0
+    packed = corpus_pipeline.packing_stage(spark, docs, sf_dir)
+    assert packed.agg(F.sum("length")).first()[0] > 0

@@ -10,7 +10,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
+from tidewatch.llm.linear import Marks, fit_linear, fit_marks
 from tidewatch.llm import byte_bpe, exact_dedup, language, licenses, packing, quality, queries, sharding, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,15 +174,72 @@ def test_toxicity_without_labels(spark, odd):
     assert not any(r.toxic for r in toxicity.judge(odd, chain, ["doc_id"]).collect())
 
 
+def marks_of(x):
+    rows, columns = np.nonzero(x)
+    return Marks(rows, columns, x.shape[1], np.zeros((len(x), 0)))
+
+
 def test_chain_is_trained_on_out_of_fold_predictions():
     rng = np.random.default_rng(2)
     x = (rng.random((300, 3)) < 0.3).astype(np.float32)
     y = np.column_stack([x[:, 0] > 0, (x[:, 0] > 0) & (x[:, 1] > 0)])
-    weights, out = toxicity.fit_chain(x, y)
+    weights, out = toxicity.fit_chain(marks_of(x), y)
     assert [len(w) for w in weights] == [4, 5]
     assert ((out[:, 1] > 0.5) == y[:, 1]).mean() > 0.9
 
 
+def test_marks_are_fitted_as_a_dense_matrix():
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 7)) < 0.3).astype(np.float32)
+    more = rng.random((200, 2)).astype(np.float32)
+    y = x[:, 0] + more[:, 1] > 0.8
+    marks = marks_of(x).with_column(more[:, 0]).with_column(more[:, 1])
+    full = np.hstack([x, more])
+    assert np.allclose(fit_marks(marks, y), fit_linear(full, y, "logistic"), atol=0.05)
+    chosen = rng.random(200) < 0.5
+    w = rng.random(9)
+    assert np.allclose(marks.only(chosen).times(w), full[chosen] @ w, atol=1e-4)
+    assert np.allclose(marks.back(rng.random(200) * 0 + 1), full.sum(axis=0), atol=1e-3)
+
+
+def test_chain_of_a_large_vocabulary(spark):
+    """900 words tell toxic documents, each document has two or three: none of them is cut off."""
+    rng = random.Random(9)
+    plain, telling = [f"w{i}" for i in range(400)], [f"bad{i}" for i in range(900)]
+
+    def text(toxic):
+        found = rng.choices(plain, k=60) + (rng.sample(telling, rng.choice([2, 3])) if toxic else [])
+        return " ".join(rng.sample(found, len(found)))
+
+    made = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(18_000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, toxic int").repartition(8)
+    chain = toxicity.learn_chain(docs.select("doc_id", "text"), docs.where("doc_id < 14000").select("doc_id", "toxic"))
+    assert len(set(telling) & {w.decode() for w in chain.words}) > 800
+    judged = toxicity.judge(docs.where("doc_id >= 14000"), chain, ["doc_id"]).collect()
+    hits = [r.toxic for r in judged if r.doc_id % 4 == 0]
+    false = [r.toxic for r in judged if r.doc_id % 4]
+    assert sum(hits) >= 0.95 * len(hits) and sum(false) <= 0.01 * len(false)
+
+
+def test_judging_equals_the_chain_word_by_word(spark, odd, docs):
+    chain = queries.toxicity_chain(spark, "/root/testdata/sf0.01")
+    everything = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    got = Counter()
+    for r in toxicity.judge(everything, chain, ["doc_id"]).collect():
+        got[(r.doc_id, r.toxic, *(round(r[f"p_{c}"], 9) for c in chain.categories))] += 1
+    want = Counter()
+    for r in everything.collect():
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")
+        has = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered))
+        earlier = []
+        for w in chain.weights:
+            z = sum(w[i] for i, word in enumerate(chain.words) if word.decode() in has)
+            z += sum(p * v for p, v in zip(earlier, w[len(chain.words):])) + w[-1]
+            earlier.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        want[(r.doc_id, bool(earlier[-1] >= chain.threshold), *(round(float(p), 9) for p in earlier))] += 1
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def ranks():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -322,6 +381,36 @@ def test_licenses_that_differ_by_a_word(spark):
     assert [got[i].base_labels for i in range(len(texts))] == ["gpl"] * 9 + [""]
 
 
+def notice(words, at, inserted):
+    return " ".join([*words[:at], *(f"x{i}" for i in range(inserted)), *words[at:]])
+
+
+def test_passages_with_words_put_in(spark):
+    """Notices with up to eight more words at one place keep their label."""
+    names = {label: text for text, label in licenses.PASSAGES.items() if label in ("gpl", "lgpl", "agpl", "bsd", "isc")}
+    rows = []
+    for label, text in names.items():
+        words = text.split()
+        rows += [(label, inserted, notice(words, at, inserted)) for inserted in range(9) for at in range(2, len(words) - 1)]
+    table = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(table).collect()}
+    by_words = Counter((r[1], r[0] in got[i].split(",")) for i, r in enumerate(rows))
+    for inserted in range(9):
+        right, wrong = by_words[inserted, True], by_words[inserted, False]
+        assert right >= 0.95 * (right + wrong), (inserted, right, wrong)
+
+
+def test_notices_with_a_version_number(spark):
+    form = "GNU {}General Public License{} as published by the Free Software Foundation"
+    texts = [
+        form.format("Lesser ", " version 2.1"), form.format("", ", version 3, or any later version,"),
+        form.format("Affero ", " (version 3 of the License)"), form.format("Lesser ", "") + " word " + form.format("", " version 2"),
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(rows).collect()}
+    assert [got[i] for i in range(4)] == ["lgpl", "gpl", "agpl", "gpl,lgpl"]
+
+
 def test_language(spark, sf_dir, odd):
     got = queries.op9_language(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
@@ -400,3 +489,47 @@ def test_tokens_of_urls_are_counted_by_themselves(spark):
     unseen = {got[i].score for i in range(2 * len(seen), len(urls_of) - 1)}
     assert unseen == {0.5}
     assert got[len(urls_of) - 1].score < 0.1
+
+
+def test_a_host_of_a_million_letters(spark):
+    """Its substrings are not gathered: it takes seconds, and the words in it are found."""
+    import time
+
+    long_host = "redapple" * 60_000 + "qzx" * 173_333
+    pages = spark.createDataFrame(
+        [(1, f"http://{long_host}.org/a", ""), (2, "http://redapple.com/x", "<title>red apple</title>"),
+         (2, "http://redapple.com/x", "<title>red apple</title>"), (None, None, None)],
+        "page_id long, url string, html string",
+    )
+    begun = time.time()
+    got = urls.judge(pages).collect()
+    assert len(got) == 4 and time.time() - begun < 90
+    sieve = urls.Sieve.of(urls.lexicon(pages))
+    assert set(urls.substrings("redapple7redé", [3, 5], sieve)) >= {"red", "apple"}
+    assert all(w.encode() in sieve for w in ("red", "apple")) and "zzz".encode() not in sieve
+
+
+def test_packing_keeps_null_ids_repeats_and_checksums(spark, odd):
+    tokens = packing.word_tokenizer()
+    got = packing.pack_documents(odd.select("doc_id", "text"), tokens).withColumn("ids_crc32", exact_dedup.F.crc32("ids"))
+    pieces = {}
+    for r in got.collect():
+        assert r.ids_crc32 == zlib.crc32(bytes(r.ids)) and len(r.ids) == 4 * r.length
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in odd.collect():
+        want[(r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1)] += 1
+    assert set(pieces) == set(want)
+    for key, copies in want.items():
+        assert sum(length for _, length in pieces[key]) == copies * key[1]
+
+
+def test_sharding_query_columns(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in queries.op3_sharding(spark, sf_dir).collect()}
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        g = got[r.doc_id]
+        assert (g["size"], g.text_crc32, g.law, g.grown_shard) == (len(text) + 8, zlib.crc32(text), "rows", None)
+    sizes = Counter(g.shard for g in got.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) <= set(range(24))

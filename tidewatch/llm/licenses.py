@@ -42,11 +42,13 @@ PASSAGES = {
     "licensed under a creative commons attribution": "cc-by",
     "made available under the terms of the eclipse public license": "epl",
 }
-# Diagonals this far apart at most belong to one passage, and so much of a passage must be there.
-NEIGHBOURS = 2
+# Words that may be put in or left out at one place: diagonals this far apart at most belong to one
+# passage.  Both are tried, so that a stray hit beside a passage does not stretch it out of bounds.
+NEIGHBOURS = (2, 8)
+# So much of a passage must be there.
 COVERED = 0.75
 # A span is at most so many times as long as its template.
-LONGER = 1.5
+LONGER = 2.0
 # Grams sent to the join at once, and texts whose spans are verified at once.
 GRAM_ROWS = 200_000
 SPAN_TEXTS = 1024
@@ -224,13 +226,17 @@ def _verified(votes: DataFrame, templates: list[str], labels: list[str], phrases
         "id", "key", "template", "phrase", F.col("diagonal").alias("first_word"),
         (F.col("diagonal") + F.col("grams") + K - 2).alias("last_word"), "near",
     )
-    # Diagonals next to each other make one passage.
+    # Diagonals next to each other make one passage; two passages in a row lie a template apart.
     own = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(own)
-    group = F.sum(F.when(gap <= NEIGHBOURS, 0).otherwise(1)).over(own)
+    groups = [
+        F.sum(F.when(gap <= F.least(F.lit(most), F.col("grams")), 0).otherwise(1)).over(own).alias(f"run{most}")
+        for most in NEIGHBOURS
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(most).alias("most"), F.col(f"run{most}").alias("run")) for most in NEIGHBOURS]))
+    grouped = votes.where("not phrase").select("*", *groups).select("*", each.alias("_way"))
     merged = (
-        votes.where("not phrase").withColumn("run", group)
-        .groupBy("id", "key", "template", "run", "phrase", "grams")
+        grouped.groupBy("id", "key", "template", "_way", "phrase", "grams")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("there"),
             F.min(F.col("diagonal") + F.array_min("ats")).alias("first_word"),
@@ -241,7 +247,8 @@ def _verified(votes: DataFrame, templates: list[str], labels: list[str], phrases
     # Enough of it, and in a span about as long as the template.
     span = F.col("last_word") - F.col("first_word") + 1
     kept = merged.where((F.col("there") / F.col("grams") >= COVERED) & (span <= LONGER * (F.col("grams") + K - 1)))
-    spans = exact.select("id", "key", *span_columns).unionByName(kept.select("id", "key", *span_columns))
+    found = kept.select("id", "key", *span_columns).dropDuplicates(["id", "key", "template", "first_word", "last_word"])
+    spans = exact.select("id", "key", *span_columns).unionByName(found)
     return _outdone(spans.groupBy("id", "key").agg(F.collect_list(F.struct(*span_columns)).alias("spans")), templates, labels, phrases)
 
 

@@ -448,6 +448,19 @@ def near_duplicates(
     Shingles are compared by 64-bit hashes, sets by 128-bit ones.
     """
     given = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    profiles, rooted = _rooted(given, size, percent)
+    smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    of_class = rooted.join(smallest, "root").select("key", "component_id")
+    alone = profiles.where("key is null").select("id", "n", F.col("id").alias("component_id"))
+    linked = profiles.where("key is not null").select("id", "n", "key").join(of_class, "key").select("id", "n", "component_id")
+    return alone.unionByName(linked).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _rooted(given: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The staged profiles of all rows (id, text), and the classes of equal sets with the root of their component.
+
+    A profile without a key has no partner.
+    """
     numbered = _profiles(given, size, percent).withColumn("node", F.monotonically_increasing_id())
     profiles = stage(numbered, "shingle-profiles")
     # A class is known by one of its rows, whose shingles are read where they were staged.
@@ -458,21 +471,29 @@ def near_duplicates(
     classes = stage(classes, "shingle-classes")
     sets = profiles.where("key is not null").select("node", "shingles")
     roots = _link_classes(classes, sets, percent)
-    rooted = _with_roots(classes.select("key", "id", "node"), roots)
-    smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = rooted.join(smallest, "root").select("key", "component_id")
-    alone = profiles.where("key is null").select("id", "n", F.col("id").alias("component_id"))
-    linked = profiles.where("key is not null").select("id", "n", "key").join(of_class, "key").select("id", "n", "component_id")
-    return alone.unionByName(linked).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+    return profiles, _with_roots(classes.select("key", "id", "node"), roots)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, one per id, with all columns.
+def keep_one(
+    docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """One row of each component of linked rows, with all columns; rows without a link all stay.
 
-    Rows with a null id stay: nothing tells them apart.
+    The row with the smallest id stays (null ids last), of equal ids the one with
+    the smallest hash of its text; of rows that agree in both, one.  Unlike texts
+    stay, whatever ids they share; a null or empty text has no link and stays.
     """
-    joined = near_duplicates(docs, id_column=id_column, text_column=text_column, **settings)
-    first = joined.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_first")).distinct()
-    stays = docs.join(first, F.col(f"`{id_column}`") == F.col("_first")).drop("_first").dropDuplicates([id_column])
-    nameless = docs.where(F.col(f"`{id_column}`").isNull())
-    return stays.unionByName(nameless)
+    # A row is known by its id and text together: ids may be repeated.
+    kept_id, text = F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), kept_id.cast("string")), F.lit("")), F.lit("\n"), text))
+    own = F.struct(kept_id.isNull().alias("nameless"), kept_id.alias("id"), mark.alias("mark"))
+    given = docs.select(own.alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    profiles, rooted = _rooted(given, size, percent)
+    members = profiles.where("key is not null").select("id", "key").join(rooted.select("key", "root"), "key")
+    first = members.groupBy("root").agg(F.min("id").alias("first"))
+    first = first.select(F.col("first.mark").alias("_mark"), F.lit(True).alias("_linked"))
+    # Equal rows without a key each stay.
+    alone = profiles.where("key is null").select(F.col("id.mark").alias("_mark"), F.lit(False).alias("_linked")).distinct()
+    stays = docs.withColumn("_mark", mark).join(first.unionByName(alone), "_mark")
+    one = stays.where("_linked").dropDuplicates(["_mark"])
+    return one.unionByName(stays.where("not _linked")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,15 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from tidewatch.llm.batches import ALNUM_LOWER, encode, flat, owners, slices, words
-from tidewatch.llm.linear import fit_linear, margins, sigmoid
+from tidewatch.llm.linear import Marks, fit_marks, sigmoid
 from tidewatch.sources.staging import stage
 
-# Labelled rows the chain is fitted on, and words it looks for, at most.
+# Labelled rows the chain is fitted on, at most; they also bound the words it looks for.
 MAX_LABELLED = 20_000
-MAX_WORDS = 384
 # Documents a word must occur in to be looked for, and how far its toxic share must be above that of all.
 MIN_DOCUMENTS = 5
 MIN_TELLING = 3.0
@@ -38,39 +37,43 @@ class Chain:
     weights: tuple[np.ndarray, ...]
     threshold: float
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: Marks) -> np.ndarray:
         """One column per category, the verdict's last."""
-        found = np.zeros((len(x), 0))
         for w in self.weights:
-            found = np.hstack([found, sigmoid(margins(np.hstack([x, found]), w))[:, None]])
-        return found
+            x = x.with_column(sigmoid(x.times(w[:-1]) + w[-1]))
+        return x.dense
 
 
-def presence(data: np.ndarray, offsets: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
-    """Which of the known words each text has, as 0 and 1."""
-    x = np.zeros((len(offsets) - 1, len(known)), np.float32)
+def presence(data: np.ndarray, offsets: np.ndarray, known: dict[bytes, int]) -> tuple[Marks, np.ndarray, np.ndarray]:
+    """Which of the known words each text has; how often it has any of them; its words."""
+    texts = len(offsets) - 1
     bounds, found = words(data, offsets, ALNUM_LOWER)
+    nothing = np.zeros(0, np.int64)
+    row, column = nothing, nothing
     if len(found) and known:
         codes, distinct = encode(found)
-        column = np.array([known.get(w, -1) for w in distinct])[codes]
-        hit = np.flatnonzero(column >= 0)
-        x[np.searchsorted(bounds, hit, side="right") - 1, column[hit]] = 1.0
-    return x
+        numbers = np.array([known.get(w, -1) for w in distinct], np.int64)[codes]
+        hit = np.flatnonzero(numbers >= 0)
+        row, column = np.searchsorted(bounds, hit, side="right") - 1, numbers[hit]
+    once = np.unique(row * max(len(known), 1) + column)
+    marks = Marks(once // max(len(known), 1), once % max(len(known), 1), len(known), np.zeros((texts, 0)))
+    return marks, np.bincount(row, minlength=texts), np.diff(bounds)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_chain(x: Marks, y: np.ndarray, folds: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
     """Weights per column of ``y``, and the out-of-fold probabilities.  Row i is in fold i mod ``folds``."""
     fold = np.arange(len(x)) % folds
-    weights, earlier = [], np.zeros((len(x), 0))
+    weights = []
     for k in range(y.shape[1]):
-        inputs = np.hstack([x, earlier])
-        weights.append(fit_linear(inputs, y[:, k], "logistic"))
+        weights.append(fit_marks(x, y[:, k]))
         out = np.zeros(len(x))
         for f in range(folds):
             held = fold == f
-            out[held] = sigmoid(margins(inputs[held], fit_linear(inputs[~held], y[~held, k], "logistic")))
-        earlier = np.hstack([earlier, out[:, None]])
-    return weights, earlier
+            w = fit_marks(x.only(~held), y[~held, k])
+            out[held] = sigmoid(x.only(held).times(w[:-1]) + w[-1])
+        # Later categories are taught by these, as they will meet them in use.
+        x = x.with_column(out)
+    return weights, x.dense
 
 
 def best_threshold(p: np.ndarray, positive: np.ndarray) -> float:
@@ -90,12 +93,14 @@ def learn_chain(
 ) -> Chain:
     """A chain learned from at most ``most`` labelled documents, those with the smallest hashes.
 
-    The words looked for are those whose share among toxic documents is
-    furthest above that among others.  ``labels`` knows one category; graver
-    ones are made of it: ``insult`` (toxic, with one of the ten most telling
-    words at least) and ``severe`` (with three at least) lead to ``toxic``.
+    The words looked for are all whose share among toxic documents is telling,
+    that is far above their share among all.  ``labels`` knows one category; two
+    graver ones are made of how large a part of a toxic document such words are:
+    ``severe`` from the densest tenth of the toxic documents on, ``insult`` from
+    their median on.  The chain does not see that: its inputs are which words a
+    text has, not how often, nor how long it is.  They lead to ``toxic``.
     """
-    nothing = Chain((), ("insult", "severe", "toxic"), (np.array([-50.0]), np.array([0.0, -50.0]), np.array([0.0, 0.0, -50.0])), 0.5)
+    nothing = Chain((), ("severe", "insult", "toxic"), (np.array([-50.0]), np.array([0.0, -50.0]), np.array([0.0, 0.0, -50.0])), 0.5)
     chosen = (
         labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(id_column).alias("_id"))
@@ -136,28 +141,35 @@ def learn_chain(
         .select("word", telling.alias("telling"))
         .where(F.col("telling") >= MIN_TELLING)
         .orderBy(F.desc("telling"), "word")
-        .limit(MAX_WORDS)
+        # Words of the bounded sample.
         .collect()
     )
     known = {bytes(r["word"]): i for i, r in enumerate(top)}
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
-            x = np.packbits(presence(*flat(part.column(2)), known).astype(bool), axis=1)
+            x, often, size = presence(*flat(part.column(2)), known)
+            ends = np.searchsorted(x.rows, np.arange(part.num_rows + 1))
+            marks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.marks, pa.int64()))
+            dense = often / np.maximum(size, 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "_label", "bits"]
+                [part.column(0), part.column(1), marks, pa.array(dense)], names=["_id", "_label", "marks", "dense"]
             )
 
-    # At most ``most`` rows of a few bytes; repeated rows of a document count once.
-    schema = StructType([*sample.schema.fields[:2], StructField("bits", BinaryType())])
-    table = sample.mapInArrow(feature_rows, schema).dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    x = np.unpackbits(bits, axis=1)[:, : len(known)].astype(np.float32)
+    # At most ``most`` rows of a few numbers; repeated rows of a document count once.
+    schema = StructType([
+        *sample.schema.fields[:2], StructField("marks", ArrayType(LongType())), StructField("dense", DoubleType())
+    ])
+    table = sample.mapInArrow(feature_rows, schema).dropDuplicates(["_id"]).toArrow().sort_by("_id").combine_chunks()
     toxic = table.column("_label").to_numpy() > 0
     if not toxic.any() or toxic.all():
         return nothing
-    telling_words = x[:, :10].sum(axis=1)
-    y = np.column_stack([toxic & (telling_words >= 1), toxic & (telling_words >= 3), toxic])
+    marks = table.column("marks").to_pylist()
+    rows = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    x = Marks(rows, np.array([m for own in marks for m in own], np.int64), len(known), np.zeros((len(marks), 0)))
+    dense = table.column("dense").to_numpy()
+    severe, insult = np.quantile(dense[toxic], (0.9, 0.5))
+    y = np.column_stack([toxic & (dense >= severe), toxic & (dense >= insult), toxic])
     weights, out_of_fold = fit_chain(x, y)
     return Chain(tuple(known), nothing.categories, tuple(weights), best_threshold(out_of_fold[:, -1], toxic))
 
@@ -178,7 +190,7 @@ def judge(docs: DataFrame, chain: Chain, keep: list[str], text_column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            p = chain.probabilities(presence(*flat(part.column(0)), known))
+            p = chain.probabilities(presence(*flat(part.column(0)), known)[0])
             columns = [pa.array(np.ascontiguousarray(c)) for c in p.T]
             yield pa.RecordBatch.from_arrays(
                 [part.column(1), *columns, pa.array(p[:, -1] >= chain.threshold)], names=["_kept", *names, "toxic"]

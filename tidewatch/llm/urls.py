@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -110,10 +111,50 @@ def path_tokens(path: str) -> list[str]:
     return ["p:#" if run[0].isdigit() else "p:" + run for run in _RUNS.findall(path.lower())]
 
 
-def substrings(host: str, lengths: list[int]) -> set[str]:
-    """What of these lengths is in the runs of letters of a host."""
-    runs = [run for run in _RUNS.findall(host) if not run[0].isdigit()]
-    return {run[at : at + n] for run in runs for n in lengths for at in range(len(run) - n + 1)}
+def substrings(host: str, lengths: list[int], sieve: Sieve) -> Iterator[str]:
+    """What of these lengths is in the runs of letters of a host and may be a word, each once."""
+    seen = set()
+    for run in _RUNS.findall(host):
+        if run[0].isdigit():
+            continue
+        # Ends of the letters in the bytes of the run.
+        raw = run.encode()
+        ends = [at for at, byte in enumerate(raw) if byte & 0xC0 != 0x80] + [len(raw)]
+        for n in lengths:
+            for at in range(len(run) - n + 1):
+                piece = raw[ends[at]:ends[at + n]]
+                if piece not in seen and piece in sieve:
+                    # Only words and the few that the sieve lets through are held.
+                    seen.add(piece)
+                    yield piece.decode()
+
+
+class Sieve:
+    """A bit map of words by hash: lets all of them through, and few others.
+
+    Its size is fixed: with very many words it lets more through, which costs time only.
+    """
+
+    BITS = 1 << 23
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    def __contains__(self, word: bytes) -> bool:
+        place = xxhash.xxh64_intdigest(word, seed=42) % self.BITS
+        return bool(self.bits[place >> 3] >> (place & 7) & 1)
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Sieve:
+        place = F.pmod(F.xxhash64("word"), F.lit(cls.BITS))
+        # Parts of 4 KB, 256 of them at most.
+        bit = F.bitmap_construct_agg(F.bitmap_bit_position(place + 1))
+        parts = words.groupBy(F.bitmap_bucket_number(place + 1).alias("part")).agg(bit.alias("bits")).collect()
+        bits = bytearray(cls.BITS // 8)
+        for row in parts:
+            begin = (row["part"] - 1) * 4096
+            bits[begin:begin + 4096] = row["bits"]
+        return cls(bytes(bits))
 
 
 def exploded(rows: DataFrame, found_in: Callable[[object], Iterable], field: StructField) -> DataFrame:
@@ -148,16 +189,20 @@ def lexicon(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
 
 def tokens_of_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows (host, allow, block, token) of ``hosts`` (number, host, allow, block), split by the lexicon ``words``.
+    """Rows (number, allow, block, token) of ``hosts`` (number, host, allow, block), split by the lexicon ``words``.
 
     The substrings of each host meet the words in a join, so a host is split by
-    the counts of those that are in it, and no task holds the lexicon.
+    the counts of those that are in it, and no task holds the lexicon.  A sieve
+    keeps most substrings that are no words out of the join, so a host of a
+    million letters needs little more memory than its words.
     """
     known = words.agg(F.sum("n"), F.collect_set(F.length("word"))).first()
     total, lengths = known[0] or 0, sorted(known[1])
-    pieces = exploded(hosts.select("number", "host"), lambda host: substrings(host, lengths), StructField("word", StringType()))
+    sieve = Sieve.of(words)
+    pieces = exploded(hosts.select("number", "host"), lambda host: substrings(host, lengths, sieve), StructField("word", StringType()))
     found = pieces.join(words, "word").groupBy("number").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    named = hosts.join(found, "number", "left").select("host", "allow", "block", F.struct("host", "words").alias("name"))
+    # A host may be long and have many tokens: they carry its number.
+    named = hosts.join(found, "number", "left").select("number", "allow", "block", F.struct("host", "words").alias("name"))
 
     def tokens(name: dict) -> list[str]:
         return host_tokens(name["host"], Segmenter({w["word"]: w["n"] for w in name["words"] or ()}, total))
@@ -217,10 +262,10 @@ def judge(
     by_host = stage(tokens_of_hosts(hosts, stage(lexicon(pages, html_column), "lexicon")), "host-tokens")
     odds, prior = learn(hosts, by_host, parsed)
     by_row = exploded(parsed.select("row", "path"), path_tokens, TOKEN)
-    z = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("row_odds", F.lit(0.0))
+    z = F.lit(prior) + F.coalesce("number_odds", F.lit(0.0)) + F.coalesce("row_odds", F.lit(0.0))
     scored = (
         parsed.join(summed(by_row, odds, "row"), "row", "left")
-        .join(summed(by_host, odds, "host"), "host", "left")
+        .join(hosts.join(summed(by_host, odds, "number"), "number").select("host", "number_odds"), "host", "left")
         .withColumn("score", 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0)))))
     )
     by_model = F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
