@@ -196,3 +196,21 @@ def test_range_equals_single_days(spark, events, rows):
     for day in (DAY + timedelta(days=3), DAY + timedelta(days=9)):
         alone = rows(quality.scorecard(df, empty, datetime(2026, 2, 1), day, day))
         assert alone == [whole[day]]
+
+
+def test_a_scorecard_scans_the_events_four_times(spark, events):
+    """Day counts, facts, distinct ids and (in days to come only) future events."""
+    df = events([(f"e{n}", f"2026-01-{1 + n % 12:02d} 10:00:00", "system_latency", "web", "u", n) for n in range(120)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def passes(_):
+        seen.add(1)
+        return True
+
+    counted = df.where(F.udf(passes, "boolean").asNondeterministic()("event_date"))
+    card = quality.scorecard(counted, spark.createDataFrame([], S.EVENTS_QUARANTINE), datetime(2026, 1, 20))
+    assert card.count() == 12 and card.where("n_events = 10").count() == 12
+    del card
+    seen.value = 0
+    quality.scorecard(counted, spark.createDataFrame([], S.EVENTS_QUARANTINE), datetime(2026, 1, 20)).collect()
+    assert seen.value <= 4 * 120

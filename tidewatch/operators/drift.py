@@ -41,14 +41,18 @@ def _checks(checks: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(kind == of, F.lit(name)) for name, of in checks.items()])
 
 
-def _slots(events: DataFrame, checks: dict[str, str], slots: int | None) -> DataFrame:
-    """Counts per (check, day, value) with the number of the value range they fall in."""
-    counted = (
+def check_of(checks: dict[str, str]) -> Column:
+    """The check an event's value counts for, null for none."""
+    return F.when(F.col("value").isNotNull(), _checks(checks))
+
+
+def value_counts(events: DataFrame, checks: dict[str, str] = S.DRIFT_CHECKS) -> DataFrame:
+    """Counts per (check, day, value): ``name``, ``event_date``, ``value``, ``n``."""
+    return (
         events.where(F.col("event_type").isin(*checks.values()) & F.col("value").isNotNull())
-        .groupBy(_checks(checks).alias("name"), "event_date", "value")
+        .groupBy(check_of(checks).alias("name"), "event_date", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return stage_in_slots(counted, "value-counts", ["name", "value"], "slot", slots)
 
 
 def _both_samples(counts: DataFrame, keys: list[str], start: date | None, end: date | None) -> DataFrame:
@@ -111,15 +115,15 @@ def _limits(celled: DataFrame, start: date | None, end: date | None, min_sample:
 
 
 def ks_distances(
-    events: DataFrame,
-    checks: dict[str, str] = S.DRIFT_CHECKS,
+    counted: DataFrame,
     start: date | None = None,
     end: date | None = None,
     min_sample: int = S.DRIFT_MIN_SAMPLE,
     slots: int | None = None,
 ) -> DataFrame:
-    """Exact two-sample distance per check and report date with both sample sizes."""
-    celled = _with_cells(_slots(events, checks, slots))
+    """Exact two-sample distance per check and report date with both sample sizes, from value counts."""
+    slotted = stage_in_slots(counted.select("name", "event_date", "value", "n"), "value-counts", ["name", "value"], "slot", slots)
+    celled = _with_cells(slotted)
     # Report dates x cells rows; written, as it is read twice.
     limits = stage(_limits(celled, start, end, min_sample), "cell-limits")
     sizes = ["n_current", "n_baseline"]
@@ -167,7 +171,18 @@ def distribution_drift(
     slots: int | None = None,
 ) -> DataFrame:
     """Drift checks per report date; absent where a sample is too small."""
-    distances = ks_distances(events, checks, start, end, slots=slots)
+    return drift_of_counts(value_counts(events, checks), start, end, checks, slots)
+
+
+def drift_of_counts(
+    counted: DataFrame,
+    start: date | None = None,
+    end: date | None = None,
+    checks: dict[str, str] = S.DRIFT_CHECKS,
+    slots: int | None = None,
+) -> DataFrame:
+    """Drift checks from counts per (check, day, value)."""
+    distances = ks_distances(counted, start, end, slots=slots)
     kind = F.coalesce(*[F.when(F.col("name") == n, F.lit(of)) for n, of in checks.items()])
     p = ks_p_value(F.col("ks_stat"), F.col("n_current"), F.col("n_baseline"))
     judged = distances.select(

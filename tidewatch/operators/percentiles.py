@@ -25,36 +25,53 @@ ACCURACY = 10_000
 _BRACKET = 4.0
 
 
-def _kept(rows: DataFrame, day: str, value: Column, probabilities: list[float], accuracy: int) -> DataFrame:
-    """Per day: counts of the zones outside the brackets and of each value inside."""
-    values = rows.select(F.col(day).alias("_day"), value.cast("double").alias("_v")).where(
-        F.col("_v").isNotNull()
-    )
+def cut_points(probabilities: list[float], accuracy: int = ACCURACY) -> list[float]:
+    """The shares of a day that bracket each wanted rank."""
     slack = _BRACKET / accuracy
-    cuts = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-slack, slack)]
+    return [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-slack, slack)]
+
+
+def sketched_cuts(value: Column, probabilities: list[float], accuracy: int = ACCURACY) -> Column:
+    """Aggregate: the values at the cut points, about."""
     # NaN is the largest value, above infinity; the sketch knows both as infinity.
+    known = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(value)
+    return F.percentile_approx(known, cut_points(probabilities, accuracy), accuracy)
+
+
+def zone_and_kept(
+    value: Column, n: Column, cuts: Column, probabilities: int, accuracy: int = ACCURACY
+) -> tuple[Column, Column]:
+    """Where a value lies among the brackets of its day, and the value itself if inside one."""
     infinity, nan = F.lit(float("inf")), F.lit(float("nan"))
-    brackets = values.groupBy("_day").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(F.when(F.isnan("_v"), infinity).otherwise(F.col("_v")), cuts, accuracy).alias("_cuts"),
-    )
     # A wanted rank lies within two ranks of its share of the day and a sketched one
     # within 1/accuracy, so from ``accuracy`` values on a bracket holds its ranks;
     # below that the bracket is the whole day.
-    v, edge, short = F.col("_v"), F.col("_cuts"), F.col("_n") < accuracy
+    short = n < accuracy
     pairs = []
-    for i in range(len(probabilities)):
-        low, high = edge[2 * i], edge[2 * i + 1]
+    for i in range(probabilities):
+        low, high = cuts[2 * i], cuts[2 * i + 1]
         pairs.append((
             F.when(short, float("-inf")).otherwise(low),
             F.when(short | (high == infinity), nan).otherwise(high),
         ))
-    inside = any_of([(v >= low) & (v <= high) for low, high in pairs])
-    zone = reduce(add, [(v >= low).cast("int") + (v > high).cast("int") for low, high in pairs])
+    inside = any_of([(value >= low) & (value <= high) for low, high in pairs])
+    zone = reduce(add, [(value >= low).cast("int") + (value > high).cast("int") for low, high in pairs])
+    return zone, F.when(inside, value)
+
+
+def _kept(rows: DataFrame, day: str, value: Column, probabilities: list[float], accuracy: int) -> DataFrame:
+    """Per day: counts of the zones outside the brackets and of each value inside."""
+    values = rows.select(F.col(day).alias("_day"), value.cast("double").alias("_v")).where(
+        F.col("_v").isNotNull()
+    )
+    brackets = values.groupBy("_day").agg(
+        F.count(F.lit(1)).alias("_n"), sketched_cuts(F.col("_v"), probabilities, accuracy).alias("_cuts")
+    )
+    zone, kept = zone_and_kept(F.col("_v"), F.col("_n"), F.col("_cuts"), len(probabilities), accuracy)
     # One row per calendar day: a few thousand rows whatever the data volume.
     return (
         values.join(F.broadcast(brackets), "_day")
-        .groupBy("_day", "_n", zone.alias("_zone"), F.when(inside, v).alias("_kept"))
+        .groupBy("_day", "_n", zone.alias("_zone"), kept.alias("_kept"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
 
@@ -73,8 +90,15 @@ def daily_percentiles(
     between neighbouring ranks.  NaN ranks above infinity, and a percentile that
     falls on it is NaN.
     """
+    return ranked_percentiles(_kept(rows, day, value, list(wanted.values()), accuracy), day, wanted, slots)
+
+
+def ranked_percentiles(kept: DataFrame, day: str, wanted: dict[str, float], slots: int | None = None) -> DataFrame:
+    """The percentiles of days whose values are counted by zone and kept value.
+
+    ``kept`` has ``_day``, ``_n`` (values of the day), ``_zone``, ``_kept`` and ``_c`` (how many).
+    """
     probabilities = list(wanted.values())
-    kept = _kept(rows, day, value, probabilities, accuracy)
     slotted = stage_in_slots(kept, "ranked-values", ["_day", "_zone", "_kept"], "_slot", slots)
 
     places = [(F.col("_n") - 1) * F.lit(p) for p in probabilities]

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import scores
-from tidewatch.operators.bias import source_bias
+from tidewatch.operators import drift
+from tidewatch.operators.bias import bias_of_counts
 from tidewatch.operators.calendar import days_between, within
-from tidewatch.operators.drift import distribution_drift
-from tidewatch.operators.percentiles import daily_percentiles
+from tidewatch.operators.percentiles import daily_percentiles, ranked_percentiles, sketched_cuts, zone_and_kept
+from tidewatch.sources.staging import stage
 
 
 def event_totals(events: DataFrame) -> DataFrame:
@@ -33,11 +34,17 @@ def missing_required(events: DataFrame) -> DataFrame:
     return counted.withColumn("total", total)
 
 
+# Freshness columns and the share of the day's lags they stand at.
+_FRESHNESS = {"freshness_p50_sec": 0.5, "freshness_p95_sec": 0.95}
+
+
+def _lag() -> Column:
+    return (F.unix_micros("ts_ingested") - F.unix_micros("ts_event")) / 1e6
+
+
 def freshness(events: DataFrame) -> DataFrame:
     """Median and 95th percentile of the ingestion lag per day, in seconds."""
-    lag = (F.unix_micros("ts_ingested") - F.unix_micros("ts_event")) / 1e6
-    wanted = {"freshness_p50_sec": 0.5, "freshness_p95_sec": 0.95}
-    return daily_percentiles(events, "event_date", lag, wanted)
+    return daily_percentiles(events, "event_date", _lag(), _FRESHNESS)
 
 
 def is_future(as_of: datetime) -> Column:
@@ -82,10 +89,57 @@ def top_property_keys(events: DataFrame, limit: int = S.TOP_PROPERTY_KEYS) -> Da
         .groupBy("event_date", "key")
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return top_counted_keys(counted, limit)
+
+
+def top_counted_keys(counted: DataFrame, limit: int = S.TOP_PROPERTY_KEYS) -> DataFrame:
+    """The largest ``count`` of each day; equal counts by key."""
     order = Window.partitionBy("event_date").orderBy(F.desc("count"), "key")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def day_counts(events: DataFrame, as_of: datetime) -> DataFrame:
+    """One row per day from one scan: totals, null counts, future events, and brackets for the lag percentiles."""
+    lag = _lag().cast("double")
+    return events.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        *[F.count_if(F.col(name).isNull()).alias(name) for name in S.REQUIRED_FIELDS],
+        F.count_if(is_future(as_of)).alias("future_of_day"),
+        F.count(lag).alias("n_lags"),
+        sketched_cuts(lag, list(_FRESHNESS.values())).alias("lag_cuts"),
+    )
+
+
+def day_facts(events: DataFrame, days: DataFrame, judged: Column) -> DataFrame:
+    """From one scan, counts per (day, kind, name, value), ``n``.
+
+    Kinds: ``source``; ``key`` (property keys) and ``lag`` (by zone, with the
+    value inside a bracket of ``days``) of the days that ``judged`` names; and
+    ``check`` (values of the drift checks).  An event counts for several.
+    """
+    number = "cast(null AS double)"
+    lag = _lag().cast("double")
+    zone, kept = zone_and_kept(lag, F.col("n_lags"), F.col("lag_cuts"), len(_FRESHNESS))
+    # One row per calendar day.
+    near = events.join(F.broadcast(days.select("event_date", "n_lags", "lag_cuts")), "event_date", "left")
+    measured = near.select(
+        "event_date", "source_system", "value", drift.check_of(S.DRIFT_CHECKS).alias("_check"),
+        F.when(judged, F.json_object_keys("properties")).alias("_keys"),
+        F.when(judged & lag.isNotNull(), zone.cast("string")).alias("_zone"), kept.alias("_lag"),
+    )
+    facts = f"""concat(
+        array(named_struct('kind', 'source', 'name', source_system, 'value', {number})),
+        transform(coalesce(_keys, array()), k -> named_struct('kind', 'key', 'name', k, 'value', {number})),
+        if(_zone IS NULL, array(), array(named_struct('kind', 'lag', 'name', _zone, 'value', _lag))),
+        if(_check IS NULL, array(), array(named_struct('kind', 'check', 'name', _check, 'value', value)))
+    )"""
+    return (
+        measured.select("event_date", F.inline(F.expr(facts)))
+        .groupBy("event_date", "kind", "name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def _listed(rows: DataFrame, day: str, order: str, name: str, fields: list[str]) -> DataFrame:
     """Rows of a day as one array of structs; a handful per day."""
     entry = F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("_v"))
@@ -115,34 +169,44 @@ def scorecard(
     history = events.where(within(day, reach, end))
     refused = quarantine.where(within(F.col("ingest_date"), start, end))
 
-    totals = event_totals(rows)
+    # Two scans for all counts and a narrow one for distinct ids.
+    days = stage(day_counts(rows, as_of), "day-counts")
+    judged = F.col("n_lags").isNotNull()
+    facts = stage(day_facts(history, days, judged), "day-facts", "kind")
+
+    def of(kind: str, *columns: Column) -> DataFrame:
+        return facts.where(F.col("kind") == kind).select("event_date", *columns)
+
+    name, value, count = F.col("name"), F.col("value"), F.col("n")
+    ids = rows.groupBy("event_date").agg(F.count_distinct("event_id").alias("_distinct"))
+    missing_total = sum((F.col(field) for field in S.REQUIRED_FIELDS[1:]), F.col(S.REQUIRED_FIELDS[0]))
+    # Every part has one row per calendar day.
+    totals = days.join(F.broadcast(ids), "event_date").select(
+        "event_date", "n_events",
+        F.greatest(F.lit(0).cast("bigint"), F.col("n_events") - F.col("_distinct")).alias("duplicate_events"),
+        F.struct(*S.REQUIRED_FIELDS, missing_total.alias("total")).alias("missing_required"),
+        F.col("future_of_day").alias("future_events"),
+    )
     if start is not None and end is not None:
         spine = days_between(events.sparkSession, start, end, "event_date")
         totals = spine.join(totals, "event_date", "left")
     report = totals.withColumnRenamed("event_date", "report_date")
 
-    missing = missing_required(rows).select(
-        day.alias("report_date"), F.struct(*S.REQUIRED_FIELDS, "total").alias("missing_required")
-    )
-    keys = _listed(
-        top_property_keys(rows), "event_date", "rank", "top_property_keys", ["key", "count"]
-    )
+    lags = of("lag", name.cast("int").alias("_zone"), value.alias("_kept"), count.alias("_c"))
+    lags = lags.join(F.broadcast(days.select("event_date", F.col("n_lags").alias("_n"))), "event_date")
+    lags = lags.withColumnRenamed("event_date", "_day")
+    keys = top_counted_keys(of("key", name.alias("key"), count.alias("count")))
+    by_source = of("source", name.alias("source_system"), count.alias("n"))
+    checked = drift.drift_of_counts(of("check", name, value, count), start, end)
     drift_fields = [f.name for f in S.DQ_SUMMARY["distribution_drift"].dataType.elementType.fields]
     bias_fields = [f.name for f in S.DQ_SUMMARY["source_bias"].dataType.elementType.fields]
-    drift = distribution_drift(history, start, end)
     parts = [
-        missing,
-        freshness(rows).withColumnRenamed("event_date", "report_date"),
+        ranked_percentiles(lags, "event_date", _FRESHNESS).withColumnRenamed("event_date", "report_date"),
         quarantine_stats(refused).withColumnRenamed("ingest_date", "report_date"),
-        keys,
-        _listed(drift, "report_date", "name", "distribution_drift", drift_fields),
-        _listed(source_bias(history), "report_date", "source_system", "source_bias", bias_fields),
+        _listed(keys, "event_date", "rank", "top_property_keys", ["key", "count"]),
+        _listed(checked, "report_date", "name", "distribution_drift", drift_fields),
+        _listed(bias_of_counts(by_source), "report_date", "source_system", "source_bias", bias_fields),
     ]
-    if future_scope == "day":
-        parts.append(
-            future_events_by_day(rows, as_of).withColumnRenamed("event_date", "report_date")
-        )
-    # Every part has one row per calendar day.
     for part in parts:
         report = report.join(F.broadcast(part), "report_date", "left")
     if future_scope != "day":
