@@ -7,6 +7,7 @@ out-of-fold predictions, so that a later model meets them as it will in use.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,8 @@ from tidewatch.sources.staging import stage
 
 # Labelled rows the chain is fitted on, at most; they also bound the words it looks for.
 MAX_LABELLED = 20_000
-# Documents a word must occur in to be looked for, and how far its toxic share must be above that of all.
+# Documents a word must occur in to be looked for, and how far its toxic share must be above that of all
+# at least, in standard errors; more if there are many words.
 MIN_DOCUMENTS = 5
 MIN_TELLING = 3.0
 # The verdict needs at least this probability, and no more than the other, however few rows taught it.
@@ -133,17 +135,18 @@ def learn_chain(
     # How far the toxic share of a word's documents is above that of all, in standard errors.
     share = float(sizes[1]) / float(sizes[0])
     telling = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    top = (
+    common = (
         sample.mapInArrow(word_rows, StructType([StructField("word", BinaryType()), StructField("n", LongType()), StructField("t", LongType())]))
         .groupBy("word")
         .agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
         .where(F.col("n") >= MIN_DOCUMENTS)
         .select("word", telling.alias("telling"))
-        .where(F.col("telling") >= MIN_TELLING)
-        .orderBy(F.desc("telling"), "word")
-        # Words of the bounded sample.
-        .collect()
     )
+    common = stage(common, "common-words")
+    # Of many words some lie far above by chance: the largest of m normal numbers is about this.
+    chance = math.sqrt(2.0 * math.log(max(common.count(), 1)))
+    # Words of the bounded sample.
+    top = common.where(F.col("telling") >= max(MIN_TELLING, chance)).orderBy(F.desc("telling"), "word").collect()
     known = {bytes(r["word"]): i for i, r in enumerate(top)}
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
