@@ -569,15 +569,15 @@ def _(spark, sf_dir):
 
 @query("notify_outcome_upsert")
 def _(spark, sf_dir):
-    """A second round in which every failed delivery is sent."""
-    raised = D.alerts(spark, sf_dir)
-    stored = D.notifications(raised)
-    again = stored.where(F.col("status") == "failed").select(
+    """A second round in which every failed delivery is sent: a delta of the stored table."""
+    tables = Tables(spark, fresh_path(spark, "outcome-tables"))
+    tables.upsert("alert_notifications", D.notifications(D.alerts(spark, sf_dir)))
+    again = tables.read("alert_notifications").where(F.col("status") == "failed").select(
         "alert_id", "channel", "target", F.lit("sent").alias("status"),
         F.lit('{"try":2}').alias("payload"), F.lit(None).cast("string").alias("error"),
     )
-    merged = notify.record_outcomes(stored, again, D.AS_OF)
-    return merged.select(
+    daily.store_outcomes(tables, again, D.AS_OF)
+    return tables.read("alert_notifications").select(
         "notification_id", "alert_id", "channel", "target", "status", "payload", "last_error",
         F.col("sent_at").cast("string").alias("sent_at"),
         F.col("created_at").cast("string").alias("created_at"),

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
 from tidewatch.operators import notify
 from tidewatch.plans import daily
-from tidewatch.sources import ids, staging
+from tidewatch.sources import ids, keyed, staging
 from tidewatch.sources.staging import stage
 from tidewatch.sources.tables import TABLES, Tables
 
@@ -247,3 +248,74 @@ def test_staged_tables_can_be_cleared(spark, events, tmp_path, monkeypatch):
     assert own.is_dir()
     staging.clear_staged(spark)
     assert not own.exists() and other.is_dir()
+
+
+NOTES = TABLES["alert_notifications"]
+
+
+def outcomes(spark, ids, status, at):
+    df = spark.createDataFrame([(i, "webhook", "https://h/1", status, "{}", None) for i in ids],
+                               "alert_id long, channel string, target string, status string, payload string, error string")
+    return notify.outcome_rows(df, at)
+
+
+def keyed_notes(spark, tmp_path, **options):
+    return keyed.KeyedTable(spark, str(tmp_path / "notes"), NOTES.schema, NOTES.keys, NOTES.keep, **options)
+
+
+def test_ten_outcomes_write_ten_rows(spark, tables, tmp_path):
+    tables.upsert("alert_notifications", outcomes(spark, range(3000), "failed", NOW))
+    before = {p for p in (tmp_path / "tables").rglob("*.parquet")}
+    daily.store_outcomes(tables, outcomes(spark, range(5, 15), "sent", NOW).withColumn("error", F.lit(None).cast("string")), NOW)
+    after = {p for p in (tmp_path / "tables").rglob("*.parquet")}
+    assert before <= after and spark.read.parquet(*map(str, after - before)).count() == 10
+    read = tables.read("alert_notifications")
+    assert read.count() == 3000 and read.where("status = 'sent'").count() == 10
+
+
+@pytest.mark.parametrize("small, share", [(0, 0.5), (1 << 30, 0.125)])
+def test_deltas_equal_plain_upserts_whatever_is_merged(spark, tmp_path, rows, small, share):
+    """Random upserts against a dictionary: new bases are written in one case, deltas merged in the other."""
+    chance = random.Random(5)
+    table, plain, most = keyed_notes(spark, tmp_path, fan=3, small=small, share=share), {}, 0
+    for turn in range(14):
+        at, ids = NOW + timedelta(hours=turn), chance.sample(range(40), chance.choice([0, 1, 2, 9, 20]))
+        table.upsert(outcomes(spark, ids, f"s{turn}", at))
+        for i in ids:
+            plain[i] = (f"s{turn}", plain[i][1] if i in plain else at)
+        most = max(most, len(table.parts()))
+    assert {r["alert_id"]: (r["status"], r["created_at"]) for r in rows(table.read())} == plain
+    bases = table.parts()[0].base
+    assert bases > 1 if small == 0 else bases == 1 and most <= 7
+
+
+def test_readers_go_on_while_deltas_are_merged(spark, tmp_path, monkeypatch):
+    table = keyed_notes(spark, tmp_path, fan=3, small=1 << 30)
+    for turn in range(3):
+        table.upsert(outcomes(spark, [turn], "failed", NOW))
+    reader = table.read()
+    table.upsert(outcomes(spark, [7], "failed", NOW))
+    assert any(p.last > p.first for p in table.parts())
+    assert reader.count() == 3 and table.read().count() == 4
+    reader = table.read()
+    table.replace(table.read())
+    assert reader.count() == 4 and table.parts() == [keyed.Part(2)]
+
+
+def test_a_merge_that_failed_is_no_part(spark, tmp_path, monkeypatch):
+    table = keyed_notes(spark, tmp_path, fan=3, small=1 << 30)
+    for turn in range(3):
+        table.upsert(outcomes(spark, [turn], "failed", NOW))
+
+    def fail(self, rows, part):
+        if part.last > part.first:
+            raise OSError("lost")
+        return write(self, rows, part)
+
+    write = keyed.KeyedTable._write
+    with monkeypatch.context() as patch:
+        patch.setattr(keyed.KeyedTable, "_write", fail)
+        with pytest.raises(OSError):
+            table.upsert(outcomes(spark, [1], "sent", NOW))
+    table.upsert(outcomes(spark, [1], "sent", NOW))
+    assert {r["alert_id"]: r["status"] for r in table.read().collect()} == {0: "failed", 1: "sent", 2: "failed"}

@@ -3,9 +3,9 @@
 Daily tables are partitioned by their date.  Raw events and quarantine can only
 be appended to.  Upserts rewrite the touched dates: the merged rows are staged
 first, then swapped in by dynamic partition overwrite, so a failed run can be
-repeated.  Upsert tables without a date are kept in versions: a new version is
-written beside the old one and counts once it is complete, so a failed write
-changes nothing.  There is no transaction across tables.
+repeated.  Upsert tables without a date are a base with deltas
+(``sources/keyed.py``): an upsert writes its own rows only, and counts once they
+are complete.  There is no transaction across tables.
 
 ``event_ids`` is an index on raw events (``sources/ids.py``).  An append of
 events notes its ids first, writes the events and confirms the note last; what a
@@ -23,7 +23,8 @@ from pyspark.sql.types import StructType
 from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
 from tidewatch.sources.ids import BUCKET_IDS, IdIndex
-from tidewatch.sources.staging import file_system, is_complete, stage
+from tidewatch.sources.keyed import KeyedTable
+from tidewatch.sources.staging import file_system, stage
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Table:
     sort: tuple[str, ...] = ()
 
     @property
-    def versioned(self) -> bool:
+    def keyed(self) -> bool:
         return self.partition is None and not self.append_only
 
 
@@ -76,29 +77,23 @@ class Tables:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        if TABLES[name].versioned:
-            return bool(self._versions(name))
+        if TABLES[name].keyed:
+            return self.keyed(name).exists()
         fs, location = file_system(self.spark, self.path(name))
         return fs.exists(location)
 
-    def _versions(self, name: str) -> list[int]:
-        """Complete versions, oldest first."""
-        fs, location = file_system(self.spark, self.path(name))
-        if not fs.exists(location):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(location)]
-        numbers = [int(n.removeprefix("v")) for n in names if n.startswith("v") and n[1:].isdigit()]
-        return sorted(n for n in numbers if is_complete(self.spark, f"{self.path(name)}/v{n}"))
+    def keyed(self, name: str) -> KeyedTable:
+        table = TABLES[name]
+        return KeyedTable(self.spark, self.path(name), table.schema, table.keys, table.keep)
 
     def read(self, name: str) -> DataFrame:
         """The table, empty with its schema before the first write."""
         schema = TABLES[name].schema
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
-        path = self.path(name)
-        if TABLES[name].versioned:
-            path = f"{path}/v{self._versions(name)[-1]}"
-        return self.spark.read.schema(schema).parquet(path)
+        if TABLES[name].keyed:
+            return self.keyed(name).read()
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def read_touched(self, name: str, rows: DataFrame) -> DataFrame:
         """The stored rows of those partitions (calendar days) that ``rows`` touch."""
@@ -152,20 +147,22 @@ class Tables:
         table = TABLES[name]
         if table.append_only:
             raise ValueError(f"{name} is append-only")
+        if table.keyed:
+            self.keyed(name).upsert(rows)
+            return
         columns = table.schema.names
         if not self.exists(name):
             self._write(name, rows, "append")
             return
         incoming = stage(rows.select(*columns), f"{name}-new")
-        stored = self.read_touched(name, incoming) if table.partition else self.read(name)
-        merged = merge(stored.select(*columns), incoming, list(table.keys), table.keep)
+        merged = merge(self.read_touched(name, incoming).select(*columns), incoming, list(table.keys), table.keep)
         self._write(name, stage(merged, f"{name}-merged"), "overwrite")
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
         table = TABLES[name]
         rows = rows.select(*table.schema.names)
-        if table.versioned:
-            self._write_version(name, rows if mode == "overwrite" else self.read(name).unionByName(rows))
+        if table.keyed:
+            self.keyed(name).replace(rows if mode == "overwrite" else self.read(name).unionByName(rows))
             return
         if table.partition:
             # A date may hold most rows: the writer spreads it over tasks by size.
@@ -177,13 +174,3 @@ class Tables:
         if table.partition:
             writer = writer.partitionBy(table.partition)
         writer.parquet(self.path(name))
-
-    def _write_version(self, name: str, rows: DataFrame) -> None:
-        """Write the whole table beside the version in use; older ones than that go."""
-        complete = self._versions(name)
-        number = complete[-1] + 1 if complete else 1
-        # What an unfinished write left under this number is replaced.
-        rows.write.mode("overwrite").parquet(f"{self.path(name)}/v{number}")
-        for old in complete[:-1]:
-            fs, location = file_system(self.spark, f"{self.path(name)}/v{old}")
-            fs.delete(location, True)
