@@ -683,6 +683,7 @@ FROM metrics WHERE metric_date + 2 <= (SELECT max(ts_event) FROM ev) GROUP BY 1"
 SELECT event_date, count(*) AS late_rows FROM routed WHERE outcome = 'late' GROUP BY 1""",
 }
 
+_BODIES["stream_kpi_parts"] = _BODIES["stream_daily_kpis"]
 _BODIES["stream_ingest_routed"] = f"""
 SELECT event_id, reason, count(*) AS n FROM ({_BODIES['ingest_bodies']}) GROUP BY ALL"""
 

@@ -24,6 +24,7 @@ from tidewatch.plans import daily, overview, panels, reads
 from tidewatch.sources import rules, sample
 from tidewatch.sources.staging import fresh_path, stage
 from tidewatch.sources.tables import Tables
+from tidewatch.streaming import dayparts
 from tidewatch.streaming import ingest as stream_ingest
 from tidewatch.streaming import kpis as stream_kpis
 from tidewatch.streaming import routing
@@ -768,6 +769,18 @@ def _(spark, sf_dir):
     return tables.read("metrics_daily").select("metric_date", "metric_name", "value", "dimensions")
 
 
+@query("stream_kpi_parts")
+def _(spark, sf_dir):
+    """KPIs kept in partial states over three micro-batches, each with events of every day."""
+    landed, rows = fresh_path(spark, "part-events"), sample.events_raw(spark, sf_dir).select(*S.EVENTS_RAW.names)
+    rows.repartition(3, "event_id").write.parquet(landed)
+    feed = spark.readStream.schema(S.EVENTS_RAW).option("maxFilesPerTrigger", 1).parquet(landed)
+    tables = Tables(spark, fresh_path(spark, "part-tables"))
+    parts = dayparts.DayParts(spark, fresh_path(spark, "day-parts"))
+    dayparts.kpi_parts_stream(tables, parts, feed, fresh_path(spark, "part-checkpoint")).awaitTermination()
+    return tables.read("metrics_daily").select("metric_date", "metric_name", "value", "dimensions")
+
+
 @query("stream_provisional_kpis")
 def _(spark, sf_dir):
     events = sample.model_columns(_sample_stream(spark, sf_dir))

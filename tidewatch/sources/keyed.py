@@ -30,6 +30,7 @@ FAN = 8
 # Part of the base's bytes in deltas from which a new base is written, if they are more than SMALL.
 SHARE = 0.125
 SMALL = 1 << 20
+ROW_GROUP_BYTES = 8 << 20
 _NAME = re.compile(r"v(\d+)(?:-(\d+)-(\d+))?$")
 
 
@@ -122,21 +123,24 @@ class KeyedTable:
         """Merge deltas of one size, and all into a new base if the deltas have grown to a share of it."""
         parts = self.parts()
         base, deltas = parts[0], parts[1:]
-        size = {p: self._bytes(p) for p in parts}
-        if sum(size[p] for p in deltas) > max(self.share * size[base], self.small):
+        if sum(map(self._bytes, deltas)) > max(self.share * self._bytes(base), self.small):
             self.replace(self.read())
-            return
+        else:
+            self._merge_levels(deltas)
+
+    def _merge_levels(self, deltas: list[Part]) -> None:
         # From the newest back, a delta counts as large as any newer one: the run to merge has no gap.
         level, most = [], 0
         for p in reversed(deltas):
-            most = max(most, int(math.log(max(size[p], 1), self.fan)))
+            most = max(most, int(math.log(max(self._bytes(p), 1), self.fan)))
             level.insert(0, most)
         full = [k for k in set(level) if level.count(k) >= self.fan]
         if not full:
             return
         run = deltas[level.index(max(full)):]
-        before = [p for p in self._complete() if p.base == base.base and p not in parts]
-        self._write(self._newest(run), Part(base.base, run[-1].last, run[0].first))
+        base = run[0].base
+        before = [p for p in self._complete() if p.base == base and p.last and p not in deltas]
+        self._write(self._newest(run), Part(base, run[-1].last, run[0].first))
         self._delete(before)
 
     def _newest(self, deltas: list[Part]) -> DataFrame:
@@ -170,3 +174,60 @@ class KeyedTable:
         for part in parts:
             fs, location = file_system(self.spark, f"{self.path}/{part.name}")
             fs.delete(location, True)
+
+
+class SumTable(KeyedTable):
+    """Counts and sums by key, to which numbered deltas add.
+
+    All columns but the keys are summed when read, and where deltas are merged.
+    A delta whose number is not above those added is not added again, so a
+    batch may be repeated.  There is no base; ``partition`` prunes all parts.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType | str, keys: tuple[str, ...], partition: str | None = None,
+        fan: int = FAN,
+    ):
+        schema = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+        super().__init__(spark, path, schema, keys, fan=fan, share=math.inf)
+        self.partition = partition
+
+    def parts(self) -> list[Part]:
+        complete = self._complete()
+        return [p for p in complete if not any(o.covers(p) for o in complete)]
+
+    def last(self) -> int:
+        """The last number that was added, 0 before the first."""
+        return max((p.last for p in self.parts()), default=0)
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """Add delta ``number``, from 1 on."""
+        if number > self.last():
+            self._write(rows.select(*self.schema.names), Part(0, number, number))
+            self.compact()
+
+    def read(self) -> DataFrame:
+        """One row per key; filters on keys reach the files."""
+        return self._newest(self.parts())
+
+    def upsert(self, rows: DataFrame) -> None:
+        raise ValueError("deltas are added to sums by number")
+
+    def compact(self) -> None:
+        self._merge_levels(self.parts())
+
+    def _newest(self, deltas: list[Part]) -> DataFrame:
+        every = self.spark.createDataFrame([], self.schema)
+        for part in deltas:
+            every = every.unionByName(self._of(part))
+        sums = [c for c in self.schema.names if c not in self.keys]
+        return every.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in sums]).select(*self.schema.names)
+
+    def _write(self, rows: DataFrame, part: Part) -> None:
+        path = f"{self.path}/{part.name}"
+        if not self.partition:
+            rows.hint("rebalance").write.mode("overwrite").parquet(path)
+            return
+        # Sorted, so that few row groups hold the keys that are asked for.
+        rows = rows.hint("rebalance", F.col(self.partition)).sortWithinPartitions(self.partition, *self.keys)
+        rows.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP_BYTES)).partitionBy(self.partition).parquet(path)
