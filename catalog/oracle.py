@@ -677,8 +677,9 @@ FROM ({_CTES['metrics'].replace('FROM ev GROUP BY 1', "FROM (SELECT * FROM ev WH
     "stream_provisional_kpis": """
 SELECT metric_date AS event_date, (max(value) FILTER (WHERE metric_name = 'tx_completed_count'))::BIGINT
     AS tx_completed_count, round(max(value) FILTER (WHERE metric_name = 'tx_completed_value'), 6) AS tx_completed_value,
-  round(max(value) FILTER (WHERE metric_name = 'tx_fail_rate'), 6) AS tx_fail_rate, TRUE AS dau_near
-FROM metrics WHERE metric_date + 2 <= (SELECT max(ts_event) FROM ev) GROUP BY 1""",
+  round(max(value) FILTER (WHERE metric_name = 'tx_fail_rate'), 6) AS tx_fail_rate, TRUE AS dau_near,
+  metric_date > (SELECT max(ts_event)::DATE FROM ev) - 2 AS is_open
+FROM metrics GROUP BY 1""",
     "stream_late_days": """
 SELECT event_date, count(*) AS late_rows FROM routed WHERE outcome = 'late' GROUP BY 1""",
 }

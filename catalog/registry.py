@@ -27,7 +27,7 @@ from tidewatch.sources.tables import Tables
 from tidewatch.streaming import dayparts
 from tidewatch.streaming import ingest as stream_ingest
 from tidewatch.streaming import kpis as stream_kpis
-from tidewatch.streaming import routing
+from tidewatch.streaming import provisional, routing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -713,15 +713,6 @@ def _sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def _drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all that has arrived and read its Parquet sink."""
-    spark = stream.sparkSession
-    out, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 def _routed(spark: SparkSession, sf_dir: str, tables: Tables | None = None) -> routing.RoutedStream:
     """The feed as it arrives, ten days a file, of which some rows come nine days late."""
     landed, arriving = fresh_path(spark, "arrivals"), sample.arrivals(spark, sf_dir)
@@ -769,26 +760,30 @@ def _(spark, sf_dir):
     return tables.read("metrics_daily").select("metric_date", "metric_name", "value", "dimensions")
 
 
+def _in_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted events as a stream of three micro-batches, each with events of every day."""
+    landed, rows = fresh_path(spark, "landed-events"), sample.events_raw(spark, sf_dir).select(*S.EVENTS_RAW.names)
+    rows.repartition(3, "event_id").write.parquet(landed)
+    return spark.readStream.schema(S.EVENTS_RAW).option("maxFilesPerTrigger", 1).parquet(landed)
+
+
 @query("stream_kpi_parts")
 def _(spark, sf_dir):
-    """KPIs kept in partial states over three micro-batches, each with events of every day."""
-    landed, rows = fresh_path(spark, "part-events"), sample.events_raw(spark, sf_dir).select(*S.EVENTS_RAW.names)
-    rows.repartition(3, "event_id").write.parquet(landed)
-    feed = spark.readStream.schema(S.EVENTS_RAW).option("maxFilesPerTrigger", 1).parquet(landed)
+    """KPIs kept in partial states over three micro-batches."""
     tables = Tables(spark, fresh_path(spark, "part-tables"))
     parts = dayparts.DayParts(spark, fresh_path(spark, "day-parts"))
-    dayparts.kpi_parts_stream(tables, parts, feed, fresh_path(spark, "part-checkpoint")).awaitTermination()
+    dayparts.kpi_parts_stream(tables, parts, _in_three(spark, sf_dir), fresh_path(spark, "part-checkpoint")).awaitTermination()
     return tables.read("metrics_daily").select("metric_date", "metric_name", "value", "dimensions")
 
 
 @query("stream_provisional_kpis")
 def _(spark, sf_dir):
-    events = sample.model_columns(_sample_stream(spark, sf_dir))
-    done = _drain(stream_kpis.provisional_kpis(events), "provisional")
+    """All days, the open ones flagged; user counts held against the sketch's own bound of three deviations."""
+    days = provisional.ProvisionalDays(spark, fresh_path(spark, "provisional"))
+    provisional.provisional_stream(days, _in_three(spark, sf_dir), fresh_path(spark, "provisional-checkpoint")).awaitTermination()
     exact = kpis.active_users(sample.events_raw(spark, sf_dir)).toDF("event_date", "_dau")
-    # The sketch has a standard error of 5 %.
-    near = F.abs(F.col("dau_approx") - F.col("_dau")) <= 0.15 * F.col("_dau")
-    return done.join(exact, "event_date", "left").withColumn("dau_near", near).drop("dau_approx", "_dau")
+    near = F.abs(F.col("dau_approx") - F.col("_dau")) <= days.error() * F.col("_dau")
+    return days.read().join(exact, "event_date", "left").withColumn("dau_near", near).drop("dau_approx", "_dau")
 
 
 @query("stream_late_days")

@@ -9,6 +9,7 @@ from tidewatch import schemas as S
 from tidewatch.functions import scores
 from tidewatch.functions.ks import ks_p_value
 from tidewatch.operators import bias, drift, quality
+from tidewatch.sources.staging import stage_in_slots
 
 DAY = date(2026, 1, 13)
 NOW = datetime(2026, 1, 14, 1)
@@ -125,6 +126,21 @@ def test_ks_equals_brute_force_for_any_slots(events, rows, slots):
         assert (got[day]["n_current"], got[day]["n_baseline"]) == (len(values), len(base))
 
 
+@pytest.mark.parametrize("slots", [1, 3])
+def test_drift_cells_are_even_on_a_heavy_tail(spark, rows, monkeypatch, slots):
+    monkeypatch.setattr(drift, "_CELLS", 60)
+    given = spark.range(24_000).selectExpr(
+        "'latency_value' AS name", f"date_add(date '2026-01-01', int(id % 10)) AS event_date",
+        "if(id < 5, cast('NaN' AS double), power(1 - rand(7), -3.0)) AS value", "1L AS n",
+    )
+    slotted = stage_in_slots(given, "tail", ["name", "value"], "slot", slots)
+    sizes = sorted(r["count"] for r in rows(drift._with_cells(slotted).groupBy("slot", "cell").count()))
+    assert 50 <= len(sizes) <= 63 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    ends = drift._with_cells(slotted).groupBy("slot", "cell").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    order = rows(ends, "slot", "cell")
+    assert all(a["high"] < b["low"] for a, b in zip(order, order[1:-1]))
+
+
 def test_p_value_series_stops_early(spark, one):
     df = spark.sql("select 0.3D d, 40L n, 60L m").select(ks_p_value(F.col("d"), F.col("n"), F.col("m")).alias("p"))
     en = math.sqrt(40 * 60 / 100)

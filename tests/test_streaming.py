@@ -8,7 +8,7 @@ from tidewatch import schemas as S
 from tidewatch.operators import kpis
 from tidewatch.sources.bodies import bodies_from_kafka, read_bodies, stream_bodies
 from tidewatch.sources.tables import Tables
-from tidewatch.streaming import ingest, kpis as stream_kpis, routing
+from tidewatch.streaming import ingest, kpis as stream_kpis, provisional, routing
 
 UUID = "3f2504e0-4f89-11d3-9a0c-{:012x}"
 
@@ -181,22 +181,48 @@ def test_late_rows_are_claimed_worked_off_and_ticked_off(spark, tables, tmp_path
     assert sorted(r["reason"] for r in refused) == ["duplicate_event_id"] * 7 + ["validation_error"] * 2
 
 
-def test_provisional_day_closes_with_the_watermark(spark, tmp_path, events, rows):
-    source = str(tmp_path / "accepted")
-    events([
+def test_provisional_days_take_late_rows(spark, tmp_path, events, rows):
+    source, checkpoint = str(tmp_path / "accepted"), str(tmp_path / "cp")
+    days = provisional.ProvisionalDays(spark, str(tmp_path / "days"))
+
+    def arrive(*given):
+        events(list(given)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(S.EVENTS_RAW).parquet(source)
+        provisional.provisional_stream(days, stream, checkpoint).awaitTermination()
+        return {r["event_date"].day: r for r in rows(days.read())}
+
+    first = arrive(
         ("a", "2026-01-10 10:00:00", "transaction_completed", "web", "u1", 5),
-        ("b", "2026-01-10 11:00:00", "transaction_failed", "web", "u2", 1),
+        ("b", "2026-01-10 11:00:00", "transaction_failed", "web", None, 1),
         ("c", "2026-01-13 10:00:00", "user_access", "web", "u1", 1),
-    ]).write.parquet(source)
-    stream = spark.readStream.schema(S.EVENTS_RAW).parquet(source)
-    out = str(tmp_path / "out")
-    query = stream_kpis.provisional_kpis(stream).writeStream.format("parquet")
-    query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
-    query.start(out).awaitTermination()
-    assert rows(spark.read.parquet(out)) == [{
-        "event_date": date(2026, 1, 10), "dau_approx": 2, "tx_completed_count": 1,
-        "tx_completed_value": 5.0, "tx_fail_rate": 0.5,
-    }]
+    )
+    assert first[10] == {
+        "event_date": date(2026, 1, 10), "dau_approx": 1, "tx_completed_count": 1,
+        "tx_completed_value": 5.0, "tx_fail_rate": 0.5, "is_open": False,
+    }
+    assert first[13]["is_open"] and set(first) == {10, 13}
+    late = arrive(("d", "2026-01-10 12:00:00", "transaction_completed", "web", "u2", 2))
+    assert (late[10]["dau_approx"], late[10]["tx_completed_value"], late[10]["is_open"]) == (2, 7.0, False)
+    days.add(events([("e", "2026-01-10 12:00:00", "user_access", "web", "u3", 2)]), 2)
+    assert {r["event_date"].day: r["dau_approx"] for r in rows(days.read())} == {10: 2, 13: 1}
+
+
+def test_provisional_users_lie_within_the_sketchs_error(spark, tmp_path, events, rows):
+    days = provisional.ProvisionalDays(spark, str(tmp_path / "days"), entries=8)
+    day = spark.range(20_000).selectExpr(
+        "timestamp '2026-01-12 10:00:00' AS ts_event", "timestamp '2026-01-12 10:00:01' AS ts_ingested",
+        "'user_access' AS event_type", "concat('u', id % 6000) AS user_id", "1.0D AS value",
+    )
+    for number in range(1, 11):
+        days.add(day.where(f"hash(value, user_id) % 10 = {number - 1} OR rand({number}) < 0.2"), number)
+    whole = provisional.ProvisionalDays(spark, str(tmp_path / "whole"), entries=8)
+    whole.add(day, 1)
+    merged, once = rows(days.read())[0]["dau_approx"], rows(whole.read())[0]["dau_approx"]
+    assert abs(merged - 6000) <= days.error() * 6000 and abs(once - 6000) <= days.error() * 6000
+    future = events([("f", "2027-01-01 00:00:00", "user_access", "web", "u", 1)]).withColumn("ts_ingested", F.lit(datetime(2026, 1, 12)))
+    days.add(future, 11)
+    assert {r["event_date"].year: r["is_open"] for r in rows(days.read())} == {2026: True, 2027: True}
+    assert provisional.ProvisionalDays(spark, str(tmp_path / "none")).read().count() == 0
 
 
 def test_kafka_records_become_bodies(spark, one):

@@ -6,7 +6,7 @@ sorted in one task:
 
 1. values are counted per (check, day, value) and written once, cut into
    value ranges ("slots") of about equal numbers of rows; each slot is cut
-   further into equal value intervals ("cells");
+   further at sketched quantiles into "cells" of about equal numbers of rows;
 2. cell totals per day, a few numbers per cell, are spread over the report
    dates they count for; their running sums give both distribution functions
    at every cell end, hence a distance already reached and an upper limit for
@@ -70,15 +70,27 @@ def _both_samples(counts: DataFrame, keys: list[str], start: date | None, end: d
 
 
 def _with_cells(slotted: DataFrame) -> DataFrame:
-    """Adds ``cell``: the interval of its slot a value falls in."""
-    ends = slotted.groupBy("name", "slot").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    n_slots = F.count(F.lit(1)).over(Window.partitionBy("name"))
-    ends = ends.withColumn("cells", F.greatest(F.lit(4), F.floor(F.lit(_CELLS) / n_slots)))
-    place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("cells"))
-    cell = F.when(F.col("high") > F.col("low"), F.least(place, F.col("cells") - 1)).otherwise(0)
-    # One row per slot and check.
-    celled = slotted.join(F.broadcast(ends), ["name", "slot"]).withColumn("cell", cell)
-    return celled.drop("low", "high", "cells")
+    """Adds ``cell``: the number of cut points of its slot below a value.
+
+    Cut points are quantiles of the slot's rows, sketched to an eighth of a cell,
+    so cells hold about equally many rows whatever the distribution.
+    """
+    # Slots are folders: none of their columns is read.
+    slots = slotted.select("slot").distinct().count()
+    cells = max(4, _CELLS // max(1, slots))
+    # The sketch knows no NaN, the largest value.
+    known = F.when(F.isnan("value"), F.lit(float("inf"))).otherwise(F.col("value"))
+    # One literal, not thousands.
+    shares = F.split(F.lit(",".join(str(k / cells) for k in range(1, cells))), ",").cast("array<double>")
+    cuts = F.array_distinct(F.percentile_approx(known, shares, 8 * cells)).alias("cuts")
+    # About _CELLS numbers per check, whatever the data.
+    ends = slotted.groupBy("name", "slot").agg(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(cells.bit_length()))])
+    # Binary search: a step is taken if the cut point before it is below the value.
+    cell = F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.get("cuts", at + step - 1) < F.col("value"), step).otherwise(0)
+    )
+    return slotted.join(F.broadcast(ends), ["name", "slot"]).withColumn("cell", cell).drop("cuts")
 
 
 def _limits(celled: DataFrame, start: date | None, end: date | None, min_sample: int) -> DataFrame:

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidewatch.operators.merge import merge
@@ -177,20 +178,21 @@ class KeyedTable:
 
 
 class SumTable(KeyedTable):
-    """Counts and sums by key, to which numbered deltas add.
+    """Counts, sums or sketches by key, to which numbered deltas add.
 
-    All columns but the keys are summed when read, and where deltas are merged.
+    All columns but the keys are summed when read, and where deltas are merged;
+    ``combine`` names other aggregates for some (column -> aggregate of it).
     A delta whose number is not above those added is not added again, so a
     batch may be repeated.  There is no base; ``partition`` prunes all parts.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, schema: StructType | str, keys: tuple[str, ...], partition: str | None = None,
-        fan: int = FAN,
+        fan: int = FAN, combine: dict[str, Callable[[str], Column]] | None = None,
     ):
         schema = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
         super().__init__(spark, path, schema, keys, fan=fan, share=math.inf)
-        self.partition = partition
+        self.partition, self.combine = partition, combine or {}
 
     def parts(self) -> list[Part]:
         complete = self._complete()
@@ -221,7 +223,7 @@ class SumTable(KeyedTable):
         for part in deltas:
             every = every.unionByName(self._of(part))
         sums = [c for c in self.schema.names if c not in self.keys]
-        return every.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in sums]).select(*self.schema.names)
+        return every.groupBy(*self.keys).agg(*[self.combine.get(c, F.sum)(c).alias(c) for c in sums]).select(*self.schema.names)
 
     def _write(self, rows: DataFrame, part: Part) -> None:
         path = f"{self.path}/{part.name}"

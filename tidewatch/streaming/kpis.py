@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.functions.scores import rate
 from tidewatch.operators import kpis
 from tidewatch.sources.staging import stage
 from tidewatch.sources.tables import Tables
@@ -39,29 +38,3 @@ def kpi_stream(tables: Tables, events: DataFrame, checkpoint: str) -> StreamingQ
 
     writer = events.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
-
-
-def provisional_kpis(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Streaming day windows: approximate users, exact counts and failure rate.
-
-    A day is emitted once the watermark has passed it (append mode).
-    """
-    kind = F.col("event_type")
-    done = kind == "transaction_completed"
-    counted = (
-        events.withWatermark("ts_event", delay)
-        .groupBy(F.window("ts_event", "1 day"))
-        .agg(
-            F.approx_count_distinct("user_id").alias("dau_approx"),
-            F.count_if(done).alias("tx_completed_count"),
-            F.coalesce(F.sum(F.when(done, F.col("value"))), F.lit(0.0)).alias("tx_completed_value"),
-            F.count_if(kind == "transaction_failed").alias("failed"),
-        )
-    )
-    return counted.select(
-        F.to_date("window.start").alias("event_date"),
-        "dau_approx",
-        "tx_completed_count",
-        "tx_completed_value",
-        rate(F.col("failed"), F.col("failed") + F.col("tx_completed_count")).alias("tx_fail_rate"),
-    )
