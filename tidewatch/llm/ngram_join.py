@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tidewatch.llm.batches import WHITE_LOWER, encode, flat, owners, slices, words
@@ -377,6 +377,11 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first())
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver next runs short of memory."""
+    spark._jvm.System.gc()
+
+
 def _with_roots(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return nodes.withColumn("root", F.col("node"))
@@ -406,6 +411,7 @@ def _link_classes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     # Only lists with two classes at least.
     shared = _list_facts(listed, lo=(F.min("node"), F.min), hi=(F.max("node"), F.max)).where("lo < hi")
     listed = stage(listed.join(shared, ["shingle", "part"], "left_semi"), "shingle-lists")
+    _free_shuffles(classes.sparkSession)
     links, roots = None, None
     for step in range(STAR_ROUNDS + 1):
         placed = _with_roots(listed, roots)
@@ -420,6 +426,7 @@ def _link_classes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
         else:
             found = _search_blocks(placed, sets, percent)
         found = stage(found, "links")
+        _free_shuffles(classes.sparkSession)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     return roots
@@ -463,6 +470,7 @@ def _rooted(given: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     """
     numbered = _profiles(given, size, percent).withColumn("node", F.monotonically_increasing_id())
     profiles = stage(numbered, "shingle-profiles")
+    _free_shuffles(given.sparkSession)
     # A class is known by one of its rows, whose shingles are read where they were staged.
     classes = profiles.where("key is not null").groupBy("key").agg(
         F.min("id").alias("id"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
