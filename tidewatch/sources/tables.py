@@ -5,7 +5,8 @@ be appended to.  Upserts rewrite the touched dates: the merged rows are staged
 first, then swapped in by dynamic partition overwrite, so a failed run can be
 repeated.  Upsert tables without a date are a base with deltas
 (``sources/keyed.py``): an upsert writes its own rows only, and counts once they
-are complete.  There is no transaction across tables.
+are complete.  The audit log is kept by day, as runs that are compacted once
+their days are closed (``sources/logs.py``).  There is no transaction across tables.
 
 ``event_ids`` is an index on raw events (``sources/ids.py``).  An append of
 events notes its ids first, writes the events and confirms the note last; what a
@@ -16,6 +17,7 @@ noted dates.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -24,6 +26,7 @@ from tidewatch import schemas as S
 from tidewatch.operators.merge import merge
 from tidewatch.sources.ids import BUCKET_IDS, IdIndex
 from tidewatch.sources.keyed import KeyedTable
+from tidewatch.sources.logs import DayLog
 from tidewatch.sources.staging import file_system, stage
 
 
@@ -35,6 +38,12 @@ class Table:
     append_only: bool = False
     keep: tuple[str, ...] = ()
     sort: tuple[str, ...] = ()
+    # Expression for the day of a log without a date column.
+    day_of: str | None = None
+
+    @property
+    def log(self) -> bool:
+        return self.day_of is not None
 
     @property
     def keyed(self) -> bool:
@@ -59,7 +68,7 @@ TABLES = {
         ("alert_id", "channel", "target"),
         keep=("notification_id", "created_at"),
     ),
-    "audit_log": Table(S.AUDIT_LOG, ("audit_id", "ts", "action"), append_only=True),
+    "audit_log": Table(S.AUDIT_LOG, ("audit_id", "ts", "action"), append_only=True, sort=("ts",), day_of="to_date(ts)"),
     "anomaly_rules": Table(S.ANOMALY_RULES, ("rule_name",)),
     "request_log": Table(S.REQUEST_LOG, (), append_only=True),
 }
@@ -79,6 +88,8 @@ class Tables:
     def exists(self, name: str) -> bool:
         if TABLES[name].keyed:
             return self.keyed(name).exists()
+        if TABLES[name].log:
+            return self.log(name).exists()
         fs, location = file_system(self.spark, self.path(name))
         return fs.exists(location)
 
@@ -86,6 +97,16 @@ class Tables:
         table = TABLES[name]
         return KeyedTable(self.spark, self.path(name), table.schema, table.keys, table.keep)
 
+    def log(self, name: str) -> DayLog:
+        table = TABLES[name]
+        return DayLog(self.spark, self.path(name), table.schema, "log_day", table.day_of, table.sort)
+
+    def compact_logs(self, closed: date) -> None:
+        """Rewrite the small files of log days before ``closed``; readers and appends may go on."""
+        for name, table in TABLES.items():
+            if table.log and self.exists(name):
+                self.log(name).compact(closed)
+
     def read(self, name: str) -> DataFrame:
         """The table, empty with its schema before the first write."""
         schema = TABLES[name].schema
@@ -93,6 +114,8 @@ class Tables:
             return self.spark.createDataFrame([], schema)
         if TABLES[name].keyed:
             return self.keyed(name).read()
+        if TABLES[name].log:
+            return self.log(name).read()
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def read_touched(self, name: str, rows: DataFrame) -> DataFrame:
@@ -135,11 +158,15 @@ class Tables:
             return
         table = TABLES[name]
         keys = list(table.keys)
-        stored = self.read_touched(name, rows) if table.partition else self.read(name)
-        if "ts" in keys:
-            # An equal key has an equal time: files of other times are not read.
-            first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-            stored = stored.where(F.col("ts").between(F.lit(first), F.lit(last)))
+        if table.log:
+            # An equal key has an equal day: other days are not read.
+            day = F.expr(table.day_of)
+            first, last = rows.agg(F.min(day), F.max(day)).first()
+            if first is None:
+                return
+            stored = self.log(name).read(first, last)
+        else:
+            stored = self.read_touched(name, rows) if table.partition else self.read(name)
         self.append(name, rows.join(stored.select(*keys), keys, "left_anti"))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
@@ -164,6 +191,9 @@ class Tables:
         if table.keyed:
             self.keyed(name).replace(rows if mode == "overwrite" else self.read(name).unionByName(rows))
             return
+        if table.log:
+            self.log(name).append(rows)
+            return
         if table.partition:
             # A date may hold most rows: the writer spreads it over tasks by size.
             rows = rows.hint("rebalance", F.col(table.partition))
