@@ -202,6 +202,11 @@ SELECT event_date, key, count, rank FROM (
 WHERE rank <= 20"""
 
 
+# Properties with keys for type, source and whole value.
+_WIDE = """(SELECT event_date, properties[:-2] || ',"' || event_type || '":1,"' || source_system || '":1,"at_' ||
+  coalesce(floor(value)::BIGINT::VARCHAR, 'none') || '":1}' AS properties FROM ev)"""
+
+
 def _card(events: str, quarantine: str, future: str) -> str:
     """``future``: SQL for the number of future events of report date ``t.report_date``."""
     return f"""
@@ -447,6 +452,8 @@ SELECT ingest_date, count(*) AS quarantine_total,
     'validation_error=' || nullif(count(*) FILTER (WHERE reason = 'validation_error'), 0)) AS by_reason
 FROM quarantine GROUP BY 1""",
     "dq_top_property_keys": _keys("lake"),
+    "dq_heavy_property_keys": _keys(_WIDE),
+    "stream_heavy_keys": _keys(_WIDE).replace("rank <= 20", "rank <= 8"),
     "dq_source_shares": f"SELECT * REPLACE (round(share, 6) AS share) FROM ({_shares('lake')})",
     "dq_share_history": f"""
 SELECT report_date, source_system, n_days, {_r('current_share', 'baseline_mean', 'baseline_std')}
@@ -457,6 +464,12 @@ FROM ({_bias('ev')})""",
     "dq_ks_drift": f"""
 SELECT report_date, name, event_type, n_current::BIGINT AS n_current, n_baseline::BIGINT AS n_baseline,
   {_r('ks_stat', 'p_value')}, drifted FROM ({_ks('ev')})""",
+    "dq_drift_screened": f"""
+SELECT report_date, name, event_type, n_current::BIGINT AS n_current, n_baseline::BIGINT AS n_baseline, drifted,
+  TRUE AS ks_held FROM ({_ks('ev')})""",
+    "stream_drift_screened": f"""
+SELECT report_date, name, event_type, n_current::BIGINT AS n_current, n_baseline::BIGINT AS n_baseline, drifted
+FROM ({_ks('ev')})""",
     "dq_scorecard": f"""
 SELECT * REPLACE ({_r('duplicate_rate', 'completeness_rate', 'freshness_p50_sec', 'freshness_p95_sec',
                        'quarantine_rate', 'confidence')}) FROM cards""",

@@ -15,7 +15,7 @@ from catalog import derived as D
 from tidewatch import schemas as S
 from tidewatch.functions.text import address_list, currency
 from tidewatch.operators import alerts as alert_ops
-from tidewatch.operators import bias, drift, kpis, notify, quality, requests, validation
+from tidewatch.operators import bias, drift, heavy, kpis, notify, quality, requests, screening, validation
 from tidewatch.operators.detectors import detect, detect_in_force
 from tidewatch.operators.merge import merge
 from tidewatch.operators.percentiles import daily_percentiles
@@ -27,7 +27,7 @@ from tidewatch.sources.tables import Tables
 from tidewatch.streaming import dayparts
 from tidewatch.streaming import ingest as stream_ingest
 from tidewatch.streaming import kpis as stream_kpis
-from tidewatch.streaming import provisional, routing
+from tidewatch.streaming import provisional, routing, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,6 +158,13 @@ def _(spark, sf_dir):
     return keys.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("dq_heavy_property_keys")
+def _(spark, sf_dir):
+    """Top keys among many rare ones: summaries name candidates, only these are counted where that is proven to do."""
+    keys = heavy.top_keys(heavy.property_keys(sample.wide_events(spark, sf_dir)))
+    return keys.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("dq_source_shares")
 def _(spark, sf_dir):
     return bias.source_shares(sample.lake_events(spark, sf_dir))
@@ -178,6 +185,18 @@ def _(spark, sf_dir):
     return drift.distribution_drift(sample.events_raw(spark, sf_dir))
 
 
+@query("dq_drift_screened")
+def _(spark, sf_dir):
+    """Verdicts from sketches, exact where these leave them open; the exact distance must lie within the bounds."""
+    events = sample.events_raw(spark, sf_dir)
+    screened = screening.screened_drift(events, k=200)
+    exact = drift.distribution_drift(events).select("report_date", "name", "ks_stat")
+    held = (F.col("ks_low") - 1e-12 <= F.col("ks_stat")) & (F.col("ks_stat") <= F.col("ks_high") + 1e-12)
+    return screened.join(exact, ["report_date", "name"], "left").select(
+        "report_date", "name", "event_type", "n_current", "n_baseline", "drifted", held.alias("ks_held")
+    )
+
+
 @query("dq_scorecard")
 def _(spark, sf_dir):
     return D.scorecards(spark, sf_dir).select(
@@ -760,10 +779,10 @@ def _(spark, sf_dir):
     return tables.read("metrics_daily").select("metric_date", "metric_name", "value", "dimensions")
 
 
-def _in_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _in_three(spark: SparkSession, sf_dir: str, events: Query = sample.events_raw) -> DataFrame:
     """The accepted events as a stream of three micro-batches, each with events of every day."""
-    landed, rows = fresh_path(spark, "landed-events"), sample.events_raw(spark, sf_dir).select(*S.EVENTS_RAW.names)
-    rows.repartition(3, "event_id").write.parquet(landed)
+    landed, rows = fresh_path(spark, "landed-events"), events(spark, sf_dir)
+    rows.select(*S.EVENTS_RAW.names).repartition(3, "event_id").write.parquet(landed)
     return spark.readStream.schema(S.EVENTS_RAW).option("maxFilesPerTrigger", 1).parquet(landed)
 
 
@@ -776,6 +795,24 @@ def _(spark, sf_dir):
     return tables.read("metrics_daily").select("metric_date", "metric_name", "value", "dimensions")
 
 
+@query("stream_heavy_keys")
+def _(spark, sf_dir):
+    """Top keys by summaries that three micro-batches have added to."""
+    store = summaries.KeySummaries(spark, fresh_path(spark, "key-summaries"), tracked=64)
+    arriving = _in_three(spark, sf_dir, sample.wide_events)
+    summaries.summary_stream([store], arriving, fresh_path(spark, "summary-checkpoint")).awaitTermination()
+    return store.top(sample.wide_events(spark, sf_dir), 8).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("stream_drift_screened")
+def _(spark, sf_dir):
+    """Drift verdicts by sketches that three micro-batches have added to."""
+    store = summaries.DriftSketches(spark, fresh_path(spark, "drift-sketches"), k=200)
+    arriving = _in_three(spark, sf_dir)
+    summaries.summary_stream([store], arriving, fresh_path(spark, "sketch-checkpoint")).awaitTermination()
+    return store.drift(sample.events_raw(spark, sf_dir)).drop("ks_low", "ks_high", "decided_by")
+
+
 @query("stream_provisional_kpis")
 def _(spark, sf_dir):
     """All days, the open ones flagged; user counts held against the sketch's own bound of three deviations."""

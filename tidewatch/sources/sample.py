@@ -51,6 +51,14 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base(spark, sf_dir).drop("_id")
 
 
+def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted events whose properties also have a key for type, source and whole value: many rare keys."""
+    return events_raw(spark, sf_dir).withColumn("properties", F.expr(
+        """concat(substr(properties, 1, length(properties) - 1), ',"', event_type, '":1,"', source_system, '":1,"at_',
+            coalesce(cast(floor(value) AS string), 'none'), '":1}')"""
+    ))
+
+
 def lake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unchecked events as another writer may leave them: repeats and null fields."""
     holed = _base(spark, sf_dir).withColumns({
