@@ -94,6 +94,34 @@ def test_an_audit_append_reads_its_day_only(spark, tmp_path, monkeypatch):
     assert ids(tables.read("audit_log")) == [10, 11, 12, 13, 14, 15, 50, 51]
 
 
+def test_quarantine_is_compacted_and_keeps_rows_without_a_day(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "tables"))
+
+    def refusals(*given):
+        found = [(i, d and datetime(2026, 1, d, 9), "validation_error", "{}", d and date(2026, 1, d)) for i, d in given]
+        return spark.createDataFrame(found, S.EVENTS_QUARANTINE)
+
+    def kept():
+        return sorted(r["quarantine_id"] for r in tables.read("events_quarantine").collect())
+
+    for n in range(4):
+        tables.append_new("events_quarantine", refusals((n, 10), (10 + n, 11)))
+    tables.append_new("events_quarantine", refusals((0, 10), (20, None)))
+    tables.append_new("events_quarantine", refusals((21, None)))
+    tables.append_new("events_quarantine", refusals((21, None)).limit(0))
+    everything = [*range(4), *range(10, 14), 20, 21]
+    assert kept() == everything
+    for _ in range(2):
+        tables.compact_logs(date(2026, 1, 11))
+        assert kept() == everything
+    of_day = tables.read("events_quarantine").where("ingest_date = date '2026-01-10'")
+    assert len(of_day.inputFiles()) <= 8 and of_day.count() == 4
+    log = tables.log("events_quarantine")
+    assert len(files(log, 10)) == 1 and len(files(log, 11)) == 4
+    # Filters on the day reach the folders.
+    assert "PartitionFilters: [isnotnull(ingest_date" in of_day._jdf.queryExecution().toString()
+
+
 def test_an_empty_log(spark, log):
     assert log.read().count() == 0 and not log.exists()
     log.compact(date(2026, 1, 11))

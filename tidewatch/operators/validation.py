@@ -231,12 +231,20 @@ def accepted(classified: DataFrame) -> DataFrame:
     return kept.select(*S.EVENTS_RAW.names)
 
 
-def refused(classified: DataFrame) -> DataFrame:
-    """Refused events as quarantine rows, one each, with the event and its errors."""
+def _named(parts: list[Column], origin: str | None) -> Column:
+    """Surrogate id of ``parts``, told apart by ``origin`` if there is one."""
+    return surrogate_id(*parts) if origin is None else surrogate_id(*parts, F.lit(origin))
+
+
+def refused(classified: DataFrame, origin: str | None = None) -> DataFrame:
+    """Refused events as quarantine rows, one each, with the event and its errors.
+
+    ``origin`` names the delivery: equal events of two deliveries get rows of their own.
+    """
     payload = F.to_json(F.struct(*EVENT_FIELDS, "errors"))
     place = [c for c in ("batch_id", "seq", "ts_ingested", "reason", "delivery") if c in classified.columns]
     return classified.where(F.col("reason") != OK).select(
-        surrogate_id(*[F.col(c) for c in place]).alias("quarantine_id"),
+        _named([F.col(c) for c in place], origin).alias("quarantine_id"),
         "ts_ingested",
         "reason",
         payload.alias("raw_payload"),
@@ -244,7 +252,7 @@ def refused(classified: DataFrame) -> DataFrame:
     )
 
 
-def refused_bodies(bodies: DataFrame, classified: DataFrame, path: str) -> DataFrame:
+def refused_bodies(bodies: DataFrame, classified: DataFrame, path: str, origin: str | None = None) -> DataFrame:
     """Batches with an invalid event as quarantine rows, one per request body."""
     bad = classified.where(F.size("errors") > 0).groupBy(
         "batch_id", F.col("ts_ingested").alias("received_at"), "delivery"
@@ -255,7 +263,7 @@ def refused_bodies(bodies: DataFrame, classified: DataFrame, path: str) -> DataF
     document = F.coalesce(F.try_parse_json("body"), F.parse_json(F.lit('{"raw":"unparseable"}')))
     payload = F.to_json(F.struct(F.lit(path).alias("path"), "errors", document.alias("body")))
     return deliveries(bodies).join(bad, ["batch_id", "received_at", "delivery"]).select(
-        surrogate_id(F.col("batch_id"), F.col("received_at"), F.col("delivery")).alias("quarantine_id"),
+        _named([F.col("batch_id"), F.col("received_at"), F.col("delivery")], origin).alias("quarantine_id"),
         F.col("received_at").alias("ts_ingested"),
         F.lit(INVALID).alias("reason"),
         payload.alias("raw_payload"),
@@ -281,12 +289,12 @@ def receipts(classified: DataFrame, batches: DataFrame | None = None) -> DataFra
     )
 
 
-def audit_of_ingest(receipt: DataFrame, actor: str, ts: Column) -> DataFrame:
+def audit_of_ingest(receipt: DataFrame, actor: str, ts: Column, origin: str | None = None) -> DataFrame:
     """One audit record per answered batch."""
     payload = F.to_json(F.struct("accepted", "rejected", "rejected_reasons"))
     action = F.lit("ingest_events")
     return receipt.select(
-        surrogate_id(action, F.col("batch_id"), ts).alias("audit_id"),
+        _named([action, F.col("batch_id"), ts], origin).alias("audit_id"),
         ts.alias("ts"),
         F.lit(actor).alias("actor"),
         action.alias("action"),

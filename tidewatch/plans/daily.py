@@ -33,6 +33,7 @@ def ingest(
     whole_batches: bool = False,
     path: str = "/ingest/events",
     judged_at: str | None = None,
+    origin: str | None = None,
 ) -> DataFrame:
     """Validate, de-duplicate and store request bodies; returns the receipts.
 
@@ -40,7 +41,9 @@ def ingest(
     body; otherwise each invalid event is quarantined on its own.  Ids are
     checked against all stored events.  With ``judged_at``, a path of this
     delivery alone, the judgement is made once: a repeated run reads it there
-    and stores what is still missing.
+    and stores what is still missing.  ``origin`` names this delivery for good:
+    bodies that another one has brought before leave quarantine and audit rows
+    of their own.  Without it they count as a repeat of that run.
     """
     judged_before = judged_at is not None and is_complete(tables.spark, judged_at)
     if judged_before:
@@ -57,11 +60,11 @@ def ingest(
         refused = judged.where(F.col("reason") == validation.INVALID).select("batch_id").distinct()
         heard = answered.select("batch_id").distinct()
         batches = batches.join(refused.join(heard, "batch_id", "left_anti"), "batch_id", "left_anti")
-        tables.append_new("events_quarantine", validation.refused_bodies(bodies, judged, path))
-    tables.append_new("events_quarantine", validation.refused(answered))
+        tables.append_new("events_quarantine", validation.refused_bodies(bodies, judged, path, origin))
+    tables.append_new("events_quarantine", validation.refused(answered, origin))
 
     receipt = stage(validation.receipts(answered, batches), "receipts")
-    audit = validation.audit_of_ingest(receipt.join(batches, "batch_id"), actor, F.col("ts"))
+    audit = validation.audit_of_ingest(receipt.join(batches, "batch_id"), actor, F.col("ts"), origin)
     tables.append_new("audit_log", audit)
     # Last, so that a run that failed earlier can simply be repeated.
     store = tables.append if judged_at is None else tables.append_new

@@ -22,6 +22,8 @@ from pyspark.sql.types import DateType, StringType, StructType
 from tidewatch.sources.staging import file_system, is_complete
 
 _APPEND, _COMPACTED, _SEEN = "run=a-", "run=c-", "seen-"
+# Folder of rows without a day: their day never closes.
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,8 @@ class Compaction:
 class DayLog:
     """An append-only table below ``path``, by the day in column ``day``.
 
-    ``of`` is an expression for a day that is no column of the table.
+    ``of`` is an expression for a day that is no column of the table.  Rows
+    without a day are read with all days only, and are never compacted.
     """
 
     def __init__(
@@ -71,7 +74,7 @@ class DayLog:
         """Days of a run and their folders."""
         lead = f"{self.day}="
         days = [n.removeprefix(lead) for n in self._names(run) if n.startswith(lead)]
-        return [(date.fromisoformat(d), f"{self.path}/{run}/{lead}{d}") for d in days]
+        return [(date.max if d == _NO_DAY else date.fromisoformat(d), f"{self.path}/{run}/{lead}{d}") for d in days]
 
     def exists(self) -> bool:
         return bool(self._runs())

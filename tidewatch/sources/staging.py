@@ -60,6 +60,13 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(marker)
 
 
+def lasting_name(spark: SparkSession, path: str) -> str:
+    """A name that is made up once and kept at ``path``."""
+    if not is_complete(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
+
+
 def stage(
     df: DataFrame, label: str, partition_by: str | None = None, at: str | None = None
 ) -> DataFrame:

@@ -5,8 +5,8 @@ be appended to.  Upserts rewrite the touched dates: the merged rows are staged
 first, then swapped in by dynamic partition overwrite, so a failed run can be
 repeated.  Upsert tables without a date are a base with deltas
 (``sources/keyed.py``): an upsert writes its own rows only, and counts once they
-are complete.  The audit log is kept by day, as runs that are compacted once
-their days are closed (``sources/logs.py``).  There is no transaction across tables.
+are complete.  Quarantine and the audit log are kept by day, as runs that are compacted
+once their days are closed (``sources/logs.py``).  There is no transaction across tables.
 
 ``event_ids`` is an index on raw events (``sources/ids.py``).  An append of
 events notes its ids first, writes the events and confirms the note last; what a
@@ -38,7 +38,7 @@ class Table:
     append_only: bool = False
     keep: tuple[str, ...] = ()
     sort: tuple[str, ...] = ()
-    # Expression for the day of a log without a date column.
+    # Logs by day: the date column, or an expression where there is none.
     day_of: str | None = None
 
     @property
@@ -55,7 +55,7 @@ TABLES = {
         S.EVENTS_RAW, ("event_id",), "event_date", append_only=True, sort=("event_type", "ts_event")
     ),
     "events_quarantine": Table(
-        S.EVENTS_QUARANTINE, ("quarantine_id", "ts_ingested", "reason"), "ingest_date", append_only=True, sort=("reason",)
+        S.EVENTS_QUARANTINE, ("quarantine_id", "ts_ingested", "reason"), append_only=True, sort=("reason",), day_of="ingest_date"
     ),
     "metrics_daily": Table(
         S.METRICS_DAILY, ("metric_date", "metric_name", "dimensions"), "metric_date"
@@ -99,6 +99,8 @@ class Tables:
 
     def log(self, name: str) -> DayLog:
         table = TABLES[name]
+        if table.day_of in table.schema.names:
+            return DayLog(self.spark, self.path(name), table.schema, table.day_of, sort=table.sort)
         return DayLog(self.spark, self.path(name), table.schema, "log_day", table.day_of, table.sort)
 
     def compact_logs(self, closed: date) -> None:
@@ -161,8 +163,8 @@ class Tables:
         if table.log:
             # An equal key has an equal day: other days are not read.
             day = F.expr(table.day_of)
-            first, last = rows.agg(F.min(day), F.max(day)).first()
-            if first is None:
+            first, last, n = rows.agg(F.min(day), F.max(day), F.count(F.lit(1))).first()
+            if not n:
                 return
             stored = self.log(name).read(first, last)
         else:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.plans import daily
-from tidewatch.sources.staging import file_system, stage
+from tidewatch.sources.staging import file_system, lasting_name, stage
 from tidewatch.sources.tables import Tables
 
 
@@ -26,13 +26,16 @@ def ingest_stream(
 
     The judgement of a micro-batch is kept beside the stream's checkpoint under
     its number.  If it is repeated, that judgement is stored to the end: events,
-    quarantine and audit are the same as after one run.
+    quarantine and audit are the same as after one run.  A body that comes again
+    in a later micro-batch is a delivery of its own there.
     """
     judged = f"{checkpoint.rstrip('/')}-judged"
+    name = lasting_name(tables.spark, f"{judged}/name")
 
     def work(batch: DataFrame, number: int) -> None:
         daily.ingest(
-            tables, stage(batch, "bodies"), whole_batches=whole_batches, judged_at=f"{judged}/{number}"
+            tables, stage(batch, "bodies"), whole_batches=whole_batches, judged_at=f"{judged}/{number}",
+            origin=f"{name}/{number}",
         )
         # The stream repeats its last micro-batch only.
         fs, old = file_system(tables.spark, f"{judged}/{number - 2}")

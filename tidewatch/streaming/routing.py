@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch import schemas as S
 from tidewatch.operators import validation
-from tidewatch.sources.staging import file_system, is_complete, stage
+from tidewatch.sources.staging import file_system, is_complete, lasting_name, stage
 from tidewatch.sources.tables import Tables
 from tidewatch.streaming.kpis import refresh_days
 
@@ -45,6 +45,10 @@ class RoutedStream:
             raise ValueError("a day is open for one day at least")
         self.spark, self.root, self.delay = spark, root.rstrip("/"), timedelta(days=delay_days)
 
+    def name(self) -> str:
+        """The stream's own name, the same for good."""
+        return lasting_name(self.spark, f"{self.root}/name")
+
     def _names(self, folder: str) -> list[str]:
         fs, location = file_system(self.spark, f"{self.root}/{folder}")
         return [s.getPath().getName() for s in fs.listStatus(location)] if fs.exists(location) else []
@@ -164,9 +168,9 @@ def route_stream(routed: RoutedStream, rows: DataFrame, checkpoint: str) -> Stre
     return writer.trigger(availableNow=True).start()
 
 
-def _store(tables: Tables, judged: DataFrame, moment) -> None:
+def _store(tables: Tables, judged: DataFrame, moment, origin: str | None = None) -> None:
     """Accepted rows into the events, refused ones into quarantine, and the KPIs of the touched days."""
-    tables.append_new("events_quarantine", validation.refused(judged.where(F.col("reason") != LATE)))
+    tables.append_new("events_quarantine", validation.refused(judged.where(F.col("reason") != LATE), origin))
     kept = stage(validation.accepted(judged), "accepted")
     tables.append_new("events_raw", kept)
     refresh_days(tables, kept, moment)
@@ -174,9 +178,10 @@ def _store(tables: Tables, judged: DataFrame, moment) -> None:
 
 def ingest_routed(tables: Tables, routed: RoutedStream, rows: DataFrame, checkpoint: str) -> StreamingQuery:
     """Route a stream and store what is in time; late rows wait for ``backfill``."""
+    name = routed.name()
 
     def work(batch: DataFrame, number: int) -> None:
-        _store(tables, routed.route(batch, number), F.current_timestamp())
+        _store(tables, routed.route(batch, number), F.current_timestamp(), f"{name}/{number}")
 
     writer = rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -196,6 +201,6 @@ def backfill(tables: Tables, routed: RoutedStream, as_of: datetime) -> Claim | N
         late = routed.rows(LATE, first=claim.first, last=claim.last).drop("batch", "reason", "errors", "event_date")
         judged = validation.classify(late, tables.known_ids(late))
         stage(judged, "judged-late", at=at)
-    _store(tables, routed.spark.read.parquet(at), F.lit(as_of))
+    _store(tables, routed.spark.read.parquet(at), F.lit(as_of), f"{routed.name()}/{claim.first}-{claim.last}")
     routed.tick(claim)
     return claim
