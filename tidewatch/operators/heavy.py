@@ -22,8 +22,9 @@ from tidewatch import schemas as S
 from tidewatch.operators.quality import top_counted_keys
 from tidewatch.sources.staging import stage
 
-# Keys a summary tracks, whatever the data.
-TRACKED = 1024
+# Keys a summary tracks, whatever the data: some 300 KB.  Keys below about 2 in 10,000
+# occurrences of a day are not told apart; a day whose wanted keys are as rare is counted whole.
+TRACKED = 16_384
 # Keys counted by themselves, per wanted one.
 _LISTED = 4
 
