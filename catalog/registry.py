@@ -6,6 +6,7 @@ results compare with SQL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,7 +23,7 @@ from tidewatch.operators.percentiles import daily_percentiles
 from tidewatch.operators.series import series_features
 from tidewatch.plans import daily, overview, panels, reads
 from tidewatch.sources import rules, sample
-from tidewatch.sources.staging import fresh_path, stage
+from tidewatch.sources.staging import file_system, fresh_path, stage
 from tidewatch.sources.tables import Tables
 from tidewatch.streaming import dayparts
 from tidewatch.streaming import ingest as stream_ingest
@@ -756,12 +757,22 @@ def _(spark, sf_dir):
     return rows.select("event_id", "event_type", "source_system", "user_id", "value", F.col("reason").alias("outcome"))
 
 
+def _landed(rows: DataFrame, path: str, key: str, batches: int) -> DataFrame:
+    """``rows`` as files below ``path``, rows of one key in one file, and those as a stream of ``batches`` micro-batches."""
+    spark = rows.sparkSession
+    # As many files as cores in each micro-batch, so that one is not read by a few tasks.
+    rows.repartition(batches * spark.sparkContext.defaultParallelism, key).write.parquet(path)
+    fs, folder = file_system(spark, path)
+    files = sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(folder))
+    each = max(1, math.ceil(files / batches))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
 @query("stream_ingest_routed")
 def _(spark, sf_dir):
     """Request bodies judged in two micro-batches against all stored before: stored and quarantined events by id."""
     landed, posts = fresh_path(spark, "landed"), D.bodies(spark, sf_dir)
-    posts.repartition(4, "batch_id").write.parquet(landed)
-    feed = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    feed = _landed(posts, landed, "batch_id", 2)
     tables = Tables(spark, fresh_path(spark, "routed-tables"))
     stream_ingest.ingest_stream(tables, feed, fresh_path(spark, "routed-checkpoint")).awaitTermination()
     kept = tables.read("events_raw").select("event_id", F.lit("ok").alias("reason"))
@@ -781,9 +792,8 @@ def _(spark, sf_dir):
 
 def _in_three(spark: SparkSession, sf_dir: str, events: Query = sample.events_raw) -> DataFrame:
     """The accepted events as a stream of three micro-batches, each with events of every day."""
-    landed, rows = fresh_path(spark, "landed-events"), events(spark, sf_dir)
-    rows.select(*S.EVENTS_RAW.names).repartition(3, "event_id").write.parquet(landed)
-    return spark.readStream.schema(S.EVENTS_RAW).option("maxFilesPerTrigger", 1).parquet(landed)
+    rows = events(spark, sf_dir).select(*S.EVENTS_RAW.names)
+    return _landed(rows, fresh_path(spark, "landed-events"), "event_id", 3)
 
 
 @query("stream_kpi_parts")

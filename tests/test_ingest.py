@@ -233,6 +233,23 @@ def test_a_judgement_that_is_kept_is_not_made_again(tables, bodies, rows, tmp_pa
         assert sorted(map(str, rows(tables.read(name)))) == sorted(map(str, before))
 
 
+def test_events_judged_just_now_are_looked_up_once(tables, bodies, tmp_path, monkeypatch):
+    looked_up, known_ids = [], tables.known_ids
+    monkeypatch.setattr(tables, "known_ids", lambda incoming: looked_up.append(1) or known_ids(incoming))
+    posts, kept = bodies([event(1), event(2)]), str(tmp_path / "judged")
+    daily.ingest(tables, posts, judged_at=kept, origin="s/0")
+    assert len(looked_up) == 1 and tables.read("events_raw").count() == 2
+    daily.ingest(tables, posts, judged_at=kept, origin="s/0")
+    assert len(looked_up) == 2 and tables.read("events_raw").count() == 2
+
+
+def test_rows_are_shuffled_once_to_be_judged_against_history(bodies, spark):
+    history = spark.createDataFrame([(UUID.format(4),)], "event_id string")
+    judged = validation.classify(validation.explode_bodies(bodies([event(1), event(4)])), history)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+
+
 def test_a_batch_id_that_recurs_is_refused_body_by_body(tables, spark, rows):
     good, bad = json.dumps({"events": [event(1)]}), json.dumps({"events": [event(2, event_type="x")]})
     moments = [datetime(2026, 1, 13, 10), datetime(2026, 1, 13, 11)]

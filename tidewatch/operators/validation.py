@@ -9,6 +9,7 @@ from tidewatch.functions.scores import any_of
 from tidewatch.operators.dedupe import mark_first, mark_known
 from tidewatch.operators.groups import LARGE_GROUP, join_group_facts
 from tidewatch.operators.keys import surrogate_id
+from tidewatch.sources.staging import stage
 
 OK = "ok"
 DUPLICATE = "duplicate_event_id"
@@ -33,7 +34,16 @@ def canonical_uuid(raw: Column) -> Column:
     grouped = F.regexp_replace(
         digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
     )
-    return F.when(grouped.rlike(_UUID), grouped)
+    # Most ids come in this form; only the others are rewritten.
+    plain = (F.length(raw) == 36) & raw.rlike(_UUID)
+    return F.when(plain, raw).when(grouped.rlike(_UUID), grouped)
+
+
+def _named_errors(found: list[tuple[Column, str]]) -> Column:
+    """Names of the conditions that hold, in order; the list is filtered for rows with an error only."""
+    wrong = any_of([F.coalesce(condition, F.lit(False)) for condition, _ in found])
+    names = F.array_compact(F.array(*[F.when(condition, name) for condition, name in found]))
+    return F.when(wrong, names).otherwise(F.array().cast("array<string>"))
 
 
 def _text(name: str) -> Column:
@@ -46,7 +56,7 @@ def _kind(name: str, *prefixes: str) -> Column:
 
 def _event_time(name: str) -> Column:
     iso = F.when(
-        _text(name).rlike(_ISO_TIME), F.regexp_replace(_text(name), ",", ".").try_cast("timestamp")
+        _text(name).rlike(_ISO_TIME), F.replace(_text(name), F.lit(","), F.lit(".")).try_cast("timestamp")
     )
     number = F.try_variant_get(f"_raw.{name}", "$", "double")
     seconds = F.when(F.abs(number) > _MILLIS_FROM, number / 1000.0).otherwise(number)
@@ -123,11 +133,11 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
     )
     # Stated in the event, yet unusable for the field; a JSON null states nothing.
     unusable = [
-        F.when(
+        (
             F.col(f"_kind.{name}").isNotNull()
             & ((F.col(f"_kind.{name}") != "VOID") | F.lit(name == "properties"))
             & F.col(name).isNull(),
-            F.lit(f"{name}:malformed"),
+            f"{name}:malformed",
         )
         for name in EVENT_FIELDS
     ]
@@ -139,7 +149,7 @@ def explode_bodies(bodies: DataFrame) -> DataFrame:
         F.col("received_at").alias("ts_ingested"),
         *EVENT_FIELDS,
         F.when(whole.isNotNull(), F.array(whole))
-        .otherwise(F.array_compact(F.array(*unusable)))
+        .otherwise(_named_errors(unusable))
         .alias("parse_errors"),
     )
 
@@ -150,16 +160,15 @@ def check_events(rows: DataFrame) -> DataFrame:
     Absent optional fields become null and absent properties ``{}``.
     """
     event_id, kind = F.col("event_id"), F.col("event_type")
-    rules = [
-        F.when(event_id.isNull(), "event_id:missing"),
-        F.when(~event_id.rlike(_UUID), "event_id:malformed"),
-        F.when(F.col("ts_event").isNull(), "ts_event:missing"),
-        F.when(kind.isNull(), "event_type:missing"),
-        F.when(~kind.isin(*S.EVENT_TYPES), "event_type:not_allowed"),
-        F.when(F.col("source_system").isNull(), "source_system:missing"),
-        F.when(F.col("measurement_uncertainty") < 0, "measurement_uncertainty:negative"),
-    ]
-    found = F.array_compact(F.array(*rules))
+    found = _named_errors([
+        (event_id.isNull(), "event_id:missing"),
+        (~event_id.rlike(_UUID), "event_id:malformed"),
+        (F.col("ts_event").isNull(), "ts_event:missing"),
+        (kind.isNull(), "event_type:missing"),
+        (~kind.isin(*S.EVENT_TYPES), "event_type:not_allowed"),
+        (F.col("source_system").isNull(), "source_system:missing"),
+        (F.col("measurement_uncertainty") < 0, "measurement_uncertainty:negative"),
+    ])
     if "parse_errors" in rows.columns:
         earlier = F.coalesce("parse_errors", F.array().cast("array<string>"))
         # A malformed field is also missing; report it once.
@@ -168,7 +177,7 @@ def check_events(rows: DataFrame) -> DataFrame:
             found, lambda e: ~F.array_contains(named, F.split_part(e, F.lit(":"), F.lit(1)))
         )
         broken = F.exists(earlier, lambda e: e.isin("body:unparseable", "events:missing"))
-        found = F.when(broken, earlier).otherwise(F.concat(earlier, fresh))
+        found = F.when(F.size(earlier) == 0, found).when(broken, earlier).otherwise(F.concat(earlier, fresh))
     return rows.withColumns({
         "errors": found,
         "properties": F.coalesce("properties", F.lit("{}")),
@@ -216,9 +225,10 @@ def classify(
     if history is not None:
         # Few of history's ids come back: they are looked up first, with the
         # incoming ids broadcast when the optimizer finds them small enough.
+        # Staged, so that the rows are not shuffled to meet a few ids or none.
         incoming = rows.select("event_id").distinct()
         back = history.select("event_id").join(incoming, "event_id", "left_semi")
-        keys = back.distinct().select(F.col("event_id").alias("_id"))
+        keys = stage(back.distinct().select(F.col("event_id").alias("_id")), "known-again")
         marked = mark_known(marked, keys, "_id", F.struct(*order))
         taken = taken | F.col("is_known")
     reason = F.when(wrong, INVALID).when(taken, DUPLICATE).otherwise(OK)

@@ -66,8 +66,9 @@ def ingest(
     receipt = stage(validation.receipts(answered, batches), "receipts")
     audit = validation.audit_of_ingest(receipt.join(batches, "batch_id"), actor, F.col("ts"), origin)
     tables.append_new("audit_log", audit)
-    # Last, so that a run that failed earlier can simply be repeated.
-    store = tables.append if judged_at is None else tables.append_new
+    # Last, so that a run that failed earlier can simply be repeated.  What was judged
+    # just now is not stored yet: only an earlier judgement is looked up again.
+    store = tables.append_new if judged_before else tables.append
     store("events_raw", validation.accepted(judged))
     return receipt
 
