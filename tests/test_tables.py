@@ -234,6 +234,12 @@ def test_an_append_of_new_events_reads_no_events(spark, tables, events, tmp_path
     assert sum(run.ids for run in tables.ids.runs()) == 3
 
 
+def test_stored_ids_are_those_that_come_back(tables, events):
+    assert tables.stored_ids(id_rows(events, "a")).isEmpty()
+    tables.append("events_raw", id_rows(events, "a", "b", "c"))
+    assert [r["event_id"] for r in tables.stored_ids(id_rows(events, "b", "b", "new", None)).collect()] == ["b"]
+
+
 def test_events_stored_without_an_index_get_one(tables, events):
     tables._write("events_raw", id_rows(events, "a", "b"), "append")
     assert {r["event_id"] for r in tables.known_ids(id_rows(events, "a", "b")).collect()} == {"a", "b"}

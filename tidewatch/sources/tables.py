@@ -132,6 +132,18 @@ class Tables:
         self._settle_ids()
         return self.ids.known(incoming)
 
+    def stored_ids(self, incoming: DataFrame) -> DataFrame:
+        """Those ids of ``incoming`` events that are stored, each once.
+
+        Only ids are compared: as long as few come back, the events joined to
+        them are not shuffled.
+        """
+        known = self.known_ids(incoming)
+        if not self.ids.runs():
+            return known
+        ids = incoming.select("event_id").distinct()
+        return stage(known.join(ids, "event_id", "left_semi").distinct(), "stored-ids")
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Append ``rows``; for raw events, which are read twice, index their ids too."""
         if name != "events_raw":
@@ -155,8 +167,7 @@ class Tables:
     def append_new(self, name: str, rows: DataFrame) -> None:
         """Append the rows whose key is not stored yet, so that a retry adds nothing."""
         if name == "events_raw":
-            known = self.known_ids(rows).distinct()
-            self.append(name, rows.join(known, "event_id", "left_anti"))
+            self.append(name, rows.join(self.stored_ids(rows), "event_id", "left_anti"))
             return
         table = TABLES[name]
         keys = list(table.keys)

@@ -156,7 +156,7 @@ def maintain(tables: Tables, parts: DayParts, batch: DataFrame, number: int, as_
     repeated = is_complete(parts.spark, at)
     if not repeated:
         rows = stage(batch, "events")
-        stage(rows.join(tables.known_ids(rows).distinct(), "event_id", "left_anti").select(rows.columns), "fresh", at=at)
+        stage(rows.join(tables.stored_ids(rows), "event_id", "left_anti").select(rows.columns), "fresh", at=at)
     fresh = parts.spark.read.schema(batch.schema).parquet(at)
     store = tables.append_new if repeated else tables.append
     store("events_raw", fresh)
