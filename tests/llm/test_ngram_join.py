@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -126,3 +128,47 @@ def test_unlike_texts_under_one_id_all_stay(spark):
         want.append((8, "alone here"))
     assert got == sorted(want, key=str)
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stars", [0, 1])
+def test_many_shares_and_blocks_equal_all_pairs(spark, monkeypatch, stars):
+    monkeypatch.setattr(ngram_join, "LEAST_SHARE", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 100)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", stars)
+    rows = made_up(4)[:90]
+    assert joined(spark, rows) == plain_components(rows)
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """Waits for no collection by the driver: its time is not known, and with more memory it comes later."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {path for folder in folders for path in Path(folder).rglob("shuffle_*.data")}
+
+    rows = made_up(5)[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").localCheckpoint()
+    before = files()
+    result = ngram_join.near_duplicates(docs)
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert result.count() == len(rows)
+
+
+def test_a_block_search_gets_only_classes_that_could_link(spark):
+    # All meet on list 1, the longest of each, and so have it as home: one block for each size.
+    sizes = {1: 100, 2: 110, 3: 100, 4: 1000, 5: 1000, 6: 20, 7: 30_000, 8: 30_000, 9: 90}
+    roots = {**{k: k for k in sizes}, 5: 4, 8: 7}
+    placed = [(shingle, 0, node, sizes[node], roots[node]) for shingle, nodes in [(1, sizes), (2, [1, 3])] for node in nodes]
+    placed = spark.createDataFrame(placed, "shingle long, part int, node long, n long, root long")
+    rows = ngram_join._block_requests(placed, 75).collect()
+    # 4 and 5, and 7 and 8, are one component; no other has the size of 6.
+    assert {r.node for r in rows} == {1, 2, 3, 9}
+    searches = {}
+    for r in rows:
+        searches.setdefault((r.block, r.other), []).append(r.node)
+    for a, b in [(1, 2), (1, 3), (1, 9), (2, 3), (3, 9)]:
+        assert any(a in nodes and b in nodes for nodes in searches.values())

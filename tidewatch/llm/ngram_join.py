@@ -16,13 +16,18 @@ each list of classes with a common shingle, all search first against one of
 them.  Last, lists that still hold several components are searched in blocks, all
 against all, so no link between components is missed; pairs exist only inside
 a search.
+
+A search is sent the sets of the classes that could link in it: they meet on a
+list, differ in component and are alike in size.  Lists and searches are worked
+through in shares, so that the disk holds the shuffle files of one at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,11 @@ BLOCK_SHINGLES = 1 << 18
 LIST_PARTS = 1024
 # Searches of every list against one of its classes before the remaining ones are searched in blocks.
 STAR_ROUNDS = 2
+# Shuffled bytes of a share: a fourth of the bytes of all sets, this at least; and those of a place on a list.
+LEAST_SHARE = 256 << 20
+PLACE_BYTES = 64
+# Rows of 64 bits that tell which sets a search asks for.
+ASKED_ROWS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -262,72 +272,124 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def _search_leads(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_shares(rows: DataFrame, by: list[str], size: int, share: int, label: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` of all ``rows``, staged share by share.
+
+    ``work`` treats the groups of ``by`` each by itself.  ``size`` is what it shuffles for all rows, in bytes.
+    """
+    shares = max(1, math.ceil(size / share))
+    done = None
+    for k in range(shares):
+        own = rows if shares == 1 else rows.where(F.pmod(F.xxhash64(*by), F.lit(shares)) == k)
+        part = stage(work(own), label)
+        _free_shuffles(rows.sparkSession)
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
+def _asked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose node is one of ``nodes`` and few others, without a shuffle of ``sets``."""
+    hashed = F.xxhash64("node")
+    place, bit = F.pmod(hashed, F.lit(ASKED_ROWS)).alias("_place"), F.shiftrightunsigned(hashed, 58).cast("int")
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    flags = nodes.select(place, flag.alias("_flag")).groupBy("_place").agg(F.bit_or("_flag").alias("_flags"))
+    marked = sets.select("*", place, flag.alias("_flag")).join(F.broadcast(flags), "_place")
+    return marked.where(F.col("_flags").bitwiseAND(F.col("_flag")) != 0).select(*sets.columns)
+
+
+def _search(requests: DataFrame, sets: DataFrame, groups: list[str], share: int, search: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Links found by ``search`` in each of the ``groups`` of ``requests`` (node, n and others) with the shingles of their nodes."""
+    requests = stage(requests, "search-requests")
+    size = 8 * (requests.agg(F.sum("n")).first()[0] or 0)
+
+    def work(own: DataFrame) -> DataFrame:
+        held = own.drop("n").join(_asked(sets, own), "node")
+        return held.groupBy(*groups).applyInArrow(search, "lead long, node long")
+
+    return _in_shares(requests, groups, size, share, "links", work)
+
+
+def _search_leads(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, share: int) -> DataFrame:
     """The pairs (lead, node) whose sets link: one DivideSkip search per lead and block of nodes."""
-    sized = pairs.join(classes.select("node", "n"), "node")
+    sizes = classes.select("node", "n")
+    sized = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    # Sets of too unlike sizes do not link.
+    sized = sized.where(f"n * {percent} <= 100 * lead_n and lead_n * {percent} <= 100 * n")
     # As many blocks per lead as its candidates' shingles fill.
     blocks = sized.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    dealt = sized.join(blocks, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    members = dealt.join(sets, "node").select("lead", "block", "node", "shingles")
-    leads = (
-        dealt.select("lead", "block").distinct()
-        .join(sets.withColumnRenamed("node", "lead"), "lead")
-        .select("lead", "block", F.lit(-1).cast("long").alias("node"), "shingles")
+    dealt = sized.join(blocks, "lead").select(
+        "lead", "lead_n", "node", "n", F.pmod(F.xxhash64("node"), "blocks").alias("block")
     )
+    leads = dealt.select("lead", "block", F.lit(True).alias("asks"), F.col("lead").alias("node"), F.col("lead_n").alias("n"))
+    requests = dealt.select("lead", "block", F.lit(False).alias("asks"), "node", "n").unionByName(leads.distinct())
 
     def search(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        at = int(np.flatnonzero(nodes == -1)[0])
+        at = int(np.flatnonzero(table.column("asks").to_numpy())[0])
         others = np.delete(nodes, at)
         query = sets.pop(at)
         found = others[Index(sets).search(query, percent)]
         lead = table.column("lead")[0].as_py()
         return pa.table({"lead": pa.array([lead] * len(found), pa.int64()), "node": pa.array(found, pa.int64())})
 
-    return members.unionByName(leads).groupBy("lead", "block").applyInArrow(search, "lead long, node long")
+    return _search(requests, sets, ["lead", "block"], share, search)
 
 
-def _search_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (lead, node) that join all components which meet on a list of ``placed``.
+def _block_requests(placed: DataFrame, percent: int) -> DataFrame:
+    """Rows (block, other, second, node, n, root): the classes of which two blocks, or one with itself, are searched.
 
-    ``placed`` has a row (shingle, part, node, n, root) per class and list.  Each class
-    belongs to a block of its longest list; blocks that meet on a list are
-    searched against each other, every class of one in the inverted lists of
-    the other.  Pairs of classes exist inside a search only, and of the links
-    found, those that connect two components so far are returned.
+    Each class belongs to a block of its longest list and its size.  Of a block those
+    classes are asked for that meet, on a list, one of the other block that has
+    another root and, by the sizes there, could be alike in size.
     """
     lengths = _list_facts(placed, length=(F.count("*"), F.sum))
-    homes = placed.join(lengths, ["shingle", "part"]).groupBy("node", "n", "root").agg(
+    homes = placed.join(lengths, ["shingle", "part"]).groupBy("node", "n").agg(
         F.max_by("shingle", F.struct("length", "shingle")).alias("home")
     )
-    homes = stage(homes, "search-homes")
-    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
-    blocks = homes.join(parts, "home").select(
-        "node", "root", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")
+    homes = stage(homes.withColumn("band", F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")), "search-homes")
+    parts = homes.groupBy("home", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    blocks = homes.join(parts, ["home", "band"]).select(
+        "node", F.xxhash64("home", "band", F.pmod(F.xxhash64("node"), "parts")).alias("block")
     )
     blocks = stage(blocks, "search-blocks")
-    met = placed.select("shingle", "node").join(blocks, "node").groupBy("shingle", "block").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi")
+    here = placed.select("shingle", "node", "n", "root").join(blocks, "node")
+    met = here.groupBy("shingle", "block").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("fewest"), F.max("n").alias("most")
     )
-    other = met.select("shingle", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    other = met.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("block", "lo", "hi", "fewest", "most")])
     # Two blocks that are one component need no search.
     pairs = (
-        met.join(other, "shingle").where("block <= other").where("least(lo, lo2) < greatest(hi, hi2)")
-        .select("block", "other").distinct()
+        met.join(other, "shingle").where("least(lo, other_lo) < greatest(hi, other_hi)")
+        .where(f"fewest * {percent} <= 100 * other_most and other_fewest * {percent} <= 100 * most")
+        .drop("lo", "hi", "fewest", "most")
     )
-    held = blocks.join(sets, "node").select("block", "node", "root", "shingles")
-    queries = pairs.join(held, "block").select(F.lit(0).alias("side"), "block", "other", "node", "root", "shingles")
-    indexed = pairs.where("block < other").join(held.withColumnRenamed("block", "other"), "other").select(
-        F.lit(1).alias("side"), "block", "other", "node", "root", "shingles"
+    asked = (
+        here.join(pairs, ["shingle", "block"]).where("other_lo != root or other_hi != root")
+        .where(f"n * {percent} <= 100 * other_most and other_fewest * {percent} <= 100 * n")
     )
+    return asked.select(
+        F.least("block", "other_block").alias("block"), F.greatest("block", "other_block").alias("other"),
+        (F.col("block") > F.col("other_block")).alias("second"), "node", "n", "root",
+    ).distinct()
+
+
+def _search_blocks(placed: DataFrame, sets: DataFrame, percent: int, share: int) -> DataFrame:
+    """Links (lead, node) that join all components which meet on a list of ``placed``.
+
+    ``placed`` has a row (shingle, part, node, n, root) per class and list.  Blocks of
+    classes that meet on a list are searched against each other, every class of one in
+    the inverted lists of the other.  Pairs of classes exist inside a search only, and
+    of the links found, those that connect two components so far are returned.
+    """
 
     def search(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
+        side = table.column("second").to_numpy()
         nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        first = np.flatnonzero(side == 0)
-        second = np.flatnonzero(side == 1) if (side == 1).any() else first
+        first = np.flatnonzero(~side)
+        itself = table.column("block")[0] == table.column("other")[0]
+        second = first if itself else np.flatnonzero(side)
         index = Index([sets[k] for k in second])
         # Component of each row so far: only sets of other components are searched for.
         now = roots.copy()
@@ -343,7 +405,7 @@ def _search_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
                     node.append(int(nodes[m]))
         return pa.table({"lead": pa.array(lead, pa.int64()), "node": pa.array(node, pa.int64())})
 
-    return queries.unionByName(indexed).groupBy("block", "other").applyInArrow(search, "lead long, node long")
+    return _search(_block_requests(placed, percent), sets, ["block", "other"], share, search)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -382,6 +444,18 @@ def _free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries made in here delete their shuffle files as soon as they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _with_roots(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return nodes.withColumn("root", F.col("node"))
@@ -404,41 +478,51 @@ def _link_classes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     ``sets`` has the shingles of every ``node`` of ``classes``, and maybe of others.
     """
+    shingles, places = classes.agg(F.sum("n"), F.sum(F.size("prefix"))).first()
+    share = max(LEAST_SHARE, 8 * (shingles or 0) // 4)
     # Each row is one class's place on one list.
     listed = classes.select(F.posexplode("prefix").alias("_place", "shingle"), "node", "n", "rare")
     part = F.when(F.col("_place") < F.col("rare"), 0).otherwise(F.pmod(F.xxhash64("node"), F.lit(LIST_PARTS)).cast("int"))
     listed = listed.select("shingle", part.alias("part"), "node", "n")
     # Only lists with two classes at least.
-    shared = _list_facts(listed, lo=(F.min("node"), F.min), hi=(F.max("node"), F.max)).where("lo < hi")
-    listed = stage(listed.join(shared, ["shingle", "part"], "left_semi"), "shingle-lists")
-    _free_shuffles(classes.sparkSession)
+    listed = _in_shares(
+        listed, ["shingle"], PLACE_BYTES * (places or 0), share, "shingle-lists", lambda own: _lists_with_several(own, "node")
+    )
+    size = PLACE_BYTES * listed.count()
     links, roots = None, None
     for step in range(STAR_ROUNDS + 1):
         placed = _with_roots(listed, roots)
         if step:
             # Lists within one component need no more searches.
-            mixed = _list_facts(placed, lo=(F.min("root"), F.min), hi=(F.max("root"), F.max)).where("lo < hi")
-            placed = stage(placed.join(mixed, ["shingle", "part"], "left_semi"), "mixed-lists")
+            placed = _in_shares(placed, ["shingle"], size, share, "mixed-lists", lambda own: _lists_with_several(own, "root"))
             if placed.isEmpty():
                 break
         if step < STAR_ROUNDS:
-            found = _search_leads(_star_pairs(placed, roots, step), classes, sets, percent)
+            found = _search_leads(_star_pairs(placed, roots, step, size, share), classes, sets, percent, share)
         else:
-            found = _search_blocks(placed, sets, percent)
-        found = stage(found, "links")
-        _free_shuffles(classes.sparkSession)
+            found = _search_blocks(placed, sets, percent, share)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     return roots
 
 
-def _star_pairs(placed: DataFrame, roots: DataFrame | None, step: int) -> DataFrame:
+def _lists_with_several(placed: DataFrame, column: str) -> DataFrame:
+    """The rows of the lists that have more than one value of ``column``."""
+    several = _list_facts(placed, lo=(F.min(column), F.min), hi=(F.max(column), F.max)).where("lo < hi")
+    return placed.join(several, ["shingle", "part"], "left_semi")
+
+
+def _star_pairs(placed: DataFrame, roots: DataFrame | None, step: int, size: int, share: int) -> DataFrame:
     """(lead, node): every class with the lead it shares most lists with; another lead of each list in each step."""
     shuffle = F.lit(0x5DEECE66D * step)
-    leads = _list_facts(placed, lead=(F.min(F.col("node").bitwiseXOR(shuffle)), F.min))
-    leads = _with_roots(leads.select("shingle", "part", F.col("lead").bitwiseXOR(shuffle).alias("node")), roots)
-    leads = leads.select("shingle", "part", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    met = placed.join(leads, ["shingle", "part"]).where("root != lead_root").groupBy("node", "lead").agg(F.count("*").alias("met"))
+
+    def shared_lists(own: DataFrame) -> DataFrame:
+        leads = _list_facts(own, lead=(F.min(F.col("node").bitwiseXOR(shuffle)), F.min))
+        leads = _with_roots(leads.select("shingle", "part", F.col("lead").bitwiseXOR(shuffle).alias("node")), roots)
+        leads = leads.select("shingle", "part", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+        return own.join(leads, ["shingle", "part"]).where("root != lead_root").groupBy("node", "lead").agg(F.count("*").alias("met"))
+
+    met = _in_shares(placed, ["shingle"], size, share, "shared-lists", shared_lists).groupBy("node", "lead").agg(F.sum("met").alias("met"))
     best = met.groupBy("node").agg(F.max_by("lead", F.struct("met", "lead")).alias("lead"))
     return stage(best.select("lead", "node"), "search-pairs")
 
@@ -468,17 +552,18 @@ def _rooted(given: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
 
     A profile without a key has no partner.
     """
-    numbered = _profiles(given, size, percent).withColumn("node", F.monotonically_increasing_id())
-    profiles = stage(numbered, "shingle-profiles")
-    _free_shuffles(given.sparkSession)
-    # A class is known by one of its rows, whose shingles are read where they were staged.
-    classes = profiles.where("key is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("rare").alias("rare"),
-    )
-    classes = stage(classes, "shingle-classes")
-    sets = profiles.where("key is not null").select("node", "shingles")
-    roots = _link_classes(classes, sets, percent)
+    with _shuffles_freed(given.sparkSession):
+        numbered = _profiles(given, size, percent).withColumn("node", F.monotonically_increasing_id())
+        profiles = stage(numbered, "shingle-profiles")
+        _free_shuffles(given.sparkSession)
+        # A class is known by one of its rows, whose shingles are read where they were staged.
+        classes = profiles.where("key is not null").groupBy("key").agg(
+            F.min("id").alias("id"), F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+            F.first("rare").alias("rare"),
+        )
+        classes = stage(classes, "shingle-classes")
+        sets = profiles.where("key is not null").select("node", "shingles")
+        roots = _link_classes(classes, sets, percent)
     return profiles, _with_roots(classes.select("key", "id", "node"), roots)
 
 
